@@ -1,0 +1,162 @@
+"""Secret scans: fixed patterns, and strings that zstandard finds new in a sensitive context.
+
+Each candidate is measured by its marginal compressed bytes: the size of its line's
+surroundings with it, less their size without it, both under a dictionary of common
+code and identifier text. Prose and identifiers cost little; keys cost nearly their
+entropy. A candidate is reported as `novel` where its surroundings name a credential
+and its cost a character is high. Pattern matches (assign, access, hex) are always
+reported, with their own marginal bytes beside them.
+
+Null and empty texts have no spans. Whole texts are scanned. Repeated rows give
+repeated results. Positions are code points, ends exclusive.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdictspark.llm.tables import read
+from verdictspark.llm.words import pieces
+
+KINDS = ("assign", "access", "hex", "novel")
+_ASSIGN = re.compile(r"""(?a)(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+_ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
+_HEX = re.compile(r"[0-9a-f]{16,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_DIGIT = re.compile(r"[0-9]")
+_WORDLIKE = re.compile(r"[A-Z]?[a-z]{3,}")
+_SENSITIVE = re.compile(
+    r"(?ai)pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer|signature|session|cookie|cert|hmac|salt"
+)
+
+#: Text that primes the compressor: what code and configuration commonly repeat.
+IDENTIFIERS = """
+import from return class function const let var public private static void int string bool true false null None self this new
+def async await try except catch finally raise throw if else elif for while switch case break continue with yield lambda
+config configuration settings environment production development staging default local server client host port database user
+username password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret
+authorization bearer session cookie signature credential certificate endpoint request response header content-type application/json
+AWS_ACCESS_KEY_ID AWS_SECRET_ACCESS_KEY GITHUB_TOKEN DATABASE_URL SECRET_KEY_BASE API_TOKEN AUTH_TOKEN PRIVATE_KEY SLACK_WEBHOOK
+http://localhost:8080/ https://www.example.com/ index.html main.py app.js README.md package.json requirements.txt Makefile
+get_value set_value create_user update_record delete_item find_by_id to_string from_json parse_args read_file write_file
+getValue setValue createUser updateRecord deleteItem findById toString fromJson parseArgs readFile writeFile
+0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 2024-01-01T00:00:00Z 127.0.0.1 localhost
+"""
+
+_state: dict[str, zstandard.ZstdCompressor] = {}
+
+
+def _compressor() -> zstandard.ZstdCompressor:
+    if "c" not in _state:
+        primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=3)
+        _state["c"] = zstandard.ZstdCompressor(dict_data=primed, write_content_size=False, write_dict_id=False)
+    return _state["c"]
+
+
+def marginal_bytes(text: str, start: int, end: int, around: int) -> int:
+    """Compressed bytes that text[start:end] adds to the `around` characters on either side."""
+    c = _compressor()
+    before, after = text[max(0, start - around) : start], text[end : end + around]
+    near = f"{before}{after}".encode("utf-8", "replace")
+    return len(c.compress(near + text[start:end].encode("utf-8", "replace"))) - len(c.compress(near))
+
+
+def scan(text: str, least: int = 16, ratio: float = 0.62, around: int = 96, reach: int = 48) -> list[tuple[str, int, int, int]]:
+    """(kind, start, end, marginal bytes) of a text's secrets, by start, then kind as listed.
+
+    A novel candidate has `least` characters or more, letters and digits among them, a
+    sensitive word within `reach` characters, a marginal cost of `ratio` bytes a character
+    or more, isn't mostly made of words (an identifier), and doesn't overlap a pattern's
+    match.
+    """
+    found = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 12]
+    found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text)]
+    found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
+    spans = [(k, a, b, marginal_bytes(text, a, b, around)) for k, a, b in found]
+    for m in _CANDIDATE.finditer(text):
+        a, b = m.span()
+        if b - a < least or m[0].isdigit() or not _DIGIT.search(m[0]) or any(x < b and a < y for _, x, y in found):
+            continue
+        if sum(map(len, _WORDLIKE.findall(m[0]))) > 0.6 * (b - a):
+            continue
+        if not _SENSITIVE.search(text, max(0, a - reach), min(len(text), b + reach)):
+            continue
+        cost = marginal_bytes(text, a, b, around)
+        if cost >= ratio * (b - a):
+            spans.append(("novel", a, b, cost))
+    return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+
+
+def redact(text: str, spans: list[tuple[str, int, int, int]]) -> str:
+    """The text with each run of overlapping spans replaced by [SECRET]."""
+    out, at = [], 0
+    for _, a, b, _ in spans:
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+_SPANS = "array<struct<kind: string, start: long, end: long, marginal_bytes: long>>"
+_SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("marginal_bytes", pa.int64())]))
+
+
+def _texts(column: pa.Array) -> list[str]:
+    return [t or "" for t in column.to_pylist()]
+
+
+def secret_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id and the array `found` of spans, for every row."""
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, found {_SPANS}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            spans = [[dict(zip(("kind", "start", "end", "marginal_bytes"), s, strict=True)) for s in scan(t)] for t in _texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(spans, _SPAN_TYPE)], names=["doc_id", "found"])
+
+    return docs.select(docs[id_col].alias("id"), docs[text].alias("text")).mapInArrow(run, schema)
+
+
+def redacted(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """The same rows and columns, secrets replaced in `text`, `length` brought up to date.
+
+    Only texts with a secret change; null texts stay null.
+    """
+
+    def run(column: pa.Array) -> list[str | None]:
+        return [t if not t or not (s := scan(t)) else redact(t, s) for t in column.to_pylist()]
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text):
+            new = pa.array(run(batch.column(text)), pa.string())
+            yield batch.set_column(batch.schema.get_field_index(text), pa.field(text, pa.string()), new)
+
+    out = docs.mapInArrow(batches_of, docs.schema)
+    if length not in docs.columns:
+        return out
+    kind = docs.schema[length].dataType
+    return out.withColumn(length, F.when(F.col(text).isNull(), F.col(length)).otherwise(F.length(text)).cast(kind))
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of base matches, their digest, and all spans of every document."""
+    found = secret_spans(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(told(F.filter("found", lambda s: s["kind"] != "novel")), 256).alias("base_sha256"),
+        told(F.col("found")).alias("spans"),
+        count("novel").alias("n_novel"),
+    )
