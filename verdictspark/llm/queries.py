@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictspark.llm import html, media, secrets, sharding
+from verdictspark.llm import html, media, packing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_html_extraction": html.op4_html_extraction,
     "op8_media_columns": media.op8_media_columns,
     "op9_sharding": sharding.op9_sharding,
