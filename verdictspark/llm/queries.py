@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictspark.llm import html, media, packing, secrets, sharding
+from verdictspark.llm import html, media, packing, repeats, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extraction": html.op4_html_extraction,
     "op8_media_columns": media.op8_media_columns,
     "op9_sharding": sharding.op9_sharding,
+    "op10_substring_dedup": repeats.op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
