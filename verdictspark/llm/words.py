@@ -22,6 +22,10 @@ _INV = pow(_BASE, -1, 1 << 64)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Separators for words of letters: every ASCII byte but letters.
+NOT_LETTERS = np.zeros(256, dtype=bool)
+NOT_LETTERS[[b for b in range(128) if not chr(b).isalpha()]] = True
+
 _TABLE = np.random.default_rng(20240601).integers(1, 2**63, size=256, dtype=np.uint64) * _U(2) + _U(1)
 _FOLDED = _TABLE.copy()
 _FOLDED[ord("A") : ord("Z") + 1] = _TABLE[ord("a") : ord("z") + 1]
@@ -93,9 +97,10 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(col) else data[:0], offsets - offsets[0]
 
 
-def split(col: pa.Array) -> Words:
+def split(col: pa.Array, gaps: np.ndarray = SPACE) -> Words:
+    """The words of each text, or the runs of bytes outside other `gaps`."""
     data, at = buffers(col)
-    solid = ~SPACE[data]
+    solid = ~gaps[data]
     opens, closes = solid.copy(), solid.copy()
     opens[1:] &= ~solid[:-1]
     closes[:-1] &= ~solid[1:]
