@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictspark.llm import html_blocks, media, packing, quality, repeats, secret_scan, sharding, toxicity
+from verdictspark.llm import decontamination, html_blocks, media, packing, quality, repeats, secret_scan, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extraction": html_blocks.op4_html_extraction,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op8_media_columns": media.op8_media_columns,
     "op9_sharding": sharding.op9_sharding,
     "op10_substring_dedup": repeats.op10_substring_dedup,
