@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictspark.llm import decontamination, html_blocks, media, packing, quality, repeats, secret_scan, sharding, toxicity
+from verdictspark.llm import decontamination, html_blocks, jaccard, media, packing, quality, repeats, secret_scan, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op4_html_extraction": html_blocks.op4_html_extraction,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_classifier": quality.op6_quality_classifier,
