@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictspark.llm.graph import components
@@ -402,7 +402,7 @@ def _compare(num: int, den: int):  # noqa: ANN202
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, class and component (both null for empty sets) of every row.
+    """doc_id, n_shingles, class, component (both null for empty sets) and text id of every row.
 
     Documents link when den * |intersection| >= num * |union| of their n-gram sets.
     """
@@ -446,12 +446,34 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     roots = components(found) if split_up else found.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
     component = text_class.where("n > 0").join(roots, F.col("cid") == F.col("id"), "left").select("tid", "n", "cid", F.coalesce("root", "cid").alias("component"))
-    # The digest's first eight bytes, read with the lowest first as _text_ids does.
-    hexes = [F.substring(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")), 2 * k + 1, 2) for k in reversed(range(8))]
-    tid = F.conv(F.concat(*hexes), 16, -10).cast("long")
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text].alias("text")).select("doc_id", tid.alias("tid"))
+    rows = docs.select(docs[id_col].alias("doc_id"), text_id(docs[text]).alias("tid"))
     out = rows.join(component, "tid", "left")
-    return out.select("doc_id", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_shingles"), F.col("cid").alias("class"), "component")
+    return out.select("doc_id", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_shingles"), F.col("cid").alias("class"), "component", "tid")
+
+
+def text_id(text: Column) -> Column:
+    """A text's 64-bit id: its digest's first eight bytes, lowest first, as _text_ids reads them."""
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.conv(F.concat(*[F.substring(digest, 2 * k + 1, 2) for k in reversed(range(8))]), 16, -10).cast("long")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs with one of each component: the least id, then the least text id.
+
+    Rows with empty sets all stay. Of rows that agree in id and text one stays.
+    """
+    found = keep(near_duplicates(docs, n, num, den, text, id_col), "join-found")
+    stays = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "tid")).alias("_s"), F.count(F.lit(1)).alias("_rows"))
+    stays = stays.select(F.col("_s.doc_id").alias("_stay_id"), F.col("_s.tid").alias("_stay_tid"), (F.col("_rows") > 1).alias("_several"))
+    empty = found.where("component is null").select(F.col("doc_id").alias("_stay_id"), F.col("tid").alias("_stay_tid")).distinct()
+    stays = stays.unionByName(empty.withColumn("_several", F.lit(False)))
+    marked = docs.withColumn("_own_tid", text_id(F.col(text)))
+    left = marked.join(stays, F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_own_tid") == F.col("_stay_tid")))
+    left = keep(left.drop("_stay_id", "_stay_tid"), "join-left")
+    again = left.where("_several").groupBy(F.col(id_col).alias("_id"), F.col("_own_tid").alias("_t")).count().where("count > 1").limit(1).count()
+    if again:
+        left = left.where("not _several").unionByName(left.where("_several").dropDuplicates([id_col, "_own_tid"]))
+    return left.select(*docs.columns)
 
 
 def with_component_ids(found: DataFrame) -> DataFrame:
