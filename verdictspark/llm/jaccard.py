@@ -431,17 +431,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     bins = int(max(partitions(spark), 2 * tokens // TASK_TOKENS + 1))
     parts = F.greatest(F.lit(1), F.ceil(2 * F.col("total") / F.lit(float(TASK_TOKENS)))).cast("int")
     totals = totals.withColumn("parts", F.when(F.col("total") > TASK_TOKENS, parts).otherwise(1))
-    sets = texts.mapInArrow(_sets(n, text_filter(chosen, "tid", count)), "tid long, tokens binary")
-    sets = sets.join(chosen, "tid").join(totals, "cluster")
     own = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
     # A cluster beyond one task's size is compared part against part, each pair of parts in a task.
     tasks = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(own, j) * F.col("parts") + F.greatest(own, j))
     )
-    spread = sets.withColumn("task", F.explode(tasks)).withColumn(
-        "bin", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(bins + F.abs(F.xxhash64("cluster", "task") / 2).cast("long"))
+    # Where each set goes is settled on this small side: the sets are shuffled by their text, then by task.
+    goes = chosen.join(totals, "cluster").withColumn("task", F.explode(tasks)).select(
+        F.col("tid").alias("_tid"), "cid", "cluster",
+        F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(bins + F.abs(F.xxhash64("cluster", "task") / 2).cast("long")).alias("bin"),
     )
-    found = keep(spread.select("bin", "cluster", "cid", "tokens").groupBy("bin").applyInArrow(_compare(num, den), "a long, b long"), "join-links")
+    sets = texts.mapInArrow(_sets(n, text_filter(chosen, "tid", count)), "tid long, tokens binary")
+    spread = sets.join(goes, F.col("tid") == F.col("_tid")).select("bin", "cluster", "cid", "tokens")
+    found = keep(spread.groupBy("bin").applyInArrow(_compare(num, den), "a long, b long"), "join-links")
     split_up = totals.where("parts > 1").limit(1).count() > 0
     roots = components(found) if split_up else found.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
