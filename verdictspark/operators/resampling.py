@@ -35,7 +35,9 @@ def replicates(table: DataFrame, keys: list[str], values: list[str], reps: int,
     draws = sizes.crossJoin(F.broadcast(spark.range(reps).withColumnRenamed("id", "rep"))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     draws = draws.withColumn("k", hashed_draw(stream, F.col("rep"), F.col("_j"), F.col("_k"), seed)).drop("_k", "_j")
     joined = draws.join(table, [*keys, "k"])
-    return joined.groupBy(*keys, "rep").agg(*[(F.sum(f"s_{v}") / F.sum(f"n_{v}")).alias(v) for v in values])
+    # try_divide: draws may hold no row of a value. Twelve digits keep ties with 0 free of the order of addition.
+    mean = lambda v: F.round(F.try_divide(F.sum(f"s_{v}"), F.sum(f"n_{v}")), 12)
+    return joined.groupBy(*keys, "rep").agg(*[mean(v).alias(v) for v in values])
 
 
 def intervals(reps: DataFrame, effects: DataFrame, keys: list[str], value: str, n_reps: int) -> DataFrame:
@@ -47,7 +49,7 @@ def intervals(reps: DataFrame, effects: DataFrame, keys: list[str], value: str,
     m, floor = F.col(value), F.lit(1.0 / n_reps)
     out = joined.groupBy(*keys).agg(
         F.first("effect").alias("effect"), F.percentile(m, F.lit(0.025)).alias("lo"), F.percentile(m, F.lit(0.975)).alias("hi"),
-        F.avg((m <= 0).cast("double")).alias("_below"), F.avg((F.abs(m - F.col("effect")) >= F.abs("effect")).cast("double")).alias("_far"),
+        F.avg((m <= 0).cast("double")).alias("_below"), F.avg((F.abs(m - F.col("effect")) >= F.abs("effect") - 1e-9).cast("double")).alias("_far"),
     )
     return out.select(
         *keys, "effect", "lo", "hi", F.greatest(2 * F.least(F.col("_below"), 1 - F.col("_below")), floor).alias("p"),
