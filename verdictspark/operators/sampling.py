@@ -60,12 +60,28 @@ def proportional_to(pool: DataFrame, reference: DataFrame, n: int, seed: str, sp
     return by_stratum(pool, split, seed, item).join(F.broadcast(quota), split).where(F.col("rn") <= F.col("_q")).drop("_q")
 
 
+def global_rank(rows: DataFrame, column: str, name: str, parts: int = 64) -> DataFrame:
+    """Gapless ranks from 0 in order of a numeric column, without an ordering of all rows in one task.
+
+    Quantiles of the column cut it into parts; each ranks its own rows and adds the counts
+    of the parts below. The table of counts has a row a part.
+    """
+    cuts = sorted(set(rows.approxQuantile(column, [i / parts for i in range(1, parts)], 0.005)))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col(column))) if cuts else F.lit(0)
+    cut = rows.withColumn("_part", part)
+    counts = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    below = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))
+    own = Window.partitionBy("_part").orderBy(column)
+    ranked = cut.withColumn("_own", F.row_number().over(own) - 1).join(F.broadcast(counts), "_part")
+    return ranked.withColumn(name, (F.col("_below") + F.col("_own")).cast("long")).drop("_part", "_own", "_below")
+
+
 def cyclic_pairs(targets: DataFrame, episodes: DataFrame, n: int, item: str = "item_id", pos: str = "pos") -> DataFrame:
     """Target i in order of id gets episode i modulo n."""
     if n < 1:
         raise ValueError("no episodes")
-    order = Window.orderBy(item)
-    ranked = targets.withColumn("_pos", F.pmod(F.row_number().over(order) - 1, F.lit(n)))
+    ranked = global_rank(targets, item, "_pos").withColumn("_pos", F.pmod(F.col("_pos"), F.lit(n)))
     return ranked.join(F.broadcast(episodes), F.col("_pos") == F.col(pos)).drop("_pos")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdictspark.functions.stats import rounded
@@ -56,8 +56,6 @@ def natural_candidates(spark: SparkSession, sf: str) -> DataFrame:
     left = pool.join(excluded, "item_id", "left_anti")
     first = left.groupBy("split").agg(F.min("item_id").alias("first_pos"))
     ranked = left.join(F.broadcast(first), "split")
-    from pyspark.sql import Window
-
     ranked = ranked.withColumn("rn", F.row_number().over(Window.partitionBy("split").orderBy("item_id")))
     return sampling.round_robin(ranked, 20, "first_pos").select("item_id", "split", F.col("turn").cast("long").alias("turn"))
 
@@ -76,8 +74,6 @@ def _episodes(spark: SparkSession, sf: str) -> DataFrame:
 
 def usable_episodes(spark: SparkSession, sf: str, n: int = 10) -> DataFrame:
     """The first n episodes with an audit and a repair, renumbered in order."""
-    from pyspark.sql import Window
-
     ok = _episodes(spark, sf).where("audit is not null and repair is not null")
     ok = ok.orderBy("pos").limit(n)
     return ok.withColumn("pos", (F.row_number().over(Window.orderBy("pos")) - 1).cast("long"))
@@ -123,8 +119,12 @@ def episode_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 def length_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Least, upper median and greatest length of repairs."""
-    x = _episodes(spark, sf).where("repair is not null").agg(F.array_sort(F.collect_list(F.length("repair").cast("long"))).alias("x"))
-    return x.select(F.element_at("x", 1).alias("least"), F.element_at("x", F.expr("cast(size(x) div 2 + 1 as int)")).alias("upper_median"), F.element_at("x", -1).alias("greatest"))
+    by_length = _episodes(spark, sf).where("repair is not null").groupBy(F.length("repair").cast("long").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    # A row for each distinct length: the running count finds the element at half of all, from 0.
+    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = by_length.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("x")))
+    return ranked.agg(F.min("x").alias("least"), middle.alias("upper_median"), F.max("x").alias("greatest"))
 
 
 def missing_items(spark: SparkSession, sf: str) -> DataFrame:
