@@ -30,9 +30,10 @@ from verdictspark.llm.words import Words, mix, pieces, split, windows
 
 COUNTERS = 1 << 20
 CHUNK = 1 << 14
-#: Holders of a token from which it gives edges to one holder instead of pairs.
-COMMON = 64
-COMMON_IN_BATCH = 32
+#: Holders of a token from which it gives edges to one holder instead of pairs. Rarer tokens
+#: may stand below the noise of the table of counts; their pairs are filtered one by one.
+COMMON = 256
+COMMON_IN_BATCH = 64
 #: Tokens of sets that one comparing task gets at most, and the most bits of the filter of texts.
 TASK_TOKENS = 4_000_000
 FILTER_BITS_MOST = 1 << 27
