@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from verdictspark.plans import design, inference, rates, text
+from verdictspark.plans import design, inference, rates, simulated, text
 
-_PARTS = (rates, inference, design, text)
+_PARTS = (rates, inference, design, text, simulated)
 QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

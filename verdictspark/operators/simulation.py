@@ -1,0 +1,172 @@
+"""Simulation of studies: power, false passes and the exact-generator bootstrap.
+
+Every replicate has a generator seeded by its number, so results don't depend on how
+Spark deals replicates to tasks. Kernels are NumPy inside mapInPandas.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+Z = NormalDist().inv_cdf(0.975)
+
+
+def propensities(rng: np.random.Generator, rate: float, concentration: float, n: int) -> np.ndarray:
+    """Latent report propensities of n items: Beta with the given mean."""
+    return rng.beta(rate * concentration, (1 - rate) * concentration, n)
+
+
+def observe(rng: np.random.Generator, p: np.ndarray, samples: int) -> np.ndarray:
+    """Observed share of `samples` verdicts that report an error, an item a row."""
+    return rng.binomial(samples, p) / samples
+
+
+def shifted(p: np.ndarray, by: float, mechanism: str) -> np.ndarray:
+    if mechanism == "additive":
+        return np.clip(p + by, 0, 1)
+    if mechanism == "logit":
+        q = np.clip(p, 1e-12, 1 - 1e-12)
+        return 1 / (1 + np.exp(-(np.log(q / (1 - q)) + by)))
+    raise ValueError(f"unknown mechanism {mechanism!r}")
+
+
+def solve_shift(p: np.ndarray, delta: float, mechanism: str, rounds: int = 60) -> float:
+    """The parameter at which the mean of p moves by exactly delta, by bisection."""
+    target = p.mean() + delta
+    if not 0 < target < 1:
+        raise ValueError("the shifted mean must lie between 0 and 1")
+    low, high = (-1.0, 1.0) if mechanism == "additive" else (-60.0, 60.0)
+    for _ in range(rounds):
+        mid = (low + high) / 2
+        low, high = (mid, high) if shifted(p, mid, mechanism).mean() < target else (low, mid)
+    return (low + high) / 2
+
+
+def normal_rejects(d: np.ndarray) -> np.ndarray:
+    """Paired normal test along the last axis; never where there is no spread."""
+    se = d.std(-1, ddof=1) / np.sqrt(d.shape[-1])
+    return np.where(se > 0, np.abs(d.mean(-1)) > Z * np.where(se > 0, se, 1), False)
+
+
+def bootstrap_rejects(d: np.ndarray, rng: np.random.Generator, reps: int = 1000) -> bool:
+    """Whether the percentile interval of the mean excludes 0."""
+    means = d[rng.integers(0, len(d), (reps, len(d)))].mean(1)
+    low, high = np.quantile(means, [0.025, 0.975])
+    return bool(low > 0 or high < 0)
+
+
+def power(spark: SparkSession, grid: list[tuple[float, float, str, int]], samples: int = 8, concentration: float = 8.0, reps: int = 200, seed: int = 0, exact: bool = False) -> DataFrame:
+    """The share of simulated studies that reject, for each (delta, baseline, mechanism, n_items).
+
+    exact uses the bootstrap test instead of the normal one.
+    """
+    pool = np.random.default_rng(seed)
+    rows = [(d, b, m, n, solve_shift(propensities(pool, b, concentration, 20_000), d, m)) for d, b, m, n in grid]
+    studies = spark.createDataFrame(rows, "delta double, baseline double, mechanism string, n_items int, shift double").crossJoin(spark.range(reps))
+    studies = studies.repartition(max(2, spark.sparkContext.defaultParallelism), "id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            hits = []
+            for r in frame.itertuples(index=False):
+                rng = np.random.default_rng([seed, int(r.id), r.n_items, int(r.delta * 1e6), int(r.baseline * 1e6), len(r.mechanism)])
+                p = propensities(rng, r.baseline, concentration, r.n_items)
+                d = observe(rng, shifted(p, r.shift, r.mechanism), samples) - observe(rng, p, samples)
+                hits.append(bootstrap_rejects(d, rng) if exact else bool(normal_rejects(d)))
+            yield frame[["delta", "baseline", "mechanism", "n_items"]].assign(hit=hits)
+
+    found = studies.mapInPandas(run, "delta double, baseline double, mechanism string, n_items int, hit boolean")
+    return found.groupBy("delta", "baseline", "mechanism", "n_items").agg(F.avg(F.col("hit").cast("double")).alias("power"), F.count(F.lit(1)).alias("studies"))
+
+
+def least_items(spark: SparkSession, delta: float, baseline: float, mechanism: str = "logit", wanted: float = 0.8, most: int = 20_000) -> int | None:
+    """The fewest items with the wanted power: doubling from 100, then bisection; None beyond `most`."""
+    ask = lambda n: power(spark, [(delta, baseline, mechanism, n)]).first()["power"] >= wanted
+    high = 100
+    while not ask(high):
+        high *= 2
+        if high > most:
+            return None
+    low = high // 2
+    while high - low > max(1, high // 50):
+        mid = (low + high) // 2
+        low, high = (low, mid) if ask(mid) else (mid, high)
+    return high
+
+
+def family_false_pass(spark: SparkSession, members: int = 5, n_items: int = 400, samples: int = 8, baseline: float = 0.15, concentration: float = 8.0, reps: int = 1000, seed: int = 1) -> DataFrame:
+    """How often a family of null tests rejects any member, uncorrected and under step-down."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for i in frame["id"]:
+                rng = np.random.default_rng([seed, int(i)])
+                p = propensities(rng, baseline, concentration, n_items)
+                base = observe(rng, p, samples)
+                d = np.stack([observe(rng, p, samples) - base for _ in range(members)])
+                z = np.abs(d.mean(1)) / (d.std(1, ddof=1) / np.sqrt(n_items))
+                ps = [2 * (1 - NormalDist().cdf(x)) for x in z]
+                out.append((min(ps) <= 0.05, min(ps) <= 0.05 / members))
+            yield pd.DataFrame(out, columns=["none", "holm"])
+
+    x = spark.range(reps).mapInPandas(run, "none boolean, holm boolean")
+    rate = lambda c: F.avg(F.col(c).cast("double")).alias(c)
+    return x.agg(rate("none"), rate("holm"), F.count(F.lit(1)).alias("families"))
+
+
+def fit_concentration(rates: np.ndarray, samples: int, rounds: int = 60, seed: int = 0) -> float:
+    """The concentration whose simulated instability matches that of the rates, by geometric bisection."""
+    wanted = float(np.mean(2 * np.minimum(rates, 1 - rates)))
+    low, high = 0.05, 500.0
+    for _ in range(rounds):
+        mid = float(np.sqrt(low * high))
+        rng = np.random.default_rng(seed)
+        p = observe(rng, propensities(rng, float(np.clip(rates.mean(), 1e-3, 1 - 1e-3)), mid, 20_000), samples)
+        low, high = (mid, high) if np.mean(2 * np.minimum(p, 1 - p)) < wanted else (low, mid)
+    return float(np.sqrt(low * high))
+
+
+def exact_bootstrap(items: DataFrame, keys: list[str], cluster: str, value: str, reps: int = 20_000, seed: int = 20260805) -> DataFrame:
+    """The cluster bootstrap with NumPy's generator seeded by [seed, *code points of the key].
+
+    A key's clusters come together as (sum, count) rows, so a group has a row a cluster.
+    Raises ValueError for fewer than two clusters.
+    """
+    sums = items.where(F.col(value).isNotNull()).groupBy(*keys, F.col(cluster).alias("_c")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_c")
+        name = [frame[k].iloc[0] for k in keys]
+        s, n, k = frame["s"].to_numpy(), frame["n"].to_numpy(), len(frame)
+        if k < 2:
+            raise ValueError("two clusters at least")
+        rng = np.random.default_rng([seed, *map(ord, "/".join(map(str, name)))])
+        means = []
+        for at in range(0, reps, 1000):
+            draw = rng.integers(0, k, (min(1000, reps - at), k))
+            means.append(s[draw].sum(1) / n[draw].sum(1))
+        means, effect = np.concatenate(means), s.sum() / n.sum()
+        below = (means <= 0).mean()
+        low, high = np.quantile(means, [0.025, 0.975])
+        return pd.DataFrame([[*name, effect, low, high, max(2 * min(below, 1 - below), 1 / reps), max((np.abs(means - effect) >= abs(effect)).mean(), 1 / reps), int(n.sum()), k]], columns=[*keys, "effect", "lo", "hi", "p", "p_centred", "n", "n_clusters"])
+
+    schema = ", ".join([*(f"{k} {items.schema[k].dataType.simpleString()}" for k in keys), "effect double, lo double, hi double, p double, p_centred double, n long, n_clusters long"])
+    return sums.groupBy(*keys).applyInPandas(run, schema)
+
+
+def two_stage_bootstrap(values: np.ndarray, cluster: np.ndarray, reps: int, rng: np.random.Generator) -> np.ndarray:
+    """Means under draws of clusters and of members within them; it covers too much and is kept for comparison."""
+    ids = np.unique(cluster)
+    members = {c: values[cluster == c] for c in ids}
+    out = np.empty(reps)
+    for r in range(reps):
+        drawn = [rng.choice(members[c], len(members[c])) for c in rng.choice(ids, len(ids))]
+        out[r] = np.concatenate(drawn).mean()
+    return out
