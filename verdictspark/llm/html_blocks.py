@@ -152,7 +152,8 @@ def classify(blocks: list[Block], short: int = 70, links: float = 0.5, stops: fl
             b.label = "undecided"
         else:
             b.label = "bad"
-    known = [(i, b.label) for i, b in enumerate(blocks) if b.label != "undecided" and not (region and not b.inside)]
+    # Beside a content region, what is set aside or lies outside says nothing about the blocks in it.
+    known = [(i, b.label) for i, b in enumerate(blocks) if b.label != "undecided" and not (region and (b.aside or not b.inside))]
     k = 0
     for i, b in enumerate(blocks):
         if b.label != "undecided":
