@@ -71,7 +71,9 @@ def test_validation(spark):
     assert "unchanged" in _validate(spark, ORIGINAL, ORIGINAL, 2)
     assert "prefix" in _validate(spark, ORIGINAL, ["Begin.", "2 + 3 = 7", "7 + 1 = 8", "The answer is 8"], 2)
     assert "not propagated" in _validate(spark, ORIGINAL, ["Start.", "2 + 3 = 7", "5 + 1 = 6", "The answer is 8"], 2)
-    assert "inconsistent arithmetic" in _validate(spark, ORIGINAL, ["Start.", "2 + 3 = 7", "7 + 1 = 9", "The answer is 8"], 2)
+    assert "inconsistent arithmetic" in _validate(spark, ORIGINAL, ["Start.", "2 + 5 = 7", "7 + 1 = 9", "The answer is 8"], 2)
+    # Only the first false claim from the fault step on counts, and the fault step's own is no reason.
+    assert "inconsistent arithmetic" not in _validate(spark, ORIGINAL, ["Start.", "2 + 3 = 7", "7 + 1 = 9", "The answer is 8"], 2)
     assert "control character" in _validate(spark, ORIGINAL, ["Start.", "2 +\t3 = 7", "7 + 1 = 8", "The answer is 8"], 2)
     assert "echoed step prefix" in _validate(spark, ORIGINAL, ["Start.", "Step 2: 2 + 3 = 7", "7 + 1 = 8", "The answer is 8"], 2)
     assert "shorter" in _validate(spark, ORIGINAL, ["Start.", "7", "7 + 1 = 8", "The answer is 8"], 2)
