@@ -2,6 +2,7 @@
 
 import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,10 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from verdictspark.llm import decontamination, html_blocks, media, packing, repeats, secret_scan, words
 from verdictspark.llm.graph import components
+from verdictspark.llm.jaccard import near_duplicates, one_of_each, with_component_ids
 from verdictspark.llm.queries import QUERIES
+from verdictspark.llm.repeats import without_repeats
+from verdictspark.llm.tables import join_hot, keep
 from verdictspark.llm.toxicity import label_model
 
 SF = "/root/testdata/sf{}"
@@ -133,6 +137,35 @@ def test_components_of_chains(spark):
     assert got == {(i, 0) for i in range(31)} | {(100, 100), (101, 100), (200, 200), (203, 200), (205, 200)}
 
 
+def test_components_of_a_hub(spark):
+    """A node of more edges than one part holds, and nodes that a chain ties to it."""
+    rows = [(500 + k, 500) for k in range(1, 400)] + [(500, 7), (7, 3), (2, 1)]
+    found = {r["id"]: r["root"] for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert found == {k: 1 if k < 3 else 3 for row in rows for k in row}
+
+
+def test_join_spreads_frequent_keys(spark):
+    rows = [(1, "same")] * 250 + [(k, None) for k in range(150)] + [(k, f"k{k}") for k in range(30)] + [(5, "lone")]
+    side = spark.createDataFrame([("same", 10), ("k3", 11), ("unused", 12)], "key string, value int")
+    joined = join_hot(keep(spark.createDataFrame(rows, "id int, key string"), "rows"), side, "key")
+    assert joined.columns == ["id", "key", "value"]
+    got = Counter(tuple(r) for r in joined.collect())
+    assert got == Counter((i, k, {"same": 10, "k3": 11}.get(k)) for i, k in rows)
+
+
+def test_frequent_texts(spark):
+    """Copies, near copies and empty texts beyond the count from which keys are spread."""
+    words = [f"w{i}" for i in range(80)]
+    rows = [(k, " ".join(words)) for k in range(10, 260)] + [(k, " ".join([*words[:-1], f"x{k}"])) for k in range(300, 420)]
+    rows += [(k, None if k % 2 else "") for k in range(500, 720)] + [(5, " ".join([*words, "end"])), (6, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in with_component_ids(near_duplicates(docs, 3, 90, 100)).collect()}
+    assert found == {d: (0, d) if d >= 500 else (1, 6) if d == 6 else (len((t or "").split()) - 2, 5) for d, t in rows}
+    assert {r["doc_id"] for r in one_of_each(docs, 3, 90, 100).collect()} == {5, 6, *range(500, 720)}
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in without_repeats(docs).collect()}
+    assert removed == {d: (0, 0) if d >= 500 else (1, 0) if d == 6 else (81, 80) if d == 5 else (80, 80) if d < 300 else (80, 79) for d, t in rows}
+
+
 def test_label_model_outweighs_noisy_labels():
     rng = np.random.default_rng(3)
     truth = rng.random(2000) < 0.3

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdictspark.llm.tables import keep
+from verdictspark.llm.tables import join_hot, keep
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,19 +15,19 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every node of edges (a, b), root being the smallest id of its component.
 
-    Each step is a grouped minimum, combined before the shuffle, and a join; the edges are
-    written between the steps. Loops and repeated edges do no harm; no edges, no rows.
+    Each step is a grouped minimum, combined before the shuffle, and a join that spreads
+    the edges of large nodes; the edges are written between the steps. Loops and repeated edges do no harm; no edges, no rows.
     """
     edges = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _state(edges)
     while before[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, both["a"] == least["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        up = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        least = edges.unionByName(up).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = join_hot(up, least, "a", before[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = keep(large, "edges")
-        down = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(down, large["a"] == down["u"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = join_hot(large, down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.unionByName(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         edges = keep(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
         now = _state(edges)
         if now == before:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from verdictspark.llm.graph import components
 from verdictspark.llm.meeting import buckets_for
-from verdictspark.llm.tables import keep, partitions, read
+from verdictspark.llm.tables import join_hot, keep, partitions, read, share_of
 from verdictspark.llm.words import Words, mix, pieces, split, windows
 
 COUNTERS = 1 << 20
@@ -306,14 +306,20 @@ def text_filter(ids: DataFrame, column: str, count: int) -> np.ndarray:
     return marks
 
 
-def _sets(n: int, marks: np.ndarray):  # noqa: ANN202
+def _sets(n: int, marks: np.ndarray, holders: dict[int, object]):  # noqa: ANN202
+    """Sets of the texts that pass the filter; of a frequent text, that of its holder's row alone."""
     bits = _U(len(marks) * 8)
+    frequent = np.array(list(holders), dtype=np.int64).view(_U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             tids = _text_ids(split(batch.column("text")))
             at = (tids % bits).astype(np.int64)
             maybe = np.flatnonzero(marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            others = np.isin(tids[maybe], frequent)
+            for k in np.flatnonzero(others):
+                others[k] = batch.column("id")[int(maybe[k])].as_py() != holders[int(tids[maybe[k]].view(np.int64))]
+            maybe = maybe[~others]
             maybe = maybe[np.sort(np.unique(tids[maybe], return_index=True)[1])]
             if not len(maybe):
                 continue
@@ -409,6 +415,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     """
     spark = docs.sparkSession
     texts = docs.select(docs[text].alias("text"))
+    rows = keep(docs.select(docs[id_col].alias("doc_id"), text_id(docs[text]).alias("tid")), "join-rows")
+    copies = rows.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"))
+    # Fewer than HOT_KEYS texts: the driver may have them.
+    holders = {r["tid"]: r["doc_id"] for r in copies.where(F.col("copies") > share_of(rows.count())).collect()}
     classes = frequency_classes(texts, n)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = buckets_for(spark, 2 * size / 7 * (den - num) / den)
@@ -438,19 +448,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(own, j) * F.col("parts") + F.greatest(own, j))
     )
     # Where each set goes is settled on this small side: the sets are shuffled by their text, then by task.
-    goes = chosen.join(totals, "cluster").withColumn("task", F.explode(tasks)).select(
+    goes = join_hot(chosen, totals, "cluster").withColumn("task", F.explode(tasks)).select(
         F.col("tid").alias("_tid"), "cid", "cluster",
         F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(bins + F.abs(F.xxhash64("cluster", "task") / 2).cast("long")).alias("bin"),
     )
-    sets = texts.mapInArrow(_sets(n, text_filter(chosen, "tid", count)), "tid long, tokens binary")
+    named = docs.select(docs[id_col].alias("id"), docs[text].alias("text"))
+    sets = named.mapInArrow(_sets(n, text_filter(chosen, "tid", count), holders), "tid long, tokens binary")
     spread = sets.join(goes, F.col("tid") == F.col("_tid")).select("bin", "cluster", "cid", "tokens")
     found = keep(spread.groupBy("bin").applyInArrow(_compare(num, den), "a long, b long"), "join-links")
     split_up = totals.where("parts > 1").limit(1).count() > 0
     roots = components(found) if split_up else found.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
-    component = text_class.where("n > 0").join(roots, F.col("cid") == F.col("id"), "left").select("tid", "n", "cid", F.coalesce("root", "cid").alias("component"))
-    rows = docs.select(docs[id_col].alias("doc_id"), text_id(docs[text]).alias("tid"))
-    out = rows.join(component, "tid", "left")
+    roots = roots.select(F.col("id").alias("cid"), "root")
+    component = join_hot(text_class.where("n > 0"), roots, "cid").select("tid", "n", "cid", F.coalesce("root", "cid").alias("component"))
+    out = join_hot(rows, component, "tid")
     return out.select("doc_id", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_shingles"), F.col("cid").alias("class"), "component", "tid")
 
 
@@ -482,8 +493,8 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text
 def with_component_ids(found: DataFrame) -> DataFrame:
     """Adds component_id: the smallest doc_id of the component, a row's own for empty sets."""
     found = keep(found, "join-found")
-    least = found.where("component is not null").groupBy(F.col("component").alias("_c")).agg(F.min("doc_id").alias("_least"))
-    out = found.join(least, found["component"] == least["_c"], "left")
+    least = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("_least"))
+    out = join_hot(found, least, "component")
     return out.select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"), "class")
 
 

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Fewer keys than this are spread by join_hot, each held by more rows than the second number.
+HOT_KEYS = 10_000
+HOT_ROWS = 100
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +43,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def share_of(total: int) -> int:
+    """Rows of one key beyond which it is spread: fewer than HOT_KEYS keys can have so many."""
+    return max(HOT_ROWS, total // HOT_KEYS + 1)
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """Left join with a side that has each key once, without bringing a frequent key's rows together.
+
+    Keys (null too) of more rows than share_of(total) are split into parts of about that
+    many, and the side's row is repeated for each part. There are fewer than HOT_KEYS such
+    keys, so their table is broadcast. rows should be a written table: it is read twice.
+    """
+    share = share_of(rows.count() if total is None else total)
+    hot = rows.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share)
+    hot = F.broadcast(hot.select("_hot", F.ceil(F.col("_n") / F.lit(share)).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    salted = rows.join(hot, rows[key].eqNullSafe(hot["_hot"]), "left")
+    salted = salted.withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_hot", "_parts")
+    other = side.withColumnRenamed(key, "_side_key")
+    other = other.join(hot, other["_side_key"].eqNullSafe(hot["_hot"]), "left")
+    other = other.withColumn("_side_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hot", "_parts")
+    out = salted.join(other, (salted[key] == other["_side_key"]) & (salted["_part"] == other["_side_part"]), "left")
+    return out.drop("_part", "_side_key", "_side_part")
+
+
 def ranked(df: DataFrame, key: str, by: list[Column], salts: int, name: str = "rank") -> DataFrame:
     """Gapless ranks from 0 within each key without bringing a key's rows together.
 
