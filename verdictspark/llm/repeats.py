@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictspark.llm.meeting import PACKED, buckets_for, deal, meet, positions
-from verdictspark.llm.tables import keep, read
+from verdictspark.llm.tables import join_hot, keep, read
 from verdictspark.llm.words import Words, buffers, pieces, split, windows
 
 #: Perfect difference sets, by period.
@@ -157,7 +157,7 @@ def without_repeats(docs: DataFrame, n: int = 35, text: str = "text", id_col: st
     lost = lost.mapInArrow(_removed(n, with_text), "key binary, removed long, left_sha256 string, left_text string")
 
     every = F.coalesce(F.col("copies") > 1, F.lit(False))
-    out = short.join(copies.drop("first_id"), "key", "left").join(lost, "key", "left")
+    out = join_hot(short, copies.drop("first_id").join(lost, "key", "left"), "key")
     columns = [
         "doc_id",
         "n_words",
