@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdictspark.functions.stats import paired_p, probit
+from verdictspark import catalog
 from verdictspark.operators import multiplicity, rates, resampling, sampling, simulation
+from verdictspark.plans import inference, simulated
 
 
 def test_probit(spark):
@@ -99,3 +101,19 @@ def test_simulation():
 def test_family_wise_rate(spark):
     r = simulation.family_false_pass(spark, reps=300).first()
     assert r["holm"] <= 0.08 < r["none"]
+
+
+def test_registered_counts_are_those_of_the_reference(spark):
+    """20,000 replicates in queries and twins, 2,000 families, 1,000 studies a cell over three numbers of samples."""
+    assert inference.REPS == 20_000 and all("range(20000)" in catalog.ORACLES[n] for n in ("rung_bootstrap", "sdt_bootstrap", "n2_band", "gate0_screen"))
+    assert {(c[3], c[4], c[5]) for c in simulated.SWEEP} == {(4, None, 1000), (8, None, 1000), (16, None, 1000)} and len(simulated.SWEEP) == 36
+    assert simulated.family_false_pass(spark, "").first()["families"] == 2000
+
+
+def test_least_items(spark):
+    assert simulation.fewest(lambda n: n / 1000, 0.8, 20_000) == 800 and simulation.fewest(lambda n: 0.0, 0.8, 20_000) is None
+    cells = [(0.05, 0.15, "logit", 8, None, 300), (0.0, 0.15, "logit", 8, 400, 1000), (0.03, 0.30, "additive", 1, None, 20)]
+    found, null, beyond = simulation.least_items(spark, cells, most=400).orderBy("samples", "delta").collect()[::-1]
+    assert 50 <= found["n_items"] < 400 and found["power"] >= 0.8
+    assert null["n_items"] == 400 and 0.02 < null["power"] < 0.09
+    assert beyond["n_items"] is None and beyond["power"] is None

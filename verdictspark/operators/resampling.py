@@ -29,12 +29,15 @@ def clusters(items: DataFrame, keys: list[str], cluster: str, values: list[str])
 
 
 def replicates(table: DataFrame, keys: list[str], values: list[str], reps: int, stream: Column, seed: int = SEED) -> DataFrame:
-    """For each key and replicate, the mean of each value over as many drawn clusters as there are."""
-    spark = table.sparkSession
+    """For each key and replicate, the mean of each value over as many drawn clusters as there are.
+
+    Tasks share out the replicates: all draws of one are made and added up in the same task.
+    The table travels to each; it has a row a cluster, of which every replicate draws as many.
+    """
     sizes = table.groupBy(*keys).agg(F.max("n_clusters").alias("_k"))
-    draws = sizes.crossJoin(F.broadcast(spark.range(reps).withColumnRenamed("id", "rep"))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    draws = table.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(sizes)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     draws = draws.withColumn("k", hashed_draw(stream, F.col("rep"), F.col("_j"), F.col("_k"), seed)).drop("_k", "_j")
-    joined = draws.join(table, [*keys, "k"])
+    joined = draws.join(F.broadcast(table), [*keys, "k"])
     # try_divide: draws may hold no row of a value. Twelve digits keep ties with 0 free of the order of addition.
     mean = lambda v: F.round(F.try_divide(F.sum(f"s_{v}"), F.sum(f"n_{v}")), 12)
     return joined.groupBy(*keys, "rep").agg(*[mean(v).alias(v) for v in values])

@@ -6,7 +6,7 @@ Spark deals replicates to tasks. Kernels are NumPy inside mapInPandas.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -85,19 +85,49 @@ def power(spark: SparkSession, grid: list[tuple[float, float, str, int]], sample
     return found.groupBy("delta", "baseline", "mechanism", "n_items").agg(F.avg(F.col("hit").cast("double")).alias("power"), F.count(F.lit(1)).alias("studies"))
 
 
-def least_items(spark: SparkSession, delta: float, baseline: float, mechanism: str = "logit", wanted: float = 0.8, most: int = 20_000) -> int | None:
-    """The fewest items with the wanted power: doubling from 100, then bisection; None beyond `most`."""
-    ask = lambda n: power(spark, [(delta, baseline, mechanism, n)]).first()["power"] >= wanted
-    high = 100
-    while not ask(high):
-        high *= 2
+def power_at(seed: list[int], n_items: int, samples: int, baseline: float, mechanism: str, shift: float, concentration: float, reps: int) -> float:
+    """The share of `reps` simulated studies that the normal test rejects; at most about a million items are held at a time."""
+    rng, hits, step = np.random.default_rng(seed), 0, max(1, 1_000_000 // n_items)
+    for at in range(0, reps, step):
+        p = rng.beta(baseline * concentration, (1 - baseline) * concentration, (min(step, reps - at), n_items))
+        hits += int(normal_rejects(observe(rng, shifted(p, shift, mechanism), samples) - observe(rng, p, samples)).sum())
+    return hits / reps
+
+
+def fewest(ask: Callable[[int], float], wanted: float, most: int) -> int | None:
+    """The least n with ask(n) >= wanted: doubling from 100, then bisection to one item; None where doubling passes `most`."""
+    low, high = 50, 100
+    while ask(high) < wanted:
+        low, high = high, high * 2
         if high > most:
             return None
-    low = high // 2
-    while high - low > max(1, high // 50):
+    while low < high:
         mid = (low + high) // 2
-        low, high = (low, mid) if ask(mid) else (mid, high)
-    return high
+        low, high = (low, mid) if ask(mid) >= wanted else (mid + 1, high)
+    return low
+
+
+def least_items(spark: SparkSession, grid: list[tuple[float, float, str, int, int | None, int]], wanted: float = 0.8, most: int = 20_000, concentration: float = 8.0, seed: int = 20260804) -> DataFrame:
+    """For each (delta, baseline, mechanism, samples, n_items, studies) the power at n_items, or at the fewest items with the wanted power.
+
+    n_items None asks for the search; where it finds nothing n_items and power stay null. A cell is a task.
+    """
+    schema = "delta double, baseline double, mechanism string, samples int, n_items int, studies int"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                cell = [seed, int(r.samples), round(r.delta * 1e6), round(r.baseline * 1e6), len(r.mechanism)]
+                shift = solve_shift(propensities(np.random.default_rng(cell), r.baseline, concentration, 200_000), r.delta, r.mechanism) if r.delta else 0.0
+                ask = lambda n: power_at([*cell, n], n, int(r.samples), r.baseline, r.mechanism, shift, concentration, int(r.studies))  # noqa: E731, B023
+                n = fewest(ask, wanted, most) if pd.isna(r.n_items) else int(r.n_items)
+                out.append((r.delta, r.baseline, r.mechanism, r.samples, n, ask(n) if n else None, r.studies))
+            found = pd.DataFrame(out, columns=["delta", "baseline", "mechanism", "samples", "n_items", "power", "studies"])
+            yield found.astype({"n_items": "Int32", "power": "float64"})
+
+    cells = spark.createDataFrame(spark.sparkContext.parallelize(grid, len(grid)), schema)
+    return cells.mapInPandas(run, "delta double, baseline double, mechanism string, samples int, n_items int, power double, studies int")
 
 
 def family_false_pass(spark: SparkSession, members: int = 5, n_items: int = 400, samples: int = 8, baseline: float = 0.15, concentration: float = 8.0, reps: int = 1000, seed: int = 1) -> DataFrame:

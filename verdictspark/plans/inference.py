@@ -11,7 +11,8 @@ from verdictspark.operators.resampling import SEED
 from verdictspark.plans.rates import CELL, CONTRASTS, ITEM_P, R4_ITEM, R4_LONG, R, _with, arm_rates, contrast_items, r4_pivot
 from verdictspark.sources.fixtures import view
 
-REPS = 1000
+#: Replicates of every registered bootstrap, as in the reference's analyse commands.
+REPS = 20_000
 #: Declared families: contrasts that a claim rests on, and the factorial ones.
 CLAIMS = (
     "episode_vs_filler", "audit_only_vs_filler", "audit_plus_inert_vs_filler", "repair_contribution_as_minus_av",

@@ -8,17 +8,20 @@ from verdictspark.functions.stats import rounded
 from verdictspark.operators import simulation
 from verdictspark.plans.rates import CELL
 
-#: Two effects, three baselines, two mechanisms, three sizes.
-GRID = [(d, b, m, n) for d in (0.03, 0.05) for b in (0.05, 0.15, 0.30) for m in ("additive", "logit") for n in (200, 400, 800)]
+#: The reference's sweep: the fewest items for two effects, three baselines, two mechanisms and three numbers of samples.
+SWEEP = [(d, b, m, n, None, 1000) for d in (0.03, 0.05) for b in (0.05, 0.15, 0.30) for m in ("logit", "additive") for n in (4, 8, 16)]
+#: Its null calibration: no effect, two fixed sizes.
+NULL = [(0.0, 0.15, "logit", n, items, 4000) for n in (4, 8, 16) for items in (400, 1200)]
 
 
 def power_sim(spark: SparkSession, sf: str) -> DataFrame:
-    out = simulation.power(spark, GRID, reps=100)
-    return out.select("delta", "baseline", "mechanism", "n_items", rounded("power").alias("power"), "studies")
+    """The fewest items with a power of 0.8, null above 20,000; rows of no effect have the false-positive rate."""
+    out = simulation.least_items(spark, [*SWEEP, *NULL])
+    return out.select("delta", "baseline", "mechanism", "samples", "n_items", rounded("power").alias("power"), "studies")
 
 
 def family_false_pass(spark: SparkSession, sf: str) -> DataFrame:
-    out = simulation.family_false_pass(spark, reps=400)
+    out = simulation.family_false_pass(spark, reps=2000)
     return out.select(rounded("none").alias("none"), rounded("holm").alias("holm"), "families")
 
 
