@@ -32,6 +32,28 @@ def test_marginal_bytes_tell_keys_from_identifiers():
     assert secret_scan.scan(text + name) == [] and secret_scan.scan("the number " + key) == []
 
 
+def test_every_line_of_a_key_block_is_found():
+    rng = np.random.default_rng(5)
+    line = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), n))
+    body = [*(line(64) for _ in range(12)), line(9) + "="]
+    for kind, sep in itertools.product(("PRIVATE KEY", "RSA PRIVATE KEY", "CERTIFICATE"), ("\n", "\r\n", "\\n")):
+        pem = sep.join([f"-----BEGIN {kind}-----", *body, f"-----END {kind}-----"])
+        text = f"Some words before.{sep}{pem}{sep}and words after it"
+        spans = secret_scan.scan(text)
+        left = secret_scan.redact(text, spans)
+        assert not [x for x in body if x in left], (kind, sep)
+        assert left.startswith("Some words before.") and left.endswith("and words after it")
+    prose = "\n".join(["The private key is with them", "and_the_words_of_the_next_line_1", "stay as they are here"])
+    assert secret_scan.scan(prose) == []
+
+
+def test_a_key_given_twice_is_found_twice():
+    key = "q8Zr2LxT0vYb7NcWkJ4d"
+    for text in (f"AUTH={key}\nBearer {key} is sent", f"token {key} then token {key}", "\n".join([f"cookie {key}"] * 9), f"auth {key} {'x ' * 43}{key} auth"):
+        assert sum(b - a >= len(key) for _, a, b, _ in secret_scan.scan(text)) == text.count(key)
+        assert key not in secret_scan.redact(text, secret_scan.scan(text))
+
+
 def test_extraction_of_a_page():
     page = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=/>Home</a></nav>
     <div class="cookie-notice">We use cookies</div><article><header><h1>A title &amp; more</h1></header>

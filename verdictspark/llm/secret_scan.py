@@ -3,8 +3,9 @@
 Each candidate is measured by its marginal compressed bytes: the size of its line's
 surroundings with it, less their size without it, both under a dictionary of common
 code and identifier text. Prose and identifiers cost little; keys cost nearly their
-entropy. A candidate is reported as `novel` where its surroundings name a credential
-and its cost a character is high. Pattern matches (assign, access, hex) are always
+entropy. Other occurrences of a candidate's value don't count as surroundings. A
+candidate is reported as `novel` where its surroundings, or those of a line of its
+block, name a credential and its cost a character is high. Pattern matches (assign, access, hex) are always
 reported, with their own marginal bytes beside them.
 
 Null and empty texts have no spans. Whole texts are scanned. Repeated rows give
@@ -33,9 +34,14 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGIT = re.compile(r"[0-9]")
 _WORDLIKE = re.compile(r"[A-Z]?[a-z]{3,}")
 _SENSITIVE = re.compile(
-    r"(?ai)pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer|signature|session|cookie|cert|hmac|salt"
+    r"(?ai)pass(?:word|wd|phrase)?|pwd|secret|token|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|credential|auth|bearer|signature|session|cookie|cert|hmac|salt"
 )
 
+#: What stands between two lines of a block: one line break (or an escaped one), quotes and signs of continuation.
+_ADJOINS = re.compile(r"""[ \t"',;>*#|]*(?:\r?\n|\r|\\)[ \t"',;>*#|]*\\?""")
+#: The short last line of an encoded block, before its closing line.
+_LAST = re.compile(r"""((?:[ \t"',;>*#|]*(?:\r?\n|\r|\\(?:r\\)?n))[ \t"',;>*#|]*[A-Za-z0-9+/=]{1,15})(?=[ \t"',;>*#|]*(?:\r?\n|\r|\\(?:r\\)?n)[ \t"',;>*#|]*-----END)""")
+
 #: Text that primes the compressor: what code and configuration commonly repeat.
 IDENTIFIERS = """
 import from return class function const let var public private static void int string bool true false null None self this new
@@ -61,37 +67,72 @@ def _compressor() -> zstandard.ZstdCompressor:
     return _state["c"]
 
 
+def _without(text: str, value: str, lo: int, hi: int, keep_end: bool) -> str:
+    """text[lo:hi] less the occurrences of value, also those that the cut at its far end divides."""
+    n = len(value)
+    if keep_end:
+        at = text.find(value, max(0, lo - n + 1), min(hi, lo + n - 1))
+        lo = at + n if at >= 0 else lo
+    else:
+        at = text.rfind(value, max(lo, hi - n + 1), hi + n - 1)
+        hi = at if at >= 0 else hi
+    return text[lo:hi].replace(value, "")
+
+
 def marginal_bytes(text: str, start: int, end: int, around: int) -> int:
-    """Compressed bytes that text[start:end] adds to the `around` characters on either side."""
+    """Compressed bytes that text[start:end] adds to the `around` characters on either side.
+
+    Other occurrences of the same string, or of the value behind its last =, are left out
+    of the surroundings: a key given twice is as new as one given once.
+    """
     c = _compressor()
-    before, after = text[max(0, start - around) : start], text[end : end + around]
+    value = text[start:end]
+    behind = value.rstrip("=").rpartition("=")[2]
+    value = behind if len(behind) >= 8 else value
+    before, after = _without(text, value, max(0, start - around), start, True), _without(text, value, end, min(len(text), end + around), False)
     near = f"{before}{after}".encode("utf-8", "replace")
     return len(c.compress(near + text[start:end].encode("utf-8", "replace"))) - len(c.compress(near))
 
 
+def _blocks(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Runs of candidates on adjoining lines; a short last line belongs to the line before it."""
+    block: list[tuple[int, int]] = []
+    for m in _CANDIDATE.finditer(text):
+        if block and not _ADJOINS.fullmatch(text, block[-1][1], m.start()):
+            yield block
+            block = []
+        last = _LAST.match(text, m.end())
+        block.append((m.start(), last.end(1) if last else m.end()))
+    if block:
+        yield block
+
+
 def scan(text: str, least: int = 16, ratio: float = 0.62, around: int = 96, reach: int = 48) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, marginal bytes) of a text's secrets, by start, then kind as listed.
 
-    A novel candidate has `least` characters or more, letters and digits among them, a
-    sensitive word within `reach` characters, a marginal cost of `ratio` bytes a character
-    or more, isn't mostly made of words (an identifier), and doesn't overlap a pattern's
-    match.
+    A novel candidate has `least` characters or more, letters and digits in its block, a
+    sensitive word within `reach` characters of a line of its block, a marginal cost of
+    `ratio` bytes a character or more, isn't mostly made of words (an identifier) or of
+    letters of one case, and doesn't overlap a pattern's match.
     """
     found = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 12]
     found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     spans = [(k, a, b, marginal_bytes(text, a, b, around)) for k, a, b in found]
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
-        if b - a < least or m[0].isdigit() or not _DIGIT.search(m[0]) or any(x < b and a < y for _, x, y in found):
-            continue
-        if sum(map(len, _WORDLIKE.findall(m[0]))) > 0.6 * (b - a):
-            continue
-        if not _SENSITIVE.search(text, max(0, a - reach), min(len(text), b + reach)):
+    for block in _blocks(text):
+        if not any(_DIGIT.search(text, a, b) for a, b in block) or not any(_SENSITIVE.search(text, max(0, a - reach), min(len(text), b + reach)) for a, b in block):
             continue
-        cost = marginal_bytes(text, a, b, around)
-        if cost >= ratio * (b - a):
-            spans.append(("novel", a, b, cost))
+        for a, b in block:
+            whole = text[a:b]
+            if b - a < least or whole.isdigit() or any(x < b and a < y for _, x, y in found):
+                continue
+            if not _DIGIT.search(whole) and (whole.isupper() or whole.islower()):
+                continue
+            if sum(map(len, _WORDLIKE.findall(whole))) > 0.6 * (b - a):
+                continue
+            cost = marginal_bytes(text, a, b, around)
+            if cost >= ratio * (b - a):
+                spans.append(("novel", a, b, cost))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
