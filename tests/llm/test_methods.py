@@ -81,6 +81,18 @@ def test_templates_catch_changed_numbers_and_check_slots(spark):
     assert {1, 2} <= set(rows) and 3 not in rows and rows[1]["changed_slots"] == 0 and rows[2]["changed_slots"] == 3
 
 
+def test_slots_map_one_to_one_at_some_placement(spark):
+    item = "A train leaves at 7 hours and carries 120 passengers, then 120 passengers leave after 45 km of track, how far does it go"
+    mixed = item.replace("120 passengers, then 120", "5 passengers, then 99").replace("7", "5").replace("45", "5")
+    back = item.replace("45", "120")
+    far = " ".join(f"filler{i}" for i in range(80))
+    inserted = item.replace("then", "and a little later then").replace("120", "33")
+    texts = {5: mixed, 6: back, 7: f"{back} {far} {item}", 8: f"{item} {far} {mixed}", 9: f"{mixed} {item}", 10: inserted, 11: item.replace("km", "miles")}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in decontamination.contaminated(docs, spark.createDataFrame([("q", item)], "item_id string, text string")).collect()}
+    assert sorted(rows) == [7, 8, 9, 10, 11] and rows[7]["changed_slots"] == rows[8]["changed_slots"] == rows[9]["changed_slots"] == 0
+
+
 def test_benchmark_blocks_change_nothing(spark, sf_dir, monkeypatch):
     before = sorted(QUERIES["op7_decontamination"](spark, sf_dir).collect(), key=str)
     monkeypatch.setattr(decontamination, "BLOCK_TOKENS", 500)

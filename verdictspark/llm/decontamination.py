@@ -4,7 +4,9 @@ Texts become template tokens: numbers, units behind numbers and capitalised word
 sentences turn into typed placeholders, other words are lowered, punctuation goes. Windows
 of template tokens are hash-joined with the benchmark's. A document holds an item where,
 within twice the item's length, at least `share` of its distinct windows occur and the
-slots agree: one value of the item always stands for one value of the document.
+slots agree: one number or name of the item always stands for one of the document and the
+other way round (units may change). Every placement with that share is tested, with its own
+windows only.
 
 Items of fewer tokens than a window, or null ones, are never reported. Null and empty
 documents hold nothing. Repeated documents are reported each; several benchmark rows with
@@ -13,6 +15,7 @@ one id count as items of their own and give one row a document with the best cov
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -174,7 +177,8 @@ def leaks(template: Template, bench: Benchmark, n: int, share: float) -> Iterato
         if b - a < floor:
             continue
         reach = 2 * int(bench.template.first[i + 1] - bench.template.first[i])
-        best, best_at, inside, left = 0, a, Counter(), a
+        placed: list[tuple[int, int, int]] = []
+        inside, left = Counter(), a
         for k in range(a, b):
             inside[int(bench.group[entry[k]])] += 1
             while pos[k] - pos[left] > reach:
@@ -183,33 +187,44 @@ def leaks(template: Template, bench: Benchmark, n: int, share: float) -> Iterato
                 if not inside[g]:
                     del inside[g]
                 left += 1
-            if len(inside) > best:
-                best, best_at = len(inside), left
-        if best < floor:
+            # A placement ends where its next entry would push out its first.
+            if len(inside) >= floor and (k + 1 == b or pos[k + 1] - pos[left] > reach):
+                placed.append((len(inside), left, k + 1))
+        for matched, x, y in sorted(placed, key=lambda c: (-c[0], c[1])):
+            held = _slots(template, bench, i, pos[x:y], entry[x:y], n, floor)
+            if held:
+                yield Leak(int(text[a]), i, matched, need, *held)
+                break
+
+
+def _slots(template: Template, bench: Benchmark, i: int, pos: np.ndarray, entry: np.ndarray, n: int, floor: float) -> tuple[int, int] | None:
+    """Slots of a placement and those with another value, or None where values don't map one to one.
+
+    The commonest alignment counts first, then any other that reaches the floor by itself. To it come
+    the slots of other alignments, as after an inserted word, that keep the order of item and document.
+    """
+    at = bench.at[entry]
+    shift = pos - at
+    own, first = bench.template, int(bench.template.first[i])
+    common = Counter(shift.tolist()).most_common()
+    for base, count in common:
+        if base != common[0][0] and (count < floor or len(set(bench.group[entry[shift == base]].tolist())) < floor):
             continue
-        slots, changed, agrees = _slots(template, bench, i, int(text[a]), pos[best_at:b], entry[best_at:b])
-        if agrees:
-            yield Leak(int(text[a]), i, best, need, slots, changed)
-
-
-def _slots(template: Template, bench: Benchmark, i: int, text: int, pos: np.ndarray, entry: np.ndarray) -> tuple[int, int, bool]:
-    """Slots along the commonest alignment, those with another value, and whether values map one to one."""
-    shift = Counter((pos - bench.at[entry]).tolist()).most_common(1)[0][0]
-    own = bench.template
-    a, b = int(own.first[i]), int(own.first[i + 1])
-    t = np.flatnonzero(own.kind[a:b] > 0)
-    there = shift + t
-    ok = (there >= template.first[text]) & (there < template.first[text + 1])
-    t, there = t[ok], there[ok]
-    same = template.kind[there] == own.kind[a + t]
-    t, there = t[same], there[same]
-    mapped: dict[tuple[int, int], Counter] = {}
-    for x, y in zip(t, there, strict=True):
-        mapped.setdefault((int(own.kind[a + x]), int(own.value[a + x])), Counter())[int(template.value[y])] += 1
-    slots = len(t)
-    agreeing = sum(max(c.values()) for c in mapped.values())
-    changed = int((own.value[a + t] != template.value[there]).sum())
-    return slots, changed, not slots or agreeing >= 0.8 * slots
+        here: list[int] = []
+        there: list[int] = []
+        for s in [base, *(s for s, _ in common if s != base)]:
+            for x in np.unique((at[shift == s][:, None] + np.arange(n)).ravel()).tolist():
+                k = bisect_left(here, x)
+                if (k == len(here) or here[k] != x and there[k] > x + s) and (k == 0 or there[k - 1] < x + s):
+                    here.insert(k, x)
+                    there.insert(k, x + s)
+        t, d = first + np.array(here), np.array(there)
+        kind, a, b = own.kind[t], own.value[t], template.value[d]
+        repeats = (kind == NUMBER) | (kind == NAME)
+        pairs = set(zip(kind[repeats].tolist(), a[repeats].tolist(), b[repeats].tolist(), strict=True))
+        if len(pairs) == len({p[:2] for p in pairs}) == len({(p[0], p[2]) for p in pairs}):
+            return int((kind > 0).sum()), int(((kind > 0) & (a != b)).sum())
+    return None
 
 
 def _blocks(benchmark: DataFrame, n: int) -> Iterator[Benchmark]:
