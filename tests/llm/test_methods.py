@@ -93,6 +93,18 @@ def test_slots_map_one_to_one_at_some_placement(spark):
     assert sorted(rows) == [7, 8, 9, 10, 11] and rows[7]["changed_slots"] == rows[8]["changed_slots"] == rows[9]["changed_slots"] == 0
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    bench = {"sum": "What is 12 + 7?", "part": "What is 12.5 + 7?", "zh": "小明有十二个苹果，他吃了三个，还剩几个？", "th": "แมวตัวนี้กินปลากี่ตัวในหนึ่งวัน", "zh2": "几点了", "none": "?!", "null": None}
+    texts = {
+        1: "A quiz: what is 12 + 7? Nobody knows", 2: "A quiz: what is 12 + 8? Nobody knows", 3: "what is 12.5 + 7", 4: "前面的话。小明有十二个苹果,他吃了三个,还剩几个?后面的话。", 5: "天气很好，我们去公园玩，大家都很高兴。",
+        6: "ก่อน แมวตัวนี้กินปลากี่ตัวในหนึ่งวัน หลัง", 7: "现在几点了呢", 8: "what is 12", 9: None,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame(list(bench.items()), "item_id string, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, items).collect()} == {(1, "sum"), (3, "part"), (4, "zh"), (6, "th"), (7, "zh2")}
+    assert sorted(r["doc_id"] for r in decontamination.without_leaks(docs, items).collect()) == [2, 5, 8, 9]
+
+
 def test_benchmark_blocks_change_nothing(spark, sf_dir, monkeypatch):
     before = sorted(QUERIES["op7_decontamination"](spark, sf_dir).collect(), key=str)
     monkeypatch.setattr(decontamination, "BLOCK_TOKENS", 500)

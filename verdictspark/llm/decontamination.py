@@ -8,7 +8,9 @@ slots agree: one number or name of the item always stands for one of the documen
 other way round (units may change). Every placement with that share is tested, with its own
 windows only.
 
-Items of fewer tokens than a window, or null ones, are never reported. Null and empty
+Characters of scripts without spaces are tokens of their own. An item of fewer tokens than
+a window is held where all of them occur in order with the same values, numbers and names
+too. Items without tokens, or null ones, are never reported. Null and empty
 documents hold nothing. Repeated documents are reported each; several benchmark rows with
 one id count as items of their own and give one row a document with the best coverage.
 """
@@ -71,16 +73,46 @@ def _unit_hashes() -> np.ndarray:
 _known: dict[str, np.ndarray] = {}
 
 
+#: Code points of scripts without spaces between words: each is a token; and of their punctuation, which goes.
+UNSPACED = ((0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3040, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+WIDE_MARKS = ((0x3000, 0x3004), (0x3007, 0x3020), (0x3030, 0x3030), (0x30FB, 0x30FB), (0xFE30, 0xFE4F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65), (0x0E5A, 0x0E5B), (0x0F0B, 0x0F14), (0x104A, 0x104F), (0x17D4, 0x17DA))
+
+
+def _unspaced(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Marks all bytes of unspaced characters 2 at the first and 1 at others; their punctuation gets kind 0 in place."""
+    out = np.zeros(len(data), dtype=np.uint8)
+    for size, mask in ((3, 0x0F), (4, 0x07)):
+        at = np.flatnonzero(data >= 0xF0 if size == 4 else (data >= 0xE0) & (data < 0xF0))
+        at = at[at + size <= len(data)]
+        if not len(at):
+            continue
+        point = (data[at] & mask).astype(np.int64)
+        for k in range(1, size):
+            point = point << 6 | (data[at + k] & 0x3F)
+        within = lambda ranges: np.any([(point >= lo) & (point <= hi) for lo, hi in ranges], axis=0)  # noqa: E731, B023
+        marks, chars = at[within(WIDE_MARKS)], at[within(UNSPACED) & ~within(WIDE_MARKS)]
+        for k in range(size):
+            kind[marks + k] = 0
+            out[chars + k] = 1
+        out[chars] = 2
+    return out
+
+
 def templates(column: pa.Array) -> Template:
     data, at = buffers(column)
     kind = _KIND[data]
+    lone = _unspaced(data, kind)
     before, after = np.zeros_like(kind), np.zeros_like(kind)
     before[1:], after[:-1] = kind[:-1], kind[1:]
     inner = at[(at > 0) & (at < len(data))]
     before[inner] = 0
     after[inner - 1] = 0
-    start = np.flatnonzero((kind > 0) & (kind != before))
-    end = np.flatnonzero((kind > 0) & (kind != after)) + 1
+    # An unspaced character begins a token, and so does what follows it.
+    opening, closing = lone == 2, np.zeros(len(data), dtype=bool)
+    opening[1:] |= (lone[1:] == 0) & (lone[:-1] > 0)
+    closing[:-1] = opening[1:]
+    start = np.flatnonzero((kind > 0) & ((kind != before) | opening))
+    end = np.flatnonzero((kind > 0) & ((kind != after) | closing)) + 1
     opens = np.zeros(len(start), dtype=bool)
     opens[np.searchsorted(start, at[:-1])[np.searchsorted(start, at[:-1]) < len(start)]] = True
     number = kind[start] == 2 if len(start) else np.zeros(0, dtype=bool)
@@ -107,6 +139,11 @@ def templates(column: pa.Array) -> Template:
     else:
         name = mid
     kinds = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, PLAIN)))[stays]
+    # The parts behind a number's first (12.5, 1,200) belong to its value.
+    parts = np.flatnonzero(~stays)
+    if len(parts):
+        head = np.maximum.accumulate(np.where(stays, np.arange(len(start)), 0))[parts]
+        np.add.at(value, head, value[parts] * (2 * (parts - head) + 1).astype(np.uint64))
     value = value[stays]
     place = np.concatenate([[0], np.cumsum(stays)])
     return Template(kinds, np.where(kinds > 0, _SLOT_HASH[kinds], value), value, place[words.first])
@@ -123,6 +160,8 @@ class Benchmark:
     item: np.ndarray
     at: np.ndarray
     group: np.ndarray
+    #: Items shorter than a window by length: the hashes of their values in order, and the items.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def benchmark_of(ids: list, column: pa.Array, n: int) -> Benchmark:
@@ -139,7 +178,28 @@ def benchmark_of(ids: list, column: pa.Array, n: int) -> Benchmark:
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1])
     group = np.cumsum(new)
-    return Benchmark(ids, template, np.bincount(item[new], minlength=len(ids)), h, item, at, group)
+    short = {}
+    for m in range(1, n):
+        items = np.flatnonzero(count == m)
+        if len(items):
+            whole = windows(template.value, m)[template.first[items]]
+            order = np.argsort(whole, kind="stable")
+            short[m] = whole[order], items[order]
+    return Benchmark(ids, template, np.bincount(item[new], minlength=len(ids)), h, item, at, group, short)
+
+
+def _short_leaks(template: Template, bench: Benchmark) -> Iterator[Leak]:
+    """Texts that hold all tokens of an item shorter than a window, values and all."""
+    for m, (hashes, items) in bench.short.items():
+        h = windows(template.value, m)
+        pos = np.flatnonzero(np.isin(h, hashes))
+        text = np.searchsorted(template.first, pos, side="right") - 1
+        inside = pos + m <= template.first[np.minimum(text + 1, len(template.first) - 1)]
+        pos, text = pos[inside], text[inside]
+        lo, hi = np.searchsorted(hashes, h[pos]), np.searchsorted(hashes, h[pos], side="right")
+        for t, i in sorted({(int(t), int(i)) for t, x, y in set(zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True)) for i in items[x:y]}):
+            a = int(bench.template.first[i])
+            yield Leak(t, i, 1, 1, int((bench.template.kind[a : a + m] > 0).sum()), 0)
 
 
 @dataclass
@@ -153,7 +213,8 @@ class Leak:
 
 
 def leaks(template: Template, bench: Benchmark, n: int, share: float) -> Iterator[Leak]:
-    """The (text, item) pairs that hold, by text."""
+    """The (text, item) pairs that hold: short items, then others by text."""
+    yield from _short_leaks(template, bench)
     if not len(bench.hashes):
         return
     h = windows(template.seen, n)
@@ -234,7 +295,7 @@ def _blocks(benchmark: DataFrame, n: int) -> Iterator[Benchmark]:
     for r in rows.toLocalIterator():
         ids.append(r["item_id"])
         texts.append(r["text"])
-        size += len(r["text"]) // 2 + 1
+        size += len(r["text"]) // (2 if r["text"].isascii() else 1) + 1
         if size >= BLOCK_TOKENS:
             yield benchmark_of(ids, pa.array(texts, pa.string()), n)
             ids, texts, size = [], [], 0
