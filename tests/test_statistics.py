@@ -1,5 +1,6 @@
 """Statistics against independent computations, and metamorphic properties."""
 
+import hashlib
 from statistics import NormalDist
 
 import numpy as np
@@ -117,3 +118,18 @@ def test_least_items(spark):
     assert 50 <= found["n_items"] < 400 and found["power"] >= 0.8
     assert null["n_items"] == 400 and 0.02 < null["power"] < 0.09
     assert beyond["n_items"] is None and beyond["power"] is None
+
+
+def test_fingerprints_read_members_row_by_row(spark):
+    """Values of a plain hash in order of pos, from many partitions and batches, with no array of a pool's text."""
+    rows = [(c, p, f"e{p}", None if p % 7 == 0 else f"é{p * 31 % 101}") for c in ("a", "b", None) for p in range(300 if c == "a" else 40)]
+    pool = spark.createDataFrame(rows, "cell string, pos int, item string, text string").repartition(9, "text")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        found = sampling.fingerprint(pool, ["cell"], "pos", ["item", "text"])
+        got = {r["cell"]: (r["n"], r["fingerprint"]) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = lambda c: "".join(i + (t or "") for k, _, i, t in sorted((r for r in rows if r[0] == c), key=lambda r: r[1]))
+    assert got == {c: (300 if c == "a" else 40, hashlib.sha256(plain(c).encode()).hexdigest()[:16]) for c in ("a", "b", None)}
+    assert "collect_list" not in found._jdf.queryExecution().toString()

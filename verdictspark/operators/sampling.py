@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hashed_order(seed: str, item: str = "item_id") -> Column:
@@ -86,7 +91,32 @@ def cyclic_pairs(targets: DataFrame, episodes: DataFrame, n: int, item: str = "i
 
 
 def fingerprint(pool: DataFrame, keys: list[str], pos: str, parts: list[str]) -> DataFrame:
-    """16 hexadecimal digits over an ordered pool's text: its id, audit and repair of each member in order."""
+    """16 hexadecimal digits over an ordered pool's text: its id, audit and repair of each member in order.
+
+    A member is a row throughout: rows come sorted and go through one running SHA-256 a pool,
+    so no row or task holds a pool's text. Such a hash can't be split; a pool is read by one task.
+    """
     body = F.concat(*[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
-    rows = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), body.alias("body"))))
-    return pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.substring(F.sha2(F.array_join(F.transform(rows, lambda r: r["body"]), ""), 256), 1, 16).alias("fingerprint"))
+    rows = pool.select(*keys, F.col(pos).alias("_pos"), body.alias("_body")).repartition(*keys).sortWithinPartitions(*keys, "_pos", "_body")
+    schema = T.StructType([*(pool.schema[k] for k in keys), T.StructField("n", T.LongType()), T.StructField("fingerprint", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kinds, n, digest = None, None, 0, hashlib.sha256()
+
+        def told() -> pa.RecordBatch:
+            columns = [*(pa.array([v], t) for v, t in zip(key, kinds, strict=True)), pa.array([n], pa.int64()), pa.array([digest.hexdigest()[:16]])]
+            return pa.RecordBatch.from_arrays(columns, names=[*keys, "n", "fingerprint"])
+
+        for batch in batches:
+            kinds = [batch.column(k).type for k in keys]
+            for *own, text in zip(*(batch.column(k).to_pylist() for k in keys), batch.column("_body"), strict=True):
+                if own != key:
+                    if n:
+                        yield told()
+                    key, n, digest = own, 0, hashlib.sha256()
+                digest.update(text.as_py().encode())
+                n += 1
+        if n:
+            yield told()
+
+    return rows.mapInArrow(run, schema)
