@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -18,6 +19,7 @@ from verdictspark.llm.jaccard import near_duplicates, one_of_each, with_componen
 from verdictspark.llm.queries import QUERIES
 from verdictspark.llm.repeats import without_repeats
 from verdictspark.llm.tables import join_hot, keep
+from verdictspark.llm.tokens import tokenizer
 from verdictspark.llm.toxicity import label_model
 
 SF = "/root/testdata/sf{}"
@@ -171,6 +173,30 @@ def test_words_and_windows(texts, n):
     assert len(set(w.tolist())) == len({tuple(flat[i : i + n]) for i in range(len(flat) - n + 1)})
 
 
+def swapped_words(n):
+    """The Thue-Morse word of n letters and the same with its letters swapped."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_words_differ(spark):
+    """Words that agree in every polynomial hash modulo a power of two."""
+    pairs = [swapped_words(n) for n in (8, 16, 32, 64, 1024, 2048, 4096)]
+    flat = [w for pair in pairs for w in pair]
+    for seed in (0, 1):
+        assert len(set(words.split(pa.array(flat)).hashes(seed=seed).tolist())) == len(flat)
+    tok = tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    ids, at = tok.encode(pa.array(flat))
+    for i, w in enumerate(flat):
+        assert ids[at[i] : at[i + 1]].tolist() == [*tok.tokenizer.encode(w, add_special_tokens=False).ids, 0]
+    lead = " ".join(f"w{k}" for k in range(17))
+    rows = [(2 * k + j, f"{lead} {pair[j]} {lead[::-1]}") for k, pair in enumerate(pairs) for j in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r["n_removed"] == 0 for r in without_repeats(docs).collect())
+    short = spark.createDataFrame([(2 * k + j, f"x {pair[j]} y z") for k, pair in enumerate(pairs) for j in (0, 1)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in with_component_ids(near_duplicates(short, 3, 90, 100)).collect()} == {k: k for k in range(2 * len(pairs))}
+
+
 def test_covers_take_any_two_positions_to_anchors():
     for period, cover in repeats.COVERS.items():
         anchors = {x for x in range(period) if x in cover}

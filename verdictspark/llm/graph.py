@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdictspark.llm.tables import join_hot, keep
+from verdictspark.llm.tables import discard, join_hot, keep
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,13 +22,15 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         up = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        least = edges.unionByName(up).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = edges.unionByName(up).groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = join_hot(up, least, "a", before[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = keep(large, "edges")
+        discard(edges)
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = join_hot(large, down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         edges = keep(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        discard(large)
         now = _state(edges)
         if now == before:
             break

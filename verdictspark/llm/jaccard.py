@@ -1,16 +1,27 @@
 """Jaccard self-join of documents' word n-grams by prefixes under several token orders.
 
 Documents with equal sets form one class. Under any order of tokens, two sets of
-similarity t or more share a token among the first n - ceil(t n) + 1 of each, and as many
-of those as their sizes leave no other room for. Two global orders are used, both with
-frequent tokens last (by a table of counts over all documents, of fixed size) and each by
-a hash of its own; a pair stays a candidate only if it shares enough prefix tokens under
-both. Pairs with a very common prefix token become edges to one of its holders instead.
-Connected candidates travel together once, and their sets are compared there exactly.
-
-Classes, tokens and texts are told apart by 64-bit hashes. Null and empty texts, and texts
-of white space, have empty sets and no links. A text of fewer than n words has its whole
-word sequence as its one token. Rows with equal texts or ids count as rows of their own.
+similarity t or more share a token among the first n - ceil(t n) + 1 = p of each. Orders
+here put tokens that fewer sets hold first, and differ in how they break ties.
+
+1. A set of which p tokens are held by no other has no prefix token in common with any.
+   Tokens below a fixed share of the hash range are counted over all documents, and sets
+   with p single ones among those alone are done: they link with nothing.
+2. The rest are counted whole and give their prefixes under two orders, without single
+   tokens. Sets that share a prefix token are tied; sets tied under one order are tied
+   anew under the other among themselves, until no group splits: what is left of a group
+   shares prefix tokens under both.
+3. Groups are compared exactly. A group beyond one task's share is dealt to several
+   parts, each with the group's first set; parts that this doesn't unite compare what
+   lies outside the largest component with all parts.
+
+Every table passed on grows with the tokens, none with pairs. Classes are 128-bit digests
+of sets of 64-bit token hashes, texts 128-bit digests.
+
+Null and empty texts, and texts of white space, have empty sets and no links. A text of
+fewer than n words has its whole word sequence as its one token. Very long texts are sets
+like others. Rows with equal texts or ids count as rows of their own. An empty table gives
+an empty result. Only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -24,21 +35,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictspark.llm.graph import components
-from verdictspark.llm.meeting import buckets_for
-from verdictspark.llm.tables import join_hot, keep, partitions, read, share_of
+from verdictspark.llm.meeting import buckets_for, planes, unplanes
+from verdictspark.llm.tables import discard, join_hot, keep, partitions, read, share_of
 from verdictspark.llm.words import Words, mix, pieces, split, windows
 
-COUNTERS = 1 << 20
-CHUNK = 1 << 14
-#: Holders of a token from which it gives edges to one holder instead of pairs. Rarer tokens
-#: may stand below the noise of the table of counts; their pairs are filtered one by one.
-COMMON = 256
-COMMON_IN_BATCH = 64
-#: Tokens of sets that one comparing task gets at most, and the most bits of the filter of texts.
-TASK_TOKENS = 4_000_000
+#: Places that a task gathers before it deals them out, and tokens of a block of sets.
+CHUNK_PLACES = 1 << 21
+BLOCK_TOKENS = 1 << 20
+#: Tokens of one part of a large group: the share of a task, between these two.
+PART_TOKENS = (1 << 14, 1 << 20)
 FILTER_BITS_MOST = 1 << 27
 
 _U = np.uint64
+_ID = np.dtype("V16")
 
 
 def tokens_of(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,214 +66,134 @@ def tokens_of(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _text_ids(words: Words) -> np.ndarray:
-    raw, at = words.data.tobytes(), words.text_at
-    return np.frombuffer(b"".join(hashlib.md5(raw[a:b], usedforsecurity=False).digest()[:8] for a, b in zip(at[:-1], at[1:], strict=True)), dtype=_U)
+def sets_of(column: pa.Array, n: int) -> list[np.ndarray]:
+    """Each text's distinct tokens in order."""
+    grams, first = tokens_of(split(column), n)
+    return [np.unique(grams[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def class_id(own: np.ndarray) -> int:
-    """A set's identity: two sums over its tokens, mixed with its size."""
-    with np.errstate(over="ignore"):
-        a, b = own.sum(dtype=_U), mix(own ^ _U(0x5BF03635D1F7A3C1)).sum(dtype=_U)
-        return int(mix(np.array([a + mix(np.array([b + _U(len(own))]))[0]]))[0])
+def class_id(own: np.ndarray) -> bytes:
+    """A set's identity."""
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _counted(n: int):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_ = np.zeros(COUNTERS, dtype=np.int64), False
-        for batch in pieces(batches):
-            grams, _ = tokens_of(split(batch.column("text")), n)
-            total += np.bincount((grams >> _U(44)).astype(np.int64), minlength=COUNTERS)
-            any_ = True
-        if any_:
-            for c in range(0, COUNTERS, CHUNK):
-                part = total[c : c + CHUNK]
-                at = np.flatnonzero(part)
-                if len(at):
-                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([c // CHUNK], pa.int32()), "at": pa.array([at.astype("<u2").tobytes()]), "n": pa.array([part[at].astype("<u4").tobytes()])})
+def prefix_length(n: int, num: int, den: int) -> int:
+    return n - -(-num * n // den) + 1
 
-    return run
 
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [c.split() for c in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f[0] for f in fields])
 
-def _summed(table: pa.Table) -> pa.Table:
-    total = np.zeros(CHUNK, dtype=np.int64)
-    for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist(), strict=True):
-        total[np.frombuffer(at, dtype="<u2")] += np.frombuffer(n, dtype="<u4")
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.astype("<i8").tobytes()])})
 
+def _steps(at: np.ndarray) -> bytes:
+    return planes(np.diff(at, prepend=0))
 
-def frequency_classes(texts: DataFrame, n: int) -> np.ndarray:
-    """For each counter of hashed tokens, 0 or the logarithm of a count above the noise.
 
-    Counts cover every token of every text; the table has a fixed size whatever the input.
-    """
-    counts = texts.mapInArrow(_counted(n), "chunk int, at binary, n binary").groupBy("chunk").applyInArrow(_summed, "chunk int, counts binary")
-    total = np.zeros(COUNTERS, dtype=np.int64)
-    for r in counts.collect():
-        total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], dtype="<i8")
-    usual = float(np.median(total))
-    over = total - usual
-    return np.where(over > 6 * np.sqrt(usual) + 12, np.minimum(np.log2(np.maximum(over, 1)).astype(np.int64), 31), 0).astype(np.uint8)
+def _unsteps(raw: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(raw).astype(np.int64))
 
 
-def prefix_length(n: int, num: int, den: int) -> int:
-    return n - -(-num * n // den) + 1
+def _by_bucket(tokens: np.ndarray, limit: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that brings tokens below limit together by buckets of equal ranges, the buckets met and where each begins."""
+    bucket = (tokens >> _U(32)) * _U(buckets) // _U((limit >> 32) + 1)
+    order = np.argsort(bucket, kind="stable")
+    met, edge = np.unique(bucket[order], return_index=True)
+    return order, met, np.append(edge, len(order))
 
 
-def _prefixes(own: np.ndarray, classes: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first p tokens of a sorted set under either order."""
-    cls = classes[(own >> _U(44)).astype(np.int64)]
-    second = mix(own ^ _U(0xA24BAED4963EE407))
-    if cls.any():
-        first = own[np.argsort(cls, kind="stable")[:p]]
-        second = (cls.astype(_U) << _U(59)) | (second >> _U(5))
-    else:
-        first = own[:p]
-    return first, own[np.argpartition(second, p - 1)[:p]] if p < len(own) else own
+def _classes(id_type: str, n: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = sets_of(batch.column("text"), n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("tid"), pa.array([class_id(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())],
+                names=["doc_id", "tid", "cid", "n"],
+            )
 
+    return run, f"doc_id {id_type}, tid binary, cid binary, n long"
 
-_DEALT = "bucket int, what int, cids binary, sizes binary, counts binary, tokens binary"
 
+_PLACES = "bucket int, chunk binary, cids binary, sizes binary, sets binary, tokens binary"
 
-def _deal(n: int, num: int, den: int, classes: np.ndarray, buckets: int):  # noqa: ANN202
-    """Rows for the buckets: 0 and 1 hold prefixes under the two orders, 2 documents, 3 edges."""
 
-    def rows_of(what: int, cids: np.ndarray, sizes: np.ndarray, text: np.ndarray, tokens: np.ndarray) -> Iterator[tuple]:
-        order = np.argsort(tokens, kind="stable")
-        s = tokens[order]
-        cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        count = np.diff(np.append(cut, len(s)))
-        common = count >= COMMON_IN_BATCH
-        goes = np.ones(len(s), dtype=bool)
-        a, b = [], []
-        for g in np.flatnonzero(common):
-            own = order[cut[g] : cut[g] + count[g]]
-            members = np.unique(cids[text[own]])
-            a.append(members[1:])
-            b.append(np.full(len(members) - 1, members[0]))
-            goes[own] = False
-            goes[own[np.argmin(cids[text[own]])]] = True
-        flagged = set(s[cut[common]].tolist())
-        if a:
-            yield (int(members[0] % _U(buckets)), 3, np.concatenate(a).tobytes(), None, None, np.concatenate(b).tobytes())
-        text, tokens = text[goes], tokens[goes]
-        bucket = ((tokens >> _U(20)) % _U(buckets)).astype(np.int64)
-        order = np.lexsort((text, bucket))
-        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for k in range(buckets):
+def _sampled(n: int, limit: int, buckets: int):  # noqa: ANN202
+    """Tokens below limit by bucket, with the sets of the chunk that hold them; the chunk's sets in a row of their own."""
+
+    def rows_of(cids: list[bytes], sizes: list[int], parts: list[np.ndarray]) -> list[tuple]:
+        ids = b"".join(cids)
+        chunk = hashlib.blake2b(ids, digest_size=16).digest()
+        tokens = np.concatenate(parts)
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        order, met, edge = _by_bucket(tokens, limit, buckets)
+        rows = [(int.from_bytes(chunk[:4], "little") % buckets, chunk, ids, np.array(sizes, dtype="<u4").tobytes(), None, None)]
+        for k, b in enumerate(met.tolist()):
             own = order[edge[k] : edge[k + 1]]
-            if len(own):
-                t = text[own]
-                first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-                size = sizes[t[first]].astype("<u4")
-                yield (k, what, cids[t[first]].tobytes(), size.tobytes(), np.diff(np.append(first, len(t))).astype("<u4").tobytes(), tokens[own].tobytes())
-        for k in {int((x >> 20) % buckets) for x in flagged}:
-            yield (k, 4 + what, None, None, None, np.array([x for x in flagged if (x >> 20) % buckets == k], dtype=_U).tobytes())
+            rows.append((b, chunk, None, None, _steps(owner[own]), tokens[own].astype("<u4").tobytes()))
+        return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cids: dict[bytes, None] = {}
+        sizes, parts, places = [], [], 0
         for batch in pieces(batches):
-            words = split(batch.column("text"))
-            grams, first = tokens_of(words, n)
-            tids = _text_ids(words)
-            cids, sizes = np.zeros(len(tids), dtype=_U), np.zeros(len(tids), dtype=np.int64)
-            seen: set[int] = set()
-            one, two = [], []
-            for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                if a == b:
-                    continue
-                own = np.unique(grams[a:b])
-                cids[i], sizes[i] = class_id(own), len(own)
-                if int(cids[i]) not in seen:
-                    seen.add(int(cids[i]))
-                    x, y = _prefixes(own, classes, prefix_length(len(own), num, den))
-                    one.append((i, x))
-                    two.append((i, y))
-            rows = [(int(tids[0] % _U(buckets)), 2, cids.tobytes(), sizes.astype("<u4").tobytes(), None, tids.tobytes())]
-            for what, parts in ((0, one), (1, two)):
-                if parts:
-                    text = np.repeat([i for i, _ in parts], [len(x) for _, x in parts])
-                    rows += rows_of(what, cids, sizes, text, np.concatenate([x for _, x in parts]))
-            types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in _DEALT.split(", ")])
+            for own in sets_of(batch.column("text"), n):
+                if len(own) and (cid := class_id(own)) not in cids:
+                    cids[cid] = None
+                    sizes.append(len(own))
+                    parts.append(own[: np.searchsorted(own, _U(limit), side="right")])
+                    places += len(parts[-1])
+            if places >= CHUNK_PLACES:
+                yield _batch(_PLACES, rows_of(list(cids), sizes, parts))
+                cids, sizes, parts, places = {}, [], [], 0
+        if cids:
+            yield _batch(_PLACES, rows_of(list(cids), sizes, parts))
 
     return run
 
 
-_MET = "what int, x long, y long, nx int, ny int, one int, two int"
+_SINGLE = "chunk binary, cids binary, sizes binary, sets binary"
 
 
-def _meet(num: int, den: int):  # noqa: ANN202
+def _singles(table: pa.Table) -> pa.Table:
+    """One bucket: for each chunk, the sets of the tokens that occur once; rows of sets as they are."""
+    rows, found = [], []
+    for r in table.to_pylist():
+        if r["cids"] is not None:
+            rows.append((r["chunk"], r["cids"], r["sizes"], None))
+        else:
+            found.append((r["chunk"], _unsteps(r["sets"]), np.frombuffer(r["tokens"], dtype="<u4")))
+    if found:
+        tokens = np.concatenate([f[2] for f in found])
+        order = np.argsort(tokens, kind="stable")
+        s = tokens[order]
+        same = s[1:] == s[:-1]
+        single = np.ones(len(s), dtype=bool)
+        single[order[1:][same]] = False
+        single[order[:-1][same]] = False
+        at = 0
+        for chunk, owner, own in found:
+            owner = owner[single[at : at + len(own)]]
+            at += len(own)
+            if len(owner):
+                rows.append((chunk, None, None, _steps(owner)))
+    return pa.Table.from_batches([_batch(_SINGLE, rows)])
+
+
+def _tied(num: int, den: int):  # noqa: ANN202
+    """One chunk: the sets of which fewer than a prefix's tokens are known to be single."""
+
     def run(table: pa.Table) -> pa.Table:
-        out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        zeros = lambda k: np.zeros(k, dtype=np.int64)
-        posts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {0: [], 1: []}
-        flagged: dict[int, list[np.ndarray]] = {0: [], 1: []}
-        for r in table.to_pylist():
-            tok = np.frombuffer(r["tokens"], dtype=_U)
-            if r["what"] in (4, 5):
-                flagged[r["what"] - 4].append(tok)
-                continue
-            cid = np.frombuffer(r["cids"], dtype=_U)
-            if r["what"] == 3:
-                out.append((3, cid, tok, zeros(len(cid)), zeros(len(cid)), zeros(len(cid)), zeros(len(cid))))
-            elif r["what"] == 2:
-                size = np.frombuffer(r["sizes"], dtype="<u4").astype(np.int64)
-                out.append((2, cid, tok, size, zeros(len(cid)), zeros(len(cid)), zeros(len(cid))))
-            else:
-                each = np.frombuffer(r["counts"], dtype="<u4")
-                posts[r["what"]].append((tok, np.repeat(cid, each), np.repeat(np.frombuffer(r["sizes"], dtype="<u4"), each)))
-        for what in (0, 1):
-            if not posts[what]:
-                continue
-            tok, cid, size = (np.concatenate(c) for c in zip(*posts[what], strict=True))
-            order = np.argsort(tok, kind="stable")
-            s = tok[order]
-            twice = np.zeros(len(s), dtype=bool)
-            same = s[1:] == s[:-1]
-            twice[1:] |= same
-            twice[:-1] |= same
-            order = order[twice]
-            tok, cid, size = tok[order], cid[order], size[order].astype(np.int64)
-            order = np.lexsort((cid, tok))
-            tok, cid, size = tok[order], cid[order], size[order]
-            if not len(tok):
-                continue
-            own = np.ones(len(tok), dtype=bool)
-            own[1:] = (tok[1:] != tok[:-1]) | (cid[1:] != cid[:-1])
-            tok, cid, size = tok[own], cid[own], size[own]
-            cut = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-            count = np.diff(np.append(cut, len(tok)))
-            common = count >= COMMON
-            if flagged[what]:
-                common |= np.isin(tok[cut], np.concatenate(flagged[what]))
-            if common.any():
-                rows = np.repeat(common, count)
-                lead = np.repeat(cid[cut], count)
-                rows &= cid != lead
-                k = int(rows.sum())
-                out.append((3, cid[rows], lead[rows], zeros(k), zeros(k), zeros(k), zeros(k)))
-            xs, ys = [], []
-            for c in np.unique(count[~common & (count > 1)]):
-                i, j = np.triu_indices(int(c), 1)
-                base = cut[~common & (count == c)][:, None]
-                xs.append((base + i).ravel())
-                ys.append((base + j).ravel())
-            if xs:
-                x, y = np.concatenate(xs), np.concatenate(ys)
-                fit = np.minimum(size[x], size[y]) * den >= num * np.maximum(size[x], size[y])
-                x, y = x[fit], y[fit]
-                ids, back = np.unique(cid, return_inverse=True)
-                pair, k = np.unique(back[x] * len(ids) + back[y], return_counts=True)
-                sizes = np.zeros(len(ids), dtype=np.int64)
-                sizes[back] = size
-                px, py = pair // max(len(ids), 1), pair % max(len(ids), 1)
-                out.append((0, ids[px], ids[py], sizes[px], sizes[py], *((k, zeros(len(k))) if what == 0 else (zeros(len(k)), k))))
-        if not out:
-            return pa.schema([("what", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), *((c, pa.int32()) for c in ("nx", "ny", "one", "two"))]).empty_table()
-        what = np.concatenate([np.full(len(o[1]), o[0]) for o in out])
-        x, y = (np.concatenate([o[k] for o in out]).view(np.int64) for k in (1, 2))
-        rest = [np.concatenate([o[k] for o in out]) for k in (3, 4, 5, 6)]
-        return pa.table({"what": pa.array(what, pa.int32()), "x": pa.array(x), "y": pa.array(y)} | {c: pa.array(v, pa.int32()) for c, v in zip(("nx", "ny", "one", "two"), rest, strict=True)})
+        rows = table.to_pylist()
+        head = next(r for r in rows if r["cids"] is not None)
+        cids, size = np.frombuffer(head["cids"], dtype=_ID), np.frombuffer(head["sizes"], dtype="<u4").astype(np.int64)
+        single = np.zeros(len(size), dtype=np.int64)
+        for r in rows:
+            if r["sets"] is not None:
+                single += np.bincount(_unsteps(r["sets"]), minlength=len(size))
+        left = np.flatnonzero(single < size - -(-num * size // den) + 1)
+        return pa.table({"cid": pa.array([cids[i].tobytes() for i in left], pa.binary()), "n": pa.array(size[left], pa.int64())})
 
     return run
 
@@ -272,13 +201,20 @@ def _meet(num: int, den: int):  # noqa: ANN202
 BIT_CHUNK = 1 << 16
 
 
-def _bits(column: str, bits: int):  # noqa: ANN202
+def _bit_of(column: pa.Array) -> np.ndarray:
+    """64 bits of each id: a number, or a digest's first eight bytes."""
+    if pa.types.is_integer(column.type):
+        return np.asarray(column).view(_U)
+    return np.frombuffer(b"".join(x[:8] for x in column.to_pylist()), dtype=_U)
+
+
+def _bits(bits: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique((np.asarray(batch.column(column)).view(_U) % _U(bits)).astype(np.int64))
-            edge = np.flatnonzero(np.concatenate([[True], at[1:] // BIT_CHUNK != at[:-1] // BIT_CHUNK])) if len(at) else []
-            parts = np.split(at, edge[1:]) if len(at) else []
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([int(p[0]) // BIT_CHUNK for p in parts], pa.int32()), "at": pa.array([(p % BIT_CHUNK).astype("<u2").tobytes() for p in parts], pa.binary())})
+            at = np.unique((_bit_of(batch.column(0)) % _U(bits)).astype(np.int64))
+            met, edge = np.unique(at // BIT_CHUNK, return_index=True)
+            parts = np.split(at % BIT_CHUNK, edge[1:])
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(met, pa.int32()), "at": pa.array([p.astype("<u2").tobytes() for p in parts[: len(met)]], pa.binary())})
 
     return run
 
@@ -290,8 +226,8 @@ def _set_bits(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk").slice(0, 1), "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})
 
 
-def text_filter(ids: DataFrame, column: str, count: int) -> np.ndarray:
-    """A table of bits that is set for every id; others may pass it too.
+def id_filter(ids: DataFrame, count: int) -> np.ndarray:
+    """A table of bits that is set for every id; others may pass it too, and a join sorts them out.
 
     It is put together in chunks on the executors; the driver gets the bits alone, at most
     FILTER_BITS_MOST of them.
@@ -300,36 +236,176 @@ def text_filter(ids: DataFrame, column: str, count: int) -> np.ndarray:
     while bits < 16 * count and bits < FILTER_BITS_MOST:
         bits *= 2
     marks = np.zeros(bits // 8, dtype=np.uint8)
-    chunks = ids.select(column).mapInArrow(_bits(column, bits), "chunk int, at binary").groupBy("chunk").applyInArrow(_set_bits, "chunk int, marks binary")
-    for r in chunks.collect():
+    for r in ids.mapInArrow(_bits(bits), "chunk int, at binary").groupBy("chunk").applyInArrow(_set_bits, "chunk int, marks binary").collect():
         marks[r["chunk"] * BIT_CHUNK // 8 : (r["chunk"] + 1) * BIT_CHUNK // 8] = np.frombuffer(r["marks"], dtype=np.uint8)
     return marks
 
 
-def _sets(n: int, marks: np.ndarray, holders: dict[int, object]):  # noqa: ANN202
-    """Sets of the texts that pass the filter; of a frequent text, that of its holder's row alone."""
-    bits = _U(len(marks) * 8)
-    frequent = np.array(list(holders), dtype=np.int64).view(_U)
+def _passing(marks: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = (ids % _U(len(marks) * 8)).astype(np.int64)
+    return np.flatnonzero(marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+
+
+def _sets(n: int, marks: np.ndarray, holders: dict[bytes, object]):  # noqa: ANN202
+    """Sets of the classes that pass the filter; of a frequent class, that of its holder's row alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            tids = _text_ids(split(batch.column("text")))
-            at = (tids % bits).astype(np.int64)
-            maybe = np.flatnonzero(marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
-            others = np.isin(tids[maybe], frequent)
-            for k in np.flatnonzero(others):
-                others[k] = batch.column("id")[int(maybe[k])].as_py() != holders[int(tids[maybe[k]].view(np.int64))]
-            maybe = maybe[~others]
-            maybe = maybe[np.sort(np.unique(tids[maybe], return_index=True)[1])]
-            if not len(maybe):
+            sets = sets_of(batch.column("text"), n)
+            cids = [class_id(s) for s in sets]
+            ids = np.frombuffer(b"".join(c[:8] for c in cids), dtype=_U)
+            goes: dict[bytes, int] = {}
+            for i in _passing(marks, ids).tolist():
+                if cids[i] not in holders or holders[cids[i]] == batch.column("id")[i].as_py():
+                    goes.setdefault(cids[i], i)
+            yield _batch("cid binary, tokens binary", [(c, sets[i].tobytes()) for c, i in goes.items()])
+
+    return run
+
+
+_BLOCK = "block binary, bucket int, nodes binary, sizes binary, tokens binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets, each node's once, as blocks of about BLOCK_TOKENS tokens."""
+    seen: set[int] = set()
+    nodes: list[int] = []
+    sets: list[bytes] = []
+    size = 0
+
+    def row() -> tuple:
+        ids = np.array(nodes, dtype="<i8").tobytes()
+        return (hashlib.blake2b(ids, digest_size=16).digest(), -1, ids, np.array([len(s) // 8 for s in sets], dtype="<u4").tobytes(), b"".join(sets))
+
+    for batch in batches:
+        for node, tokens in zip(batch.column("node").to_pylist(), batch.column("tokens"), strict=True):
+            if node in seen:
                 continue
-            grams, first = tokens_of(split(batch.column("text").take(pa.array(maybe))), n)
-            sets = [np.unique(grams[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(tids[maybe].view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["tid", "tokens"])
+            seen.add(node)
+            nodes.append(node)
+            sets.append(tokens.as_py())
+            size += len(sets[-1])
+            if size >= 8 * BLOCK_TOKENS:
+                yield _batch(_BLOCK, [row()])
+                nodes, sets, size = [], [], 0
+    if nodes:
+        yield _batch(_BLOCK, [row()])
+
+
+def _spread(buckets: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw in zip(batch.column("block").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                tokens = np.frombuffer(raw, dtype=_U)
+                order, met, edge = _by_bucket(tokens, (1 << 64) - 1, buckets)
+                rows = [(block, b, None, None, tokens[order[edge[k] : edge[k + 1]]].astype("<u4").tobytes()) for k, b in enumerate(met.tolist())]
+                yield _batch(_BLOCK, rows)
 
     return run
 
 
+def _frequencies(table: pa.Table) -> pa.Table:
+    """One bucket: for each token the class of its count: 0 for single ones, then four a doubling."""
+    rows = table.to_pylist()
+    tokens = [np.frombuffer(r["tokens"], dtype="<u4") for r in rows]
+    _, back, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    cls = np.floor(4 * np.log2(count)).astype(np.uint8)[back]
+    at = np.cumsum([0, *map(len, tokens)])
+    return pa.Table.from_batches([_batch(_BLOCK, [(r["block"], r["bucket"], None, None, cls[a:b].tobytes()) for r, a, b in zip(rows, at[:-1], at[1:], strict=True)])])
+
+
+def _prefixes(num: int, den: int, buckets: int):  # noqa: ANN202
+    """One block: the prefix tokens of its sets under both orders, but for single ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        head = next(r for r in rows if r["nodes"] is not None)
+        tokens = np.frombuffer(head["tokens"], dtype=_U)
+        order, met, edge = _by_bucket(tokens, (1 << 64) - 1, buckets)
+        cls = np.zeros(len(tokens), dtype=np.uint8)
+        place = {b: k for k, b in enumerate(met.tolist())}
+        for r in rows:
+            if r["nodes"] is None:
+                k = place[r["bucket"]]
+                cls[order[edge[k] : edge[k + 1]]] = np.frombuffer(r["tokens"], dtype=np.uint8)
+        size = np.frombuffer(head["sizes"], dtype="<u4").astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(size)])
+        out: list[tuple[int, int, np.ndarray]] = []
+        for node, a, b in zip(np.frombuffer(head["nodes"], dtype="<i8").tolist(), first[:-1], first[1:], strict=True):
+            shared = np.flatnonzero(cls[a:b])
+            takes = prefix_length(int(b - a), num, den) - (int(b - a) - len(shared))
+            if takes <= 0 or not len(shared):
+                continue
+            own, c = tokens[a:b][shared], cls[a:b][shared]
+            for o, ties in ((0, own), (1, mix(own ^ _U(0xA24BAED4963EE407)))):
+                out.append((o, node, own[np.lexsort((ties, c))[:takes]]))
+        each = [len(t) for _, _, t in out]
+        column = lambda k, kind: pa.array(np.repeat(np.array([x[k] for x in out], dtype=np.int64), each), kind)
+        found = np.concatenate([t for _, _, t in out]) if out else np.zeros(0, dtype=_U)
+        return pa.table({"ord": column(0, pa.int32()), "node": column(1, pa.int64()), "token": pa.array(found.view(np.int64))})
+
+    return run
+
+
+def shared_under_both(postings: DataFrame) -> DataFrame:
+    """Groups (id, root) of nodes that share prefix tokens under either order within the group.
+
+    Within each group, the holders of a token are tied to the least of them; components
+    are the next groups, for the other order, until none splits.
+    """
+    groups, before, step = None, None, 0
+    while True:
+        own = postings.where(F.col("ord") == step % 2)
+        if groups is not None:
+            own = own.join(groups, F.col("node") == F.col("id")).select("node", F.struct("root", "token").alias("key"))
+        else:
+            own = own.select("node", F.struct("token").alias("key"))
+        own = keep(own, "join-held")
+        lead = own.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("_held")).where("_held > 1").drop("_held")
+        edges = join_hot(own, lead, "key").where("lead is not null").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+        found = keep(components(edges), "join-groups")
+        discard(own, *([groups] if groups is not None else []))
+        groups = found
+        now = tuple(groups.agg(F.count(F.lit(1)), F.count_distinct("root")).first())
+        if now == before or not now[0]:
+            return groups
+        before, step = now, step + 1
+
+
+class _Forest:
+    def __init__(self, n: int) -> None:
+        self.root = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return i
+
+    def link(self, i: int, j: int) -> None:
+        a, b = self.find(i), self.find(j)
+        self.root[max(a, b)] = min(a, b)
+
+
+class _Holders:
+    """Sets by token, to count what a set has in common with each of them."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(s) for s in sets])
+        self.tokens, token = np.unique(np.concatenate(sets), return_inverse=True)
+        self.by_token = np.repeat(np.arange(len(sets)), self.size)[np.argsort(token, kind="stable")]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(token))])
+
+    def linked_to(self, own: np.ndarray, num: int, den: int) -> np.ndarray:
+        """The sets that link with `own`."""
+        at = np.searchsorted(self.tokens, own)
+        at = at[(at < len(self.tokens)) & (self.tokens[np.minimum(at, len(self.tokens) - 1)] == own)]
+        count = self.begin[at + 1] - self.begin[at]
+        places = np.repeat(self.begin[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        both = np.bincount(self.by_token[places], minlength=len(self.size))
+        return np.flatnonzero(both * (den + num) >= num * (self.size + len(own)))
+
+
 def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """For each set, the index of the smallest one that links reach.
 
@@ -337,138 +413,171 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     the largest component so far needn't be asked: all their links outside it show when
     the sets outside are.
     """
-    size = np.array([len(s) for s in sets])
-    root = np.arange(len(sets))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def link(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        root[max(a, b)] = min(a, b)
-
-    if len(sets) <= 6:
-        for i in range(len(sets)):
+    n, forest = len(sets), _Forest(len(sets))
+    if n <= 6:
+        for i in range(n):
             for j in range(i):
-                lo, hi = min(size[i], size[j]), max(size[i], size[j])
-                if lo * den >= num * hi:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if both * (den + num) >= num * (size[i] + size[j]):
-                        link(i, j)
-        return np.array([find(i) for i in range(len(sets))])
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    holder = np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(token, kind="stable")
-    by_token = holder[order]
-    begin = np.concatenate([[0], np.cumsum(np.bincount(token))])
-    first = np.concatenate([[0], np.cumsum(size)])
-
-    def ask(i: int) -> None:
-        own = token[first[i] : first[i + 1]]
-        count = begin[own + 1] - begin[own]
-        at = np.repeat(begin[own] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        both = np.bincount(by_token[at], minlength=len(sets))
-        for j in np.flatnonzero(both * (den + num) >= num * (size + size[i])):
-            if j != i:
-                link(i, int(j))
-
-    asked = np.zeros(len(sets), dtype=bool)
-    step = 0
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both * (den + num) >= num * (len(sets[i]) + len(sets[j])):
+                    forest.link(i, j)
+        return np.array([forest.find(i) for i in range(n)])
+    holders, asked, step = _Holders(sets), np.zeros(n, dtype=bool), 0
     while True:
-        roots = np.array([find(i) for i in range(len(sets))])
+        roots = np.array([forest.find(i) for i in range(n)])
         largest = np.bincount(roots).argmax()
         left = np.flatnonzero(~asked & (roots != largest))
         if not len(left):
             return roots
         for i in left[: max(1, 1 << min(step, 8))]:
-            if find(int(i)) != largest or step == 0:
-                ask(int(i))
+            if forest.find(int(i)) != largest or step == 0:
+                for j in holders.linked_to(sets[i], num, den):
+                    forest.link(int(i), int(j))
                 asked[i] = True
         step += 1
 
 
+def _by_group(table: pa.Table) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """The rows and sets of each group in a task, each node of a side once, by node."""
+    group, node, side = (table.column(c).to_numpy() for c in ("root", "node", "side"))
+    tokens = table.column("tokens").to_pylist()
+    order = np.lexsort((side, node, group))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(group[order]) != 0) | (np.diff(node[order]) != 0) | (np.diff(side[order]) != 0)
+    order = order[new]
+    for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        yield own, [np.frombuffer(tokens[i], dtype=_U) for i in own]
+
+
 def _compare(num: int, den: int):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
-        cluster, cid = table.column("cluster").to_numpy(), table.column("cid").to_numpy()
-        tokens = table.column("tokens").to_pylist()
-        order = np.lexsort((cid, cluster))
-        cut = np.flatnonzero(np.concatenate([[True], cluster[order][1:] != cluster[order][:-1]]))
-        a, b = [], []
-        for lo, hi in zip(cut, np.append(cut[1:], len(order)), strict=True):
-            own = order[lo:hi]
-            own = own[np.concatenate([[True], cid[own][1:] != cid[own][:-1]])]
-            roots = linked([np.frombuffer(tokens[i], dtype=_U) for i in own], num, den)
-            a.append(cid[own])
-            b.append(cid[own][roots])
-        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+        node, out = table.column("node").to_numpy(), []
+        for own, sets in _by_group(table):
+            out.append((node[own], node[own][linked(sets, num, den)]))
+        return pa.table({"a": pa.array(np.concatenate([a for a, _ in out])), "b": pa.array(np.concatenate([b for _, b in out]))})
+
+    return run
+
+
+def _ask(num: int, den: int):  # noqa: ANN202
+    """One task: links between the components of its asking sets (side 1) and those of a part's sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, label = table.column("side").to_numpy(), table.column("label").to_numpy()
+        found: set[tuple[int, int]] = set()
+        for own, sets in _by_group(table):
+            held = [k for k, i in enumerate(own) if side[i] == 0]
+            if not held:
+                continue
+            holders = _Holders([sets[k] for k in held])
+            for k, i in enumerate(own):
+                if side[i] == 1:
+                    found.update((int(label[i]), int(label[own[held[j]]])) for j in holders.linked_to(sets[k], num, den))
+        pairs = sorted(found)
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
     return run
 
 
+def _unpacked(marks: np.ndarray):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                nodes, size = np.frombuffer(r["nodes"], dtype="<i8"), np.frombuffer(r["sizes"], dtype="<u4").astype(np.int64)
+                at = 8 * np.concatenate([[0], np.cumsum(size)])
+                yield _batch("node long, tokens binary", [(int(nodes[i]), r["tokens"][at[i] : at[i + 1]]) for i in _passing(marks, nodes.view(_U))])
+
+    return run
+
+
+def _verified(blocks: DataFrame, groups: DataFrame, alive: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, root) of the nodes of groups by their links, by exact comparison within each group."""
+    spark = blocks.sparkSession
+    members = keep(groups.join(alive, F.col("id") == F.col("node")).select("node", "root", "n"), "join-members")
+    count, tokens = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bins = int(max(2 * partitions(spark), tokens // PART_TOKENS[1] + 1))
+    share = int(min(max(tokens // (2 * bins), PART_TOKENS[0]), PART_TOKENS[1]))
+    totals = members.groupBy("root").agg(F.sum("n").alias("total")).select("root", F.ceil(F.col("total") / F.lit(float(share))).cast("int").alias("parts"))
+    placed = keep(join_hot(members, totals, "root", count), "join-placed")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    sets = blocks.select("nodes", "sizes", "tokens").mapInArrow(_unpacked(id_filter(placed.select("node"), count)), "node long, tokens binary")
+
+    def gathered(goes: DataFrame) -> DataFrame:
+        """Rows (bin, root, side, label) of nodes with their sets."""
+        return sets.join(goes.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).drop("_node")
+
+    # The group's first set goes to every part.
+    to = F.when((F.col("node") == F.col("root")) & (F.col("parts") > 1), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))
+    alone = F.pmod(F.xxhash64("root"), F.lit(bins))
+    bin_of = F.when(F.col("parts") == 1, alone).otherwise(bins + F.abs(F.xxhash64("root", "part") / 4).cast("long"))
+    goes = placed.withColumn("part", F.explode(to)).select("node", "root", F.lit(0).alias("side"), bin_of.alias("bin"))
+    found = keep(gathered(goes).groupBy("bin").applyInArrow(_compare(num, den), "a long, b long"), "join-links")
+    large = placed.where("parts > 1")
+    if not large.limit(1).count():
+        discard(members, placed)
+        return found.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    ties = components(found)
+    labels = join_hot(placed, ties.select(F.col("id").alias("node"), F.col("root").alias("_label")), "node", count)
+    labels = keep(labels.withColumn("label", F.coalesce("_label", "node")).drop("_label"), "join-labels")
+    apart = labels.where("parts > 1").groupBy("root", "label").agg(F.count(F.lit(1)).alias("_in"), F.sum("n").alias("_n"))
+    apart = apart.groupBy("root").agg(
+        F.max(F.struct("_in", F.col("label").alias("largest"))).alias("_m"), F.count(F.lit(1)).alias("_several"), F.sum("_n").alias("_all"), F.max_by("_n", F.struct("_in", "label")).alias("_most")
+    ).where("_several > 1")
+    apart = keep(apart.select("root", F.col("_m.largest").alias("largest"), F.ceil((F.col("_all") - F.col("_most")) / F.lit(float(share))).cast("int").alias("asks")), "join-apart")
+    edges = found
+    if apart.limit(1).count():
+        both = keep(join_hot(labels.where("parts > 1"), apart, "root").where("largest is not null"), "join-both")
+        ask = F.pmod(F.xxhash64("node", F.lit(1)), F.col("asks")).cast("int")
+        held = both.withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).withColumn("part", part).withColumn("side", F.lit(0))
+        asking = both.where("label <> largest").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("ask", ask).withColumn("side", F.lit(1))
+        goes = held.unionByName(asking).select("node", "root", "side", "label", F.xxhash64("root", "ask", "part").alias("bin"))
+        more = gathered(goes).groupBy("bin").applyInArrow(_ask(num, den), "a long, b long")
+        edges = found.unionByName(keep(more, "join-more"))
+    return components(edges)
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, class, component (both null for empty sets) and text id of every row.
 
-    Documents link when den * |intersection| >= num * |union| of their n-gram sets.
+    Documents link when den * |intersection| >= num * |union| of their n-gram sets. A
+    component is named by the class of one of its sets.
     """
     spark = docs.sparkSession
-    texts = docs.select(docs[text].alias("text"))
-    rows = keep(docs.select(docs[id_col].alias("doc_id"), text_id(docs[text]).alias("tid")), "join-rows")
-    copies = rows.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"))
-    # Fewer than HOT_KEYS texts: the driver may have them.
-    holders = {r["tid"]: r["doc_id"] for r in copies.where(F.col("copies") > share_of(rows.count())).collect()}
-    classes = frequency_classes(texts, n)
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = buckets_for(spark, 2 * size / 7 * (den - num) / den)
-    dealt = texts.mapInArrow(_deal(n, num, den, classes, buckets), _DEALT)
-    met = keep(dealt.groupBy("bucket").applyInArrow(_meet(num, den), _MET), "join-met")
-
-    text_class = met.where("what = 2").groupBy(F.col("y").alias("tid")).agg(F.first("x").alias("cid"), F.first("nx").alias("n"))
-    text_class = keep(text_class, "join-classes")
-    need = F.ceil(num * (F.col("nx") + F.col("ny")) / F.lit(float(den + num)) - 1e-9)
-    room = F.greatest(F.ceil(num * F.col("nx") / F.lit(float(den)) - 1e-9), F.ceil(num * F.col("ny") / F.lit(float(den)) - 1e-9)) - 1
-    pairs = met.where("what = 0").groupBy("x", "y", "nx", "ny").agg(F.sum("one").alias("one"), F.sum("two").alias("two"))
-    pairs = pairs.where((F.col("one") >= F.greatest(F.lit(1), need - room)) & (F.col("two") >= F.greatest(F.lit(1), need - room)))
-    edges = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    edges = edges.unionByName(met.where("what = 3").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    clusters = components(edges)
-
-    chosen = text_class.where("n > 0").groupBy("cid").agg(F.min("tid").alias("tid"), F.first("n").alias("n"))
-    chosen = keep(chosen.join(clusters, F.col("cid") == F.col("id")).select("cid", "tid", "n", F.col("root").alias("cluster")), "join-chosen")
-    totals = chosen.groupBy("cluster").agg(F.sum("n").alias("total"))
-    count, tokens = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bins = int(max(partitions(spark), 2 * tokens // TASK_TOKENS + 1))
-    parts = F.greatest(F.lit(1), F.ceil(2 * F.col("total") / F.lit(float(TASK_TOKENS)))).cast("int")
-    totals = totals.withColumn("parts", F.when(F.col("total") > TASK_TOKENS, parts).otherwise(1))
-    own = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
-    # A cluster beyond one task's size is compared part against part, each pair of parts in a task.
-    tasks = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(own, j) * F.col("parts") + F.greatest(own, j))
-    )
-    # Where each set goes is settled on this small side: the sets are shuffled by their text, then by task.
-    goes = join_hot(chosen, totals, "cluster").withColumn("task", F.explode(tasks)).select(
-        F.col("tid").alias("_tid"), "cid", "cluster",
-        F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(bins + F.abs(F.xxhash64("cluster", "task") / 2).cast("long")).alias("bin"),
-    )
     named = docs.select(docs[id_col].alias("id"), docs[text].alias("text"))
-    sets = named.mapInArrow(_sets(n, text_filter(chosen, "tid", count), holders), "tid long, tokens binary")
-    spread = sets.join(goes, F.col("tid") == F.col("_tid")).select("bin", "cluster", "cid", "tokens")
-    found = keep(spread.groupBy("bin").applyInArrow(_compare(num, den), "a long, b long"), "join-links")
-    split_up = totals.where("parts > 1").limit(1).count() > 0
-    roots = components(found) if split_up else found.select(F.col("a").alias("id"), F.col("b").alias("root"))
-
-    roots = roots.select(F.col("id").alias("cid"), "root")
-    component = join_hot(text_class.where("n > 0"), roots, "cid").select("tid", "n", "cid", F.coalesce("root", "cid").alias("component"))
-    out = join_hot(rows, component, "tid")
-    return out.select("doc_id", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_shingles"), F.col("cid").alias("class"), "component", "tid")
+    run, schema = _classes(docs.schema[id_col].dataType.simpleString(), n)
+    rows = keep(named.withColumn("tid", text_id(F.col("text"))).mapInArrow(run, schema), "join-rows")
+    total, tokens = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    # Enough of the hash range that a set of new words shows its prefix's length of single tokens.
+    sampled = min(1.0, 2.5 * (den - num) / den)
+    limit = min(int(sampled * (1 << 64)), (1 << 64) - 1)
+    buckets = buckets_for(spark, sampled * tokens)
+    places = named.select("text").mapInArrow(_sampled(n, limit, buckets), _PLACES)
+    tied = places.groupBy("bucket").applyInArrow(_singles, _SINGLE).groupBy("chunk").applyInArrow(_tied(num, den), "cid binary, n long")
+    alive = keep(tied.groupBy("cid").agg(F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), "join-tied")
+    count, tokens = alive.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    # Fewer than HOT_KEYS classes: the driver may have them.
+    copies = rows.where("cid is not null").groupBy("cid").agg(F.count(F.lit(1)).alias("_rows"), F.min("doc_id").alias("doc_id")).where(F.col("_rows") > share_of(total))
+    holders = {bytes(r["cid"]): r["doc_id"] for r in copies.collect()}
+    sets = named.mapInArrow(_sets(n, id_filter(alive.select("cid"), count), holders), "cid binary, tokens binary")
+    sets = sets.join(alive.select(F.col("cid").alias("_cid"), "node"), F.col("cid") == F.col("_cid")).select("node", "tokens")
+    blocks = keep(sets.mapInArrow(_blocks, _BLOCK), "join-blocks")
+
+    buckets = buckets_for(spark, tokens)
+    classes = blocks.select("block", "tokens").mapInArrow(_spread(buckets), _BLOCK).groupBy("bucket").applyInArrow(_frequencies, _BLOCK)
+    postings = keep(blocks.unionByName(classes).groupBy("block").applyInArrow(_prefixes(num, den, buckets), "ord int, node long, token long"), "join-postings")
+    groups = shared_under_both(postings)
+    discard(postings)
+    roots = _verified(blocks, groups, alive, num, den)
+    name = alive.select(F.col("node").alias("_root"), F.col("cid").alias("component"))
+    linked_classes = roots.join(alive, F.col("id") == F.col("node")).join(name, F.col("root") == F.col("_root")).select("cid", "component")
+    out = join_hot(rows, linked_classes, "cid", total)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class"), F.coalesce("component", "cid").alias("component"), "tid")
 
 
 def text_id(text: Column) -> Column:
-    """A text's 64-bit id: its digest's first eight bytes, lowest first, as _text_ids reads them."""
-    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
-    return F.conv(F.concat(*[F.substring(digest, 2 * k + 1, 2) for k in reversed(range(8))]), 16, -10).cast("long")
+    """A text's 128-bit id; null and empty ones have the same."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -4,7 +4,7 @@ Positions whose remainder modulo a period lies in a difference cover are anchors
 two positions have a common shift below the period that takes both to anchors. So two
 equal windows of n words share an equal short window at an anchor of each. Only those
 are hashed and shuffled at first; around anchors that repeat, the whole windows follow
-and are compared themselves (64-bit hashes of the words' bytes).
+and are compared themselves, by 128-bit hashes of their words.
 
 Null and empty texts have no words; texts of fewer than n words lose none. All windows of
 a text that occurs twice as a whole repeat, so it loses every word. Repeated rows count
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from verdictspark.llm.meeting import PACKED, buckets_for, deal, meet, positions
 from verdictspark.llm.tables import join_hot, keep, read
-from verdictspark.llm.words import Words, buffers, pieces, split, windows
+from verdictspark.llm.words import Words, buffers, mix, pieces, split, windows
 
+#: Changes word hashes for the second half of a whole window's hash.
+SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Perfect difference sets, by period.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 
@@ -106,7 +108,8 @@ def _whole_windows(n: int, buckets: int):  # noqa: ANN202
                 texts.append(np.full(len(at), i))
                 ats.append(at)
             text, at = np.concatenate(texts), np.concatenate(ats)
-            yield deal(keys, text, at, windows(hashes, n)[words.first[text] + at], buckets)
+            own = words.first[text] + at
+            yield deal(keys, text, at, windows(hashes, n)[own], buckets, windows(mix(hashes ^ SECOND), n)[own])
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,25 +19,41 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session sets one of its
+    own; a cluster's executors and driver share no local folder, so there it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="verdictspark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+def _path(spark: SparkSession, at: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def keep(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read back: later steps
-    reread files instead of recomputing, also when executors are lost. The table is
-    removed when the driver's file system closes."""
+    reread files instead of recomputing, also when executors are lost. discard() removes
+    the table; else it goes when the driver's file system closes."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    path, files = _path(spark, at)
+    files.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._kept_at = at
+    return out
+
+
+def discard(*kept: DataFrame) -> None:
+    """Removes tables that keep() wrote, once nothing reads them any more."""
+    for df in kept:
+        path, files = _path(df.sparkSession, df._kept_at)
+        files.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

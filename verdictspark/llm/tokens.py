@@ -2,7 +2,8 @@
 
 The public word-level vocabulary never joins characters across ASCII white space, so a
 text's ids are its words' ids in order. Words are hashed in numpy, only unseen ones go
-through the tokenizer, and ids are gathered for a whole batch.
+through the tokenizer, and ids are gathered for a whole batch. A second hash of each word
+is compared with the cached one; texts of words whose first hashes alone agree are encoded whole.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ class WordTokenizer:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
+        self.second = np.zeros(0, dtype=np.uint64)
         self.at = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint32)
@@ -55,19 +57,21 @@ class WordTokenizer:
             out[i] = ids
         return out
 
-    def _learn(self, words: Words, keys: np.ndarray, where: np.ndarray) -> None:
+    def _learn(self, words: Words, keys: np.ndarray, second: np.ndarray, where: np.ndarray) -> None:
         raw = words.data
         found = self._ids_of([raw[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace") for i in where])
         size = np.array([len(x) for x in found], dtype=np.int64)
         at = len(self.flat) + np.cumsum(size) - size
         place = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = (np.insert(a, place, b) for a, b in ((self.keys, keys), (self.at, at), (self.size, size)))
+        new = ((self.keys, keys), (self.second, second), (self.at, at), (self.size, size))
+        self.keys, self.second, self.at, self.size = (np.insert(a, place, b) for a, b in new)
         self.flat = np.concatenate([self.flat, *found])
 
     def encode(self, column: pa.Array, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by end_id, and where each text's ids begin."""
         words = split(column)
         keys, where, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        second = words.hashes(seed=1)
         if len(self.keys) + len(keys) > MOST_WORDS:
             self._forget()
         place = np.searchsorted(self.keys, keys)
@@ -75,9 +79,12 @@ class WordTokenizer:
         inside = place < len(self.keys)
         known[inside] = self.keys[place[inside]] == keys[inside]
         if not known.all():
-            self._learn(words, keys[~known], where[~known])
+            self._learn(words, keys[~known], second[where[~known]], where[~known])
             place = np.searchsorted(self.keys, keys)
         entry = place[back]
+        if not np.array_equal(self.second[entry], second):
+            found = [np.append(ids, np.uint32(end_id)) for ids in self._encode(["" if t is None else t for t in column.to_pylist()])]
+            return np.concatenate(found), np.cumsum([0, *map(len, found)])
         size = self.size[entry]
         ends = np.cumsum(size)
         texts = len(words.first) - 1

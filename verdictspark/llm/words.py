@@ -2,22 +2,23 @@
 
 A word is a maximal run of bytes other than space and TAB..CR. UTF-8 never uses
 those bytes inside a longer character, so byte words and code-point words agree.
-Null texts count as empty. Hashes are 64-bit polynomials over a seeded random byte
-table, finished with an avalanche step; they are the same in every task and run.
+Null texts count as empty. A word's hash mixes its bytes eight at a time, and a word of
+more than LONG_WORD bytes is hashed by its digest; hashes are the same in every task and run.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+#: Words of more bytes are told apart by a cryptographic digest.
+LONG_WORD = 32
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -26,21 +27,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_LETTERS = np.zeros(256, dtype=bool)
 NOT_LETTERS[[b for b in range(128) if not chr(b).isalpha()]] = True
 
-_TABLE = np.random.default_rng(20240601).integers(1, 2**63, size=256, dtype=np.uint64) * _U(2) + _U(1)
-_FOLDED = _TABLE.copy()
-_FOLDED[ord("A") : ord("Z") + 1] = _TABLE[ord("a") : ord("z") + 1]
-
-_powers: dict[str, np.ndarray] = {}
-
-
-def _pow(base: int, kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        steps = np.full(size, base % (1 << 64), dtype=np.uint64)
-        steps[0] = 1
-        have = _powers[kind] = np.cumprod(steps, dtype=np.uint64)
-    return have
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_KEPT = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -66,21 +55,23 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self, fold: bool = False, chars: int | None = None) -> np.ndarray:
+    def hashes(self, fold: bool = False, chars: int | None = None, seed: int = 0) -> np.ndarray:
         """A hash for each word; fold lowers A-Z, chars keeps that many leading bytes."""
-        end = self.end if chars is None else np.minimum(self.end, self.start + chars)
-        table, n, out = _FOLDED if fold else _TABLE, len(self.start), np.empty(len(self.start), dtype=np.uint64)
-        a = 0
-        while a < n:
-            b = max(a + 1, int(np.searchsorted(self.start, self.start[a] + SLICE_BYTES)))
-            lo, hi = int(self.start[a]), int(self.end[b - 1])
-            up, down = _pow(_BASE, "up", hi - lo), _pow(_INV, "down", hi - lo)
-            sums = np.empty(hi - lo + 1, dtype=np.uint64)
-            sums[0] = 0
-            np.cumsum(table[self.data[lo:hi]] * up[: hi - lo], out=sums[1:])
-            s, e = self.start[a:b] - lo, end[a:b] - lo
-            out[a:b] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-            a = b
+        size = self.end - self.start
+        size = size if chars is None else np.minimum(size, chars)
+        data = np.concatenate([_LOWER[self.data] if fold else self.data, np.zeros(LONG_WORD + 8, dtype=np.uint8)])
+        eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data.data, strides=(1,))
+        out = mix((eight[self.start] & _KEPT[np.minimum(size, 8)]) + mix(size.astype(np.uint64) + _U(seed * 0x2545F491 + 1)))
+        for k in range(8, LONG_WORD, 8):
+            more = np.flatnonzero(size > k)
+            if not len(more):
+                break
+            part = eight[self.start[more] + k] & _KEPT[np.minimum(size[more] - k, 8)]
+            out[more] = mix(out[more] * _U(0xD6E8FEB86659FD93) + mix(part + _U(k)))
+        for i in np.flatnonzero(size > LONG_WORD):
+            a = int(self.start[i])
+            digest = hashlib.blake2b(data[a : a + int(size[i])].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+            out[i] = int.from_bytes(digest.digest(), "little")
         return out
 
 
