@@ -1,12 +1,15 @@
 """Main text of HTML pages by two passes of block rules.
 
-Pass one labels each block good, bad or undecided from its region, length, link density
-and stop-word density. Pass two gives an undecided block the label of its nearest decided
-neighbours. Text inside an article or main region is content but for link lists and the
-parts set aside there; without such a region the block rules alone decide.
+Regions only set blocks aside: menus, footers, adverts and the like, and all that lies
+outside an article where the page has one. Pass one labels the other blocks by length,
+link density and stop-word density. Pass two gives those that it leaves undecided (short
+ones, long ones without stop words, links within an article) the label of their nearest
+decided neighbours; blocks that are set aside have no say. Where nothing is decided,
+blocks that are not links are content.
 
 Null and empty html give an empty text. Unclosed and truncated tags are tolerated; a tag
-that the end of the page cuts off is dropped. Repeated rows give repeated results.
+that the end of the page cuts off is dropped. Very long pages are read whole. Repeated rows
+give repeated results, an empty table none. A column named main_text gives way to the result.
 """
 
 from __future__ import annotations
@@ -61,6 +64,7 @@ class Block:
     inside: bool
     aside: bool
     label: str = ""
+    by: str = ""
 
 
 @dataclass
@@ -140,34 +144,33 @@ def stop_density(text: str) -> float:
 
 
 def classify(blocks: list[Block], short: int = 70, links: float = 0.5, stops: float = 0.1) -> None:
-    """Labels the blocks in place, in two passes."""
+    """Labels the blocks in place, in two passes; `by` says what decided."""
     region = any(b.inside and not b.aside for b in blocks)
+    rest = []
     for b in blocks:
-        link = min(1.0, b.linked / len(b.text))
-        if b.aside or region and not b.inside or link > links and (not b.inside or b.tag == "li"):
-            b.label = "bad"
-        elif b.inside and b.tag in ("h1", "p") or len(b.text) >= short and stop_density(b.text) >= stops:
-            b.label = "good"
-        elif b.inside or len(b.text) < short:
-            b.label = "undecided"
+        if b.aside or region and not b.inside:
+            b.label, b.by = "bad", "region"
+            continue
+        rest.append(b)
+        if b.linked > links * len(b.text):
+            b.label = "undecided" if b.inside and b.tag != "li" else "bad"
         else:
-            b.label = "bad"
-    # Beside a content region, what is set aside or lies outside says nothing about the blocks in it.
-    known = [(i, b.label) for i, b in enumerate(blocks) if b.label != "undecided" and not (region and (b.aside or not b.inside))]
+            b.label = "good" if len(b.text) >= short and stop_density(b.text) >= stops else "undecided"
+        b.by = "rules"
+    known = [(i, b.label) for i, b in enumerate(rest) if b.label != "undecided"]
     k = 0
-    for i, b in enumerate(blocks):
+    for i, b in enumerate(rest):
         if b.label != "undecided":
             continue
         while k < len(known) and known[k][0] < i:
             k += 1
         near = [known[j] for j in (k - 1, k) if 0 <= j < len(known)]
-        labels = {label for _, label in near}
-        if len(labels) == 1:
-            b.label = labels.pop()
-        elif near:
-            b.label = min(near, key=lambda n: (abs(n[0] - i), n[1] == "bad"))[1]
+        if not any(label == "good" for _, label in known):
+            near = []
+        if near:
+            b.label, b.by = min(near, key=lambda n: (abs(n[0] - i), n[1] == "bad"))[1], "neighbours"
         else:
-            b.label = "good" if b.inside else "bad"
+            b.label, b.by = "good" if b.inside or b.linked <= links * len(b.text) else "bad", "default"
 
 
 def main_text(page: str) -> str:
@@ -178,8 +181,8 @@ def main_text(page: str) -> str:
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
-    """The rows with `main_text` in place of `html`."""
-    keep = [c for c in pages.columns if c != html]
+    """The rows with `main_text` in place of `html` (and of a column of that name)."""
+    keep = [c for c in pages.columns if c not in (html, "main_text")]
     schema = pages.select(*keep, F.lit("").alias("main_text")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
