@@ -2,8 +2,8 @@
 
 Clusters enter as (sum, count) pairs, so a replicate costs a row a cluster however many
 items there are; an item bootstrap is the same with an item for each cluster. Draws come
-from a hash of seed, stream, replicate and position: they are the same in every task,
-retry and partitioning, and in the oracle.
+from integer arithmetic on the stream's digest, replicate and position: they are the same
+in every task, retry and partitioning, and in the oracle.
 """
 
 from __future__ import annotations
@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 SEED = 20260805
 
 
-def hashed_draw(stream: Column, rep: Column, place: Column, k: Column, seed: int = SEED) -> Column:
-    """A draw from 0..k-1."""
-    text = F.concat_ws(":", F.lit(str(seed)), stream, rep.cast("string"), place.cast("string"))
-    return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"), k)
+#: Clusters of which all draws' sums are broadcast; a larger table is shuffled to its draws.
+BROADCAST_CLUSTERS = 500_000
+_PRIME = (1 << 31) - 1
+
+
+def stream_start(stream: Column, seed: int = SEED) -> Column:
+    """28 bits of the stream's digest."""
+    text = F.concat_ws(":", F.lit(str(seed)), stream)
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
 def clusters(items: DataFrame, keys: list[str], cluster: str, values: list[str]) -> DataFrame:
@@ -31,13 +36,18 @@ def clusters(items: DataFrame, keys: list[str], cluster: str, values: list[str])
 def replicates(table: DataFrame, keys: list[str], values: list[str], reps: int, stream: Column, seed: int = SEED) -> DataFrame:
     """For each key and replicate, the mean of each value over as many drawn clusters as there are.
 
-    Tasks share out the replicates: all draws of one are made and added up in the same task.
-    The table travels to each; it has a row a cluster, of which every replicate draws as many.
+    Tasks share out the replicates, and a table of at most BROADCAST_CLUSTERS clusters travels
+    to each: all draws of a replicate are then made and added up in one task.
     """
-    sizes = table.groupBy(*keys).agg(F.max("n_clusters").alias("_k"))
+    sizes = table.groupBy(*keys).agg(F.max("n_clusters").alias("_k")).withColumn("_start", stream_start(stream, seed))
     draws = table.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(sizes)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    draws = draws.withColumn("k", hashed_draw(stream, F.col("rep"), F.col("_j"), F.col("_k"), seed)).drop("_k", "_j")
-    joined = draws.join(F.broadcast(table), [*keys, "k"])
+    # Each step has its own column, so that none is computed twice.
+    draws = draws.withColumn("_x", (F.col("_start") + F.col("rep") * 1103515245 + F.col("_j") * 742938285 + 1) % _PRIME)
+    for shift, factor in ((13, 1597334677), (16, 823117891)):
+        draws = draws.withColumn("_x", F.col("_x").bitwiseXOR(F.shiftright("_x", shift)) * factor % _PRIME)
+    draws = draws.select(*keys, "rep", (F.col("_x").bitwiseXOR(F.shiftright("_x", 15)) % F.col("_k")).alias("k"))
+    small = table.limit(BROADCAST_CLUSTERS + 1).count() <= BROADCAST_CLUSTERS
+    joined = draws.join(F.broadcast(table) if small else table, [*keys, "k"])
     # try_divide: draws may hold no row of a value. Twelve digits keep ties with 0 free of the order of addition.
     mean = lambda v: F.round(F.try_divide(F.sum(f"s_{v}"), F.sum(f"n_{v}")), 12)
     return joined.groupBy(*keys, "rep").agg(*[mean(v).alias(v) for v in values])

@@ -290,8 +290,10 @@ def _draws(tag: str, keys: list[str], stream: str, values: list[str], reps: int
     k = ", ".join(keys)
     means = ", ".join(f"round(sum(s_{v}) / nullif(sum(n_{v}), 0), 12) AS {v}" for v in values)
     return (
-        f"sz_{tag} AS (SELECT {k}, max(nk) AS nk FROM cl_{tag} GROUP BY {k}), "
-        f"dr_{tag} AS (SELECT {k}, rep, ('0x' || substr(md5(concat_ws(':', '{SEED}', {stream}, rep, j)), 1, 8))::BIGINT % nk AS k FROM (SELECT *, unnest(range(nk)) AS j FROM sz_{tag}, range({reps}) r(rep))), "
+        f"sz_{tag} AS (SELECT {k}, max(nk) AS nk, ('0x' || substr(md5(concat_ws(':', '{SEED}', {stream})), 1, 7))::BIGINT AS st FROM cl_{tag} GROUP BY {k}), "
+        f"d0_{tag} AS (SELECT {k}, nk, rep, (st + rep * 1103515245 + j * 742938285 + 1) % 2147483647 AS x FROM (SELECT *, unnest(range(nk)) AS j FROM sz_{tag}, range({reps}) r(rep))), "
+        f"d1_{tag} AS (SELECT {k}, nk, rep, xor(x, x >> 13) * 1597334677 % 2147483647 AS x FROM d0_{tag}), d2_{tag} AS (SELECT {k}, nk, rep, xor(x, x >> 16) * 823117891 % 2147483647 AS x FROM d1_{tag}), "
+        f"dr_{tag} AS (SELECT {k}, rep, xor(x, x >> 15) % nk AS k FROM d2_{tag}), "
         f"rp_{tag} AS (SELECT {k}, rep, {means} FROM dr_{tag} JOIN cl_{tag} USING ({k}, k) GROUP BY {k}, rep)"
     )
 
