@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from verdictspark.functions.claims import claims
+from verdictspark.functions.faults import SENTINEL
+
 #: The sentence of each condition about what follows the audit.
 CONDITIONS = {
     "R0": "",
@@ -38,6 +41,35 @@ REPAIR_REQUEST = "Now produce the corrected solution."
 NEUTRAL_REQUEST = "Now restate, without changing it, what your audit concluded."
 HANDOFF = "The exchange above is earlier work on a different problem. Audit the following solution."
 LABELS = {"self": "[author: self]", "peer": "[author: peer]"}
+#: The request for a filler.
+FILLER_REQUEST = "Restate the following problem in your own words, in about {words} words, without solving it."
+#: The system prompt for injected faults.
+FAULT_SYSTEM = (
+    "You construct evaluation data for a reasoning-auditing benchmark by introducing a single, deliberate flaw into an otherwise correct mathematical solution.\n\n"
+    "Hard requirements:\n"
+    "1. Introduce the flaw in the TARGET STEP only.\n"
+    "2. PROPAGATE the consequences consistently through every later step, so that every later step follows correctly from the flawed value or method. "
+    "After the target step there must be no second inconsistency and no leftover value from the original solution -- a reader should find exactly one thing wrong, at the target step.\n"
+    "3. The final answer must change as a result.\n"
+    "4. Preserve the writing style, formatting and level of detail of the original. Do not add hedging, do not flag the error, and do not add or remove steps.\n"
+    "5. Return the rewritten steps only, from the target step to the last step.\n"
+    f"6. Separate consecutive steps with a line containing exactly {SENTINEL} and nothing else. Output no JSON, no numbering and no commentary -- just the step text and the separators. "
+    "Reproduce mathematical notation exactly as in the original, backslashes included."
+)
+#: What each family of faults asks for.
+FAULT_BRIEFS = {
+    "local": (
+        "Change exactly one numeric VALUE in the target step so the arithmetic result is wrong, while keeping the operation and the reasoning identical. "
+        "The step should still describe the same computation -- only the number it arrives at changes."
+    ),
+    "structural": (
+        "Change the METHOD used in the target step so the approach is wrong but still looks reasonable. Prefer: applying a correct-looking formula that does not fit this problem; "
+        "operating on the wrong pair of quantities; including or omitting a term that plausibly belongs; or using a related quantity in place of the right one "
+        "(a rate for a total, a part for a whole, a boundary case counted the wrong way).\n"
+        "Do NOT simply swap one arithmetic operator for another, and do not choose a method whose wrongness is obvious from the problem statement alone. "
+        "A careful reader should have to follow the reasoning to see the mistake. Write it with the same confidence as the original -- no hedging, no hint that anything is off."
+    ),
+}
 #: Placement and attribution of the factorial's cells.
 FACTORS = {"AS": ("assistant", "self"), "AO": ("assistant", "peer"), "US": ("user", "self"), "UO": ("user", "peer")}
 
@@ -98,3 +130,45 @@ def episode_messages(cell: Column, target: Column, request: Column, audit: Colum
 def word_target(chars: Column) -> Column:
     """Words that a filler or restatement of like length should have: 30 at least, a word for 5.5 characters."""
     return F.greatest(F.lit(30), F.bround(chars / F.lit(5.5))).cast("long")
+
+
+def filler_request(problem: Column, chars: Column) -> Column:
+    """The request for an exchange of about as many characters that audits nothing."""
+    before, after = FILLER_REQUEST.split("{words}")
+    return F.concat(F.lit(before), word_target(chars).cast("string"), F.lit(after + "\n\n"), problem)
+
+
+def neutral_request(chars: Column) -> Column:
+    """The request for a continuation of about as many characters that repairs nothing."""
+    return F.concat(F.lit(NEUTRAL_REQUEST + " Use about "), word_target(chars).cast("string"), F.lit(" words."))
+
+
+def short_number(value: Column) -> Column:
+    """A number to six significant digits without trailing zeros."""
+    text = F.format_string("%.6g", value)
+    whole = (value == F.floor(value)) & (F.abs(value) < 1e6)
+    trimmed = F.regexp_replace(F.regexp_replace(text, r"(\.\d*[1-9])0+(e|$)", "$1$2"), r"\.0+(e|$)", "$1")
+    return F.when(whole, value.cast("long").cast("string")).otherwise(trimmed)
+
+
+def _listed(parts: Column) -> Column:
+    return F.concat(F.lit("("), F.array_join(parts, ", "), F.when(F.size(parts) == 1, ",").otherwise(""), F.lit(")"))
+
+
+def injection_messages(steps: Column, k: Column, family: Column) -> Column:
+    """The messages that ask for steps k..n with a fault at k (from 2 on); other steps and unknown families are refused."""
+    n = F.size(steps)
+    numbered = F.array_join(F.transform(steps, lambda s, i: F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(": "), s)), "\n")
+    claim = F.try_element_at(claims(F.element_at(steps, k)), F.lit(1))
+    operand = lambda v: F.when((v == F.floor(v)) & (F.abs(v) < 1e16), F.concat(v.cast("long").cast("string"), F.lit(".0"))).otherwise(v.cast("string"))
+    hint = F.concat(
+        F.lit("\nThe target step asserts: "), _listed(F.transform(claim["operands"], operand)), F.lit(" joined by "),
+        _listed(F.transform(claim["ops"], lambda o: F.concat(F.lit("'"), o, F.lit("'")))), F.lit(" equals "), short_number(claim["result"]), F.lit(".\n"),
+    )
+    user = F.concat(
+        F.lit("Correct solution:\n"), numbered, F.lit("\n\nTARGET STEP: "), k.cast("string"), F.lit("\n"), F.coalesce(hint, F.lit("\n")), F.lit("\n"), _choose(family, FAULT_BRIEFS),
+        F.lit("\n\nReturn exactly "), (n - k + 1).cast("string"), F.lit(" steps: the rewritten Step "), k.cast("string"), F.lit(" through Step "), n.cast("string"),
+        F.lit(f", separated by {SENTINEL}, propagating the consequences so no later step is inconsistent."),
+    )
+    sound = k.between(F.lit(2), n) & family.isin(*FAULT_BRIEFS)
+    return F.when(sound, F.array(message("system", F.lit(FAULT_SYSTEM)), message("user", user))).otherwise(F.raise_error(F.lit("a fault needs a known family and a step from 2 to the last")))
