@@ -40,8 +40,11 @@ from verdictspark.llm.tables import discard, join_hot, keep, partitions, read, s
 from verdictspark.llm.words import Words, mix, pieces, split, windows
 
 #: Places that a task gathers before it deals them out, and tokens of a block of sets.
-CHUNK_PLACES = 1 << 21
-BLOCK_TOKENS = 1 << 20
+CHUNK_PLACES = 1 << 19
+BLOCK_TOKENS = 1 << 18
+#: Places of a bucket, and bytes of texts that a task takes at once: with two tasks an executor they bound the workers' memory.
+BUCKET_PLACES = 600_000
+TEXT_BYTES = 4 << 20
 #: Tokens of one part of a large group: the share of a task, between these two.
 PART_TOKENS = (1 << 14, 1 << 20)
 FILTER_BITS_MOST = 1 << 27
@@ -106,7 +109,7 @@ def _by_bucket(tokens: np.ndarray, limit: int, buckets: int) -> tuple[np.ndarray
 
 def _classes(id_type: str, n: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, "text", TEXT_BYTES):
             sets = sets_of(batch.column("text"), n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("tid"), pa.array([class_id(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())],
@@ -137,7 +140,7 @@ def _sampled(n: int, limit: int, buckets: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cids: dict[bytes, None] = {}
         sizes, parts, places = [], [], 0
-        for batch in pieces(batches):
+        for batch in pieces(batches, "text", TEXT_BYTES):
             for own in sets_of(batch.column("text"), n):
                 if len(own) and (cid := class_id(own)) not in cids:
                     cids[cid] = None
@@ -250,7 +253,7 @@ def _sets(n: int, marks: np.ndarray, holders: dict[bytes, object]):  # noqa: ANN
     """Sets of the classes that pass the filter; of a frequent class, that of its holder's row alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, "text", TEXT_BYTES):
             sets = sets_of(batch.column("text"), n)
             cids = [class_id(s) for s in sets]
             ids = np.frombuffer(b"".join(c[:8] for c in cids), dtype=_U)
@@ -550,7 +553,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     # Enough of the hash range that a set of new words shows its prefix's length of single tokens.
     sampled = min(1.0, 2.5 * (den - num) / den)
     limit = min(int(sampled * (1 << 64)), (1 << 64) - 1)
-    buckets = buckets_for(spark, sampled * tokens)
+    buckets = buckets_for(spark, sampled * tokens, BUCKET_PLACES)
     places = named.select("text").mapInArrow(_sampled(n, limit, buckets), _PLACES)
     tied = places.groupBy("bucket").applyInArrow(_singles, _SINGLE).groupBy("chunk").applyInArrow(_tied(num, den), "cid binary, n long")
     alive = keep(tied.groupBy("cid").agg(F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), "join-tied")
@@ -563,7 +566,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     sets = sets.join(alive.select(F.col("cid").alias("_cid"), "node"), F.col("cid") == F.col("_cid")).select("node", "tokens")
     blocks = keep(sets.mapInArrow(_blocks, _BLOCK), "join-blocks")
 
-    buckets = buckets_for(spark, tokens)
+    buckets = buckets_for(spark, tokens, BUCKET_PLACES)
     classes = blocks.select("block", "tokens").mapInArrow(_spread(buckets), _BLOCK).groupBy("bucket").applyInArrow(_frequencies, _BLOCK)
     postings = keep(blocks.unionByName(classes).groupBy("block").applyInArrow(_prefixes(num, den, buckets), "ord int, node long, token long"), "join-postings")
     groups = shared_under_both(postings)
