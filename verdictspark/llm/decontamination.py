@@ -2,8 +2,9 @@
 
 Texts become template tokens: numbers, units behind numbers and capitalised words inside
 sentences turn into typed placeholders, other words are lowered, punctuation goes. Windows
-of template tokens are hash-joined with the benchmark's. A document holds an item where,
-within twice the item's length, at least `share` of its distinct windows occur and the
+of template tokens are hash-joined with the benchmark's, as tables: of each item those that
+fewest items have, as many as must include one that a holding document has. Joined pairs
+are then tested on whole texts. A document holds an item where, within twice the item's length, at least `share` of its distinct windows occur and the
 slots agree: one number or name of the item always stands for one of the document and the
 other way round (units may change). Every placement with that share is tested, with its own
 windows only.
@@ -12,7 +13,9 @@ Characters of scripts without spaces are tokens of their own. An item of fewer t
 a window is held where all of them occur in order with the same values, numbers and names
 too. Items without tokens, or null ones, are never reported. Null and empty
 documents hold nothing. Repeated documents are reported each; several benchmark rows with
-one id count as items of their own and give one row a document with the best coverage.
+one id count as items of their own and give one row a document with the best coverage. Very
+long texts are searched whole. Empty tables give no rows, or leave the documents as they are.
+Columns are taken by name and clashing ones renamed inside, so others may have any name.
 """
 
 from __future__ import annotations
@@ -24,16 +27,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdictspark.llm.tables import read
-from verdictspark.llm.words import Words, buffers, pieces, windows
+from verdictspark.llm.jaccard import id_filter, text_id
+from verdictspark.llm.tables import discard, join_hot, keep, read, small
+from verdictspark.llm.words import Words, buffers, mix, pieces, windows
 
 WINDOW = 5
 SHARE = 0.5
-#: Benchmark tokens that one pass over the documents looks for.
-BLOCK_TOKENS = 2_000_000
+#: Items that one joined row lists; a window of more is split, and so is a document's list.
+LISTED = 64
 
 #: Units of measure.
 UNITS = (
@@ -288,63 +292,131 @@ def _slots(template: Template, bench: Benchmark, i: int, pos: np.ndarray, entry:
     return None
 
 
-def _blocks(benchmark: DataFrame, n: int) -> Iterator[Benchmark]:
-    """The items in blocks of at most BLOCK_TOKENS tokens (or one longer item); the driver holds one."""
-    ids, texts, size = [], [], 0
-    rows = benchmark.select(F.col("item_id"), F.col("text")).where("text is not null")
-    for r in rows.toLocalIterator():
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        size += len(r["text"]) // (2 if r["text"].isascii() else 1) + 1
-        if size >= BLOCK_TOKENS:
-            yield benchmark_of(ids, pa.array(texts, pa.string()), n)
-            ids, texts, size = [], [], 0
-    if ids:
-        yield benchmark_of(ids, pa.array(texts, pa.string()), n)
+def _short_key(h: np.ndarray, m: int) -> np.ndarray:
+    return mix(h + np.uint64(0x632BE59BD9B4E019 * m % (1 << 64)))
+
+
+def _item_keys(n: int, share: float):  # noqa: ANN202
+    """Distinct windows of each item and how many of the rarest stand for it; a short item's one key and its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 1 << 20):
+            item = np.asarray(batch.column("item"))
+            bench = benchmark_of(list(range(len(item))), batch.column("text"), n)
+            new = np.ones(len(bench.hashes), dtype=bool)
+            new[1:] = bench.group[1:] != bench.group[:-1]
+            takes = bench.need - np.ceil(share * bench.need).astype(np.int64) + 1
+            own, key, short = [bench.item[new]], [bench.hashes[new]], [np.zeros(int(new.sum()), np.int64)]
+            for m, (hashes, items) in bench.short.items():
+                own.append(items)
+                key.append(_short_key(hashes, m))
+                short.append(np.full(len(items), m))
+            own, key, short = (np.concatenate(c) for c in (own, key, short))
+            columns = [pa.array(item[own]), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(np.where(short > 0, 1, takes[own])), pa.array(short, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["item", "key", "takes", "short"])
+
+    return run
+
+
+def _held_keys(n: int, lengths: list[int], marks: np.ndarray):  # noqa: ANN202
+    """The keys that each text may share with the benchmark."""
+    bits = np.uint64(8 * len(marks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            template = templates(batch.column("text"))
+            texts, keys = [], []
+            for m in [n, *lengths]:
+                h = windows(template.seen, n) if m == n else _short_key(windows(template.value, m), m)
+                at = (h % bits).astype(np.int64)
+                pos = np.flatnonzero(marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+                text = np.searchsorted(template.first, pos, side="right") - 1
+                whole = pos + m <= template.first[text + 1]
+                texts.append(text[whole])
+                keys.append(h[pos[whole]])
+            text, key = np.concatenate(texts), np.concatenate(keys)
+            order = np.lexsort((key, text))
+            text, key = text[order], key[order]
+            new = np.ones(len(text), dtype=bool)
+            new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(text[new])), pa.array(key[new].view(np.int64))], names=["tid", "key"])
+
+    return run
+
+
+def _tested(n: int, share: float):  # noqa: ANN202
+    """Rows of a text and the items it may hold: the pairs that hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 2 << 20):
+            asked = batch.column("items").to_pylist()
+            texts = {x["item"]: x["text"] for row in asked for x in row}
+            ids = list(texts)
+            bench = benchmark_of(ids, pa.array([texts[i] for i in ids], pa.string()), n)
+            wanted = [{x["item"] for x in row} for row in asked]
+            found = [f for f in leaks(templates(batch.column("text")), bench, n, share) if ids[f.item] in wanted[f.text]]
+            columns = [batch.column("tid").take(pa.array([f.text for f in found], pa.int64())), pa.array([ids[f.item] for f in found], pa.int64())]
+            columns += [pa.array([getattr(f, c) for f in found], pa.int64()) for c in ("matched", "needed", "slots", "changed")]
+            yield pa.RecordBatch.from_arrays(columns, names=["tid", "item", "matched", "windows", "slots", "changed_slots"])
+
+    return run
+
+
+def _listed(pairs: DataFrame, key: str, of: str, value: Column) -> DataFrame:
+    """Rows (key, part, items) of pairs (key, of), at most about LISTED values each."""
+    counts = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(LISTED))).cast("int").alias("parts"))
+    parted = join_hot(pairs, counts, key).withColumn("part", F.pmod(F.xxhash64(of), F.col("parts")).cast("int"))
+    return parted.groupBy(key, "parts", "part").agg(F.collect_list(value).alias("items"))
+
+
+def _leaking(docs: DataFrame, items: DataFrame, n: int, share: float) -> DataFrame:
+    """(tid, item, matched, windows, slots, changed_slots) of docs (tid, text) and items (item, text), a row for each pair that holds."""
+    spark = docs.sparkSession
+    keys = keep(items.select("item", "text").mapInArrow(_item_keys(n, share), "item long, key long, takes long, short int"), "leak-keys")
+    common = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_items"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("_items", "key"))
+    chosen = join_hot(keys, common, "key").withColumn("_rank", rank).where("_rank <= takes").select("item", "key", "short")
+    chosen = keep(chosen, "leak-chosen")
+    lengths = sorted(r["short"] for r in chosen.where("short > 0").select("short").distinct().collect())
+    marks = id_filter(chosen.select("key"), chosen.count())
+    held = keep(docs.mapInArrow(_held_keys(n, lengths, marks), "tid binary, key long").distinct(), "leak-held")
+
+    lists = keep(_listed(chosen.select("item", "key"), "key", "item", F.col("item")), "leak-lists")
+    pairs = join_hot(held, lists.groupBy("key").agg(F.first("parts").alias("lists")), "key").where("lists is not null")
+    pairs = keep(pairs.select("tid", F.explode(F.transform(F.sequence(F.lit(0), F.col("lists") - 1), lambda k: F.struct(F.col("key").alias("key"), k.alias("part")))).alias("at")), "leak-places")
+    side = lists.select(F.struct("key", "part").alias("at"), "items")
+    pairs = keep(join_hot(pairs, side, "at").select("tid", F.explode("items").alias("item")).distinct(), "leak-pairs")
+    named = keep(join_hot(pairs, items.select("item", F.col("text").alias("_item_text")), "item"), "leak-named")
+    asked = keep(_listed(named, "tid", "item", F.struct("item", F.col("_item_text").alias("text"))).select("tid", "items"), "leak-asked")
+    tids = asked.select("tid").distinct()
+    texts = docs.join(small(tids, pairs.select("tid").distinct().count()), "tid", "left_semi").dropDuplicates(["tid"])
+    tested = texts.join(asked, "tid").select("tid", "text", "items").mapInArrow(_tested(n, share), "tid binary, item long, matched long, windows long, slots long, changed_slots long")
+    found = keep(tested, "leak-found")
+    discard(keys, chosen, held, lists, pairs, named, asked)
+    return found
+
+
+def _parts(docs: DataFrame, benchmark: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Texts (tid, text), and items (item, item_id, text) under numbers of their own."""
+    named = benchmark.where("text is not null").select("item_id", "text").withColumn("item", F.monotonically_increasing_id())
+    body = docs.select(F.coalesce(docs[text], F.lit("")).alias("text")).where("text <> ''")
+    return body.select(text_id(F.col("text")).alias("tid"), "text"), keep(named, "leak-items")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, share: float = SHARE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A row for each document and item that it holds; the benchmark is searched in blocks."""
-    rows = docs.select(docs[id_col].alias("id"), docs[text].alias("text"))
-    item_type = benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {item_type}, matched long, windows long, slots long, changed_slots long"
-    names = [c.split()[0] for c in schema.split(", ")]
-    out = docs.sparkSession.createDataFrame([], schema)
-
-    def search(bench: Benchmark):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches):
-                found = list(leaks(templates(batch.column("text")), bench, n, share))
-                columns = [batch.column("id").take(pa.array([f.text for f in found], pa.int64())), pa.array([bench.ids[f.item] for f in found], _arrow(item_type))]
-                columns += [pa.array([getattr(f, c) for f in found], pa.int64()) for c in ("matched", "needed", "slots", "changed")]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-        return run
-
-    for bench in _blocks(benchmark, n):
-        out = out.unionByName(rows.mapInArrow(search(bench), schema))
-    return out
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
+    """A row for each document and item that it holds."""
+    texts, items = _parts(docs, benchmark, text)
+    found = _leaking(texts, items, n, share)
+    rows = found.join(items.select("item", "item_id"), "item").withColumnRenamed("tid", "_tid")
+    ids = docs.select(docs[id_col].alias("doc_id"), text_id(docs[text]).alias("tid"))
+    out = ids.join(small(rows, found.count()), F.col("tid") == F.col("_tid"))
+    return out.select("doc_id", "item_id", "matched", "windows", "slots", "changed_slots")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, share: float = SHARE, text: str = "text") -> DataFrame:
     """The rows of docs that hold no item, all columns as they were."""
-
-    def search(bench: Benchmark):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, text):
-                stays = np.ones(batch.num_rows, dtype=bool)
-                stays[[f.text for f in leaks(templates(batch.column(text)), bench, n, share)]] = False
-                yield batch.filter(pa.array(stays))
-
-        return run
-
-    for bench in _blocks(benchmark, n):
-        docs = docs.mapInArrow(search(bench), docs.schema)
-    return docs
+    tids = keep(_leaking(*_parts(docs, benchmark, text), n, share).select(F.col("tid").alias("_leaked")).distinct(), "leak-texts")
+    return docs.join(small(tids, tids.count()), text_id(docs[text]) == F.col("_leaked"), "left_anti")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A join's side of at most so many short rows is broadcast.
+BROADCAST_ROWS = 200_000
 #: Fewer keys than this are spread by join_hot, each held by more rows than the second number.
 HOT_KEYS = 10_000
 HOT_ROWS = 100
+#: Rows that one task ranks at most.
+MOST_RANKED = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +64,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(side: DataFrame, count: int) -> DataFrame:
+    """A side of short rows, broadcast where its counted rows allow; beyond that Spark shuffles both."""
+    return F.broadcast(side) if count <= BROADCAST_ROWS else side
+
+
 def share_of(total: int) -> int:
     """Rows of one key beyond which it is spread: fewer than HOT_KEYS keys can have so many."""
     return max(HOT_ROWS, total // HOT_KEYS + 1)
@@ -85,14 +94,18 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, total: int | None = Non
     return out.drop("_part", "_side_key", "_side_part")
 
 
-def ranked(df: DataFrame, key: str, by: list[Column], salts: int, name: str = "rank") -> DataFrame:
+def ranked(rows: DataFrame, key: str, by: list[Column], name: str = "rank") -> DataFrame:
     """Gapless ranks from 0 within each key without bringing a key's rows together.
 
-    Rows are spread over `salts` parts of each key by the hash of `by` and of the row;
+    A key's rows are spread by the hash of `by` over as many parts as their number asks for;
     each part numbers its own rows, and adds the counts of the parts before it. Ties in
-    `by` may take any order.
+    `by` may take any order, but rows that agree in it stay in one part. rows should be a
+    written table with few keys: it is read three times.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    share = min(max(1000, rows.count() // (4 * partitions(rows.sparkSession))), MOST_RANKED)
+    parts = rows.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count(F.lit(1)) / F.lit(share)).cast("int").alias("_parts"))
+    salted = rows.join(parts, rows[key].eqNullSafe(F.col("_key")))
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int")).drop("_key", "_parts")
     counts = salted.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(
