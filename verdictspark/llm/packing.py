@@ -8,7 +8,8 @@ afford, and keeps best-fit solutions as incumbents. Pieces then look up the plac
 their rank among those of their length. Neither documents nor pieces pass the driver.
 
 Null and empty texts are one piece that holds the end id alone. Repeated rows are
-documents of their own. An empty table gives an empty result.
+documents of their own. Very long texts are cut into as many pieces as they need. An empty
+table gives an empty result. Only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -246,8 +247,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, nodes: int = 2000, width: int
         at = r - first[k]
         return pd.DataFrame({"sequence_id": sequence[k] + at // copies[k], "offset": offset[k] + at % copies[k] * s})
 
-    salts = max(16, 2 * spark.sparkContext.defaultParallelism)
-    out = ranked(pieces, "length", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], salts)
+    out = ranked(pieces, "length", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")])
     return out.withColumn("_place", placed("length", "rank")).select(
         *pieces.columns, F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset")
     )

@@ -7,7 +7,9 @@ bin is found as the tightest remaining capacity in a balanced tree. Groups then
 up the run of their class that their rank falls in. Documents never pass the driver.
 
 Null texts count as empty (size 1) and form one group with empty ones. Repeated rows
-are documents of their own in one group. An empty table gives an empty result.
+are documents of their own in one group. Very long texts are groups like others; one above
+a shard's share of the bytes has a shard of its own. An empty table gives an empty result. Only
+the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -18,10 +20,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictspark.llm.tables import keep, ranked, read
+from verdictspark.llm.tables import discard, join_hot, keep, ranked, read
 
 EXACT_BELOW = 4096
-MIN_SALTS = 16
 
 
 @dataclass
@@ -140,15 +141,15 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", id_col: str = "d
     table = groups.groupBy("class").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
     runs = pack_into([(r["class"], -(-r["bytes"] // r["n"]), r["n"]) for r in table], shards)
     runs_df = spark.createDataFrame(runs, "run_class long, run_from long, run_to long, shard int")
-    salts = max(MIN_SALTS, 2 * spark.sparkContext.defaultParallelism)
-    placed = ranked(groups, "class", [F.col("group")], salts)
+    placed = ranked(groups, "class", [F.col("group")])
     placed = placed.join(
         F.broadcast(runs_df),
         (F.col("class") == F.col("run_class")) & (F.col("rank") >= F.col("run_from")) & (F.col("rank") < F.col("run_to")),
     ).select("group", "shard")
-    out = keep(rows.join(placed, "group").select("doc_id", "size", "text_crc32", "shard"), "shard-placed")
-    slots = max(64, 2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return ranked(out, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], slots, "slot")
+    # Equal texts are one group, whatever its rows: they are joined in parts.
+    out = keep(join_hot(rows, placed, "group").select("doc_id", "size", "text_crc32", "shard"), "shard-placed")
+    discard(rows, groups)
+    return ranked(out, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
