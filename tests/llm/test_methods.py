@@ -20,7 +20,7 @@ from verdictspark.llm.queries import QUERIES
 from verdictspark.llm.repeats import without_repeats
 from verdictspark.llm.tables import join_hot, keep
 from verdictspark.llm.tokens import tokenizer
-from verdictspark.llm.toxicity import label_model
+from verdictspark.llm.toxicity import FINDINGS, findings, forest, label_model
 
 SF = "/root/testdata/sf{}"
 
@@ -107,9 +107,9 @@ def test_short_items_and_scripts_without_spaces(spark):
     assert sorted(r["doc_id"] for r in decontamination.without_leaks(docs, items).collect()) == [2, 5, 8, 9]
 
 
-def test_benchmark_blocks_change_nothing(spark, sf_dir, monkeypatch):
+def test_splitting_common_windows_changes_nothing(spark, sf_dir, monkeypatch):
     before = sorted(QUERIES["op7_decontamination"](spark, sf_dir).collect(), key=str)
-    monkeypatch.setattr(decontamination, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(decontamination, "LISTED", 1)
     assert sorted(QUERIES["op7_decontamination"](spark, sf_dir).collect(), key=str) == before and before
 
 
@@ -243,7 +243,7 @@ def test_label_model_outweighs_noisy_labels():
     truth = rng.random(2000) < 0.3
     vote = lambda right: np.where(rng.random(2000) < right, truth, ~truth) * 2 - 1
     votes = np.column_stack([vote(0.9), vote(0.85), vote(0.9), vote(0.85), vote(0.8)]).astype(np.int8)
-    post = label_model(votes, 0.3) > 0.5
+    post = label_model(votes) > 0.5
     assert (post == truth).mean() > 0.95 > ((votes[:, -1] > 0) == truth).mean() + 0.1
 
 
@@ -255,14 +255,40 @@ def area(score, label):
     return (rank[label].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(label) - n1))
 
 
-@pytest.mark.parametrize(("name", "column", "scale", "least"), [("op5_toxicity", "toxic", 0.1, 0.93), ("op6_quality_classifier", "quality", 0.01, 0.95)])
-def test_held_out_accuracy(spark, name, column, scale, least):
+def test_label_model_pairs_voters_that_go_together():
+    """Three copies of one poor voter don't outvote two good ones."""
+    rng = np.random.default_rng(4)
+    truth = rng.random(3000) < 0.4
+    vote = lambda right: np.where(rng.random(3000) < right, truth, ~truth) * 2 - 1
+    poor = vote(0.65)
+    same = [np.where(rng.random(3000) < 0.98, poor, -poor) for _ in range(3)]
+    votes = np.column_stack([*same, vote(0.9), vote(0.88), vote(0.85)]).astype(np.int8)
+    pairs = forest(votes, truth.astype(float))
+    assert len([1 for i, j in pairs if i < 3 and j < 3]) == 2
+    assert ((label_model(votes) > 0.5) == truth).mean() > 0.9
+
+
+def test_findings_of_the_voters():
+    texts = ["you are such an idiot", "I will kill you", "what an 1d1ot, a stuuupid one", "IDIOT AND MORON!!", "idiot", "the house is old", "", "Trottel"]
+    found = findings(words.split(pa.array(texts), words.NOT_LETTERS))
+    names = [{n for n, f in zip(FINDINGS, row, strict=True) if f} for row in found]
+    assert "addressed" in names[0] and "threat" in names[1] and "disguised" in names[2]
+    assert {"several", "shouted", "exclaimed"} <= names[3] and names[5] == names[6] == set() and "insults de" in names[7]
+
+
+@pytest.mark.parametrize(
+    ("name", "column", "scale", "least", "found", "wrong"),
+    [("op5_toxicity", "toxic", 0.1, 0.95, 0.9, 0.02), ("op5_toxicity", "toxic", 0.01, 0.75, 0.6, 0.02), ("op6_quality_classifier", "quality", 0.01, 0.95, 0.95, 0.05)],
+)
+def test_held_out_accuracy(spark, name, column, scale, least, found, wrong):
     sf = SF.format(scale)
     labels = {r["doc_id"]: r[column] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist() if r[column] is not None}
     rows = [r for r in QUERIES[name](spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
     label = np.array([labels[r["doc_id"]] == 1 for r in rows])
+    predicted = np.array([r["predicted"] == 1 for r in rows])
     assert label.any() and not label.all()
     assert area(np.array([r["score"] for r in rows]), label) >= least
+    assert predicted[label].mean() >= found and predicted[~label].mean() <= wrong
 
 
 def test_pipeline_decisions(spark, sf_dir):

@@ -4,8 +4,9 @@ A document is a bag of passages of consecutive words. Each passage is encoded fr
 surface features; gated attention (tanh times sigmoid) weighs the encodings, and the
 weighted sum is scored. Weights are learnt from document labels alone.
 
-Null and empty texts are one passage without words. Without labelled rows of both kinds
-every score is 0.5. Repeated rows give repeated results.
+Null and empty texts are one passage without words; very long ones have as many passages as
+they need, in training too. Without labelled rows of both kinds every score is 0.5. Repeated
+rows give repeated results, an empty table none. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from verdictspark.llm.tables import read
 from verdictspark.llm.words import pieces, split
 
 MOST_LABELLED = 8_000
-MOST_PASSAGES = 32
 PASSAGE_WORDS = 48
 HIDDEN, GATE = 16, 8
 FEATURES = 15
@@ -149,13 +149,10 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = 300, see
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training bags: of longer texts MOST_PASSAGES passages, evenly spread."""
+    """Training bags: all passages of each text."""
     for batch in pieces(batches):
         x, first = passages(batch.column("text"))
-        bags = []
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            rows = np.arange(a, b) if b - a <= MOST_PASSAGES else a + np.arange(MOST_PASSAGES) * (b - a) // MOST_PASSAGES
-            bags.append(x[rows].tobytes())
+        bags = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(bags, pa.binary())], names=["label", "bag"])
 
 
