@@ -19,7 +19,7 @@ CLAIMS = (
     "repair_contribution_as_minus_an", "verdict_composition_ax_minus_as", "genuine_repair_ax_minus_axn", "polarity_axn_minus_an",
 )
 FACTORIAL = ("placement_assistant_minus_user", "attribution_self_minus_peer", "interaction")
-PAIRWISE = (("R1", "R0p"), ("R2", "R1"), ("R3", "R2"))
+PAIRWISE = (("R1", "R0p"), ("R2", "R1"), ("R3", "R2"), ("R3", "R3u"))
 STATS = ("effect", "lo", "hi", "p", "p_centred")
 V = "ladder_verdicts"
 
@@ -80,23 +80,24 @@ def _deltas(frame: DataFrame) -> DataFrame:
     )
 
 
-def sdt_intervals(spark: SparkSession, sf: str) -> DataFrame:
+def sdt_intervals(spark: SparkSession, sf: str, scope: tuple[str, ...] = ("auditor",)) -> DataFrame:
     """Intervals of the three differences; arms are drawn independently, conditions paired within them."""
-    p = rates.item_probabilities(_verdicts(spark, sf), [*CELL, "arm", "episode_id"])
-    r0 = p.where("condition = 'R0'").select("auditor", "item_id", F.col("p").alias("p0"))
-    items = p.where("condition <> 'R0'").join(r0, ["auditor", "item_id"], "left").withColumnRenamed("p", "p1")
-    keys = [*CELL, "arm"]
+    cell = [*scope, "condition"]
+    p = rates.item_probabilities(_verdicts(spark, sf), [*cell, "arm", "episode_id"])
+    r0 = p.where("condition = 'R0'").select(*scope, "item_id", F.col("p").alias("p0"))
+    items = p.where("condition <> 'R0'").join(r0, [*scope, "item_id"], "left").withColumnRenamed("p", "p1")
+    keys = [*cell, "arm"]
     table = resampling.clusters(items, keys, "episode_id", ["p0", "p1"])
     arm = lambda a, c: F.max(F.when(F.col("arm") == a, F.col(c)))
     wide = [arm("incorrect", "p1").alias("h1"), arm("incorrect", "p0").alias("h0"), arm("clean", "p1").alias("f1"), arm("clean", "p0").alias("f0")]
-    sizes = items.groupBy(*CELL).agg(F.count(F.when(F.col("arm") == "incorrect", F.col("p1"))).alias("n_signal"), F.count(F.when(F.col("arm") == "clean", F.col("p1"))).alias("n_noise"))
-    point = table.groupBy(*keys).agg(*[(F.sum(f"s_{v}") / F.sum(f"n_{v}")).alias(v) for v in ("p0", "p1")]).groupBy(*CELL).agg(*wide)
-    reps = resampling.replicates(table, keys, ["p0", "p1"], REPS, _stream(*keys)).groupBy(*CELL, "rep").agg(*wide)
-    point, reps = _deltas(point.join(sizes, CELL)), _deltas(reps.join(sizes, CELL))
+    sizes = items.groupBy(*cell).agg(F.count(F.when(F.col("arm") == "incorrect", F.col("p1"))).alias("n_signal"), F.count(F.when(F.col("arm") == "clean", F.col("p1"))).alias("n_noise"))
+    point = table.groupBy(*keys).agg(*[F.try_divide(F.sum(f"s_{v}"), F.sum(f"n_{v}")).alias(v) for v in ("p0", "p1")]).groupBy(*cell).agg(*wide)
+    reps = resampling.replicates(table, keys, ["p0", "p1"], REPS, _stream(*keys)).groupBy(*cell, "rep").agg(*wide)
+    point, reps = _deltas(point.join(sizes, cell)), _deltas(reps.join(sizes, cell))
     names = ["d_prime", "criterion", "balanced_accuracy"]
-    long = lambda f, *more: f.select(*CELL, *more, F.inline(F.array(*[F.struct(F.lit(q).alias("quantity"), F.round(F.col(q), 12).alias("m")) for q in names]))).where("m is not null")
+    long = lambda f, *more: f.select(*cell, *more, F.inline(F.array(*[F.struct(F.lit(q).alias("quantity"), F.round(F.col(q), 12).alias("m")) for q in names]))).where("m is not null")
     effects = long(point).withColumnRenamed("m", "effect")
-    return resampling.intervals(long(reps, "rep"), effects, [*CELL, "quantity"], "m", REPS)
+    return resampling.intervals(long(reps, "rep"), effects, [*cell, "quantity"], "m", REPS)
 
 
 def sdt_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
@@ -330,20 +331,29 @@ TOLD = ", ".join(f"{R(c)} AS {c}" for c in STATS)
 ITEMS = f"q AS (SELECT auditor, condition, item_id, episode_id, avg(CASE WHEN parsed THEN flag::DOUBLE END) AS p FROM {V} GROUP BY ALL)"
 DIFF = f"{ITEMS}, df AS (SELECT a.auditor, a.condition, a.item_id, a.episode_id, a.p - b.p AS d FROM q a JOIN q b ON a.auditor = b.auditor AND a.item_id = b.item_id AND b.condition = 'R0' WHERE a.condition <> 'R0')"
 S2 = "concat_ws('/', auditor, condition)"
-SDT = ", ".join((
-    f"qa AS (SELECT auditor, condition, arm, item_id, episode_id, avg(CASE WHEN parsed THEN flag::DOUBLE END) AS p FROM {V} GROUP BY ALL)",
-    "it AS (SELECT a.auditor, a.condition, a.arm, a.episode_id, a.p AS p1, b.p AS p0 FROM qa a LEFT JOIN qa b ON a.auditor = b.auditor AND a.item_id = b.item_id AND b.condition = 'R0' WHERE a.condition <> 'R0')",
-    _clusters("s", "it", ["auditor", "condition", "arm"], "episode_id", ["p0", "p1"]),
-    _draws("s", ["auditor", "condition", "arm"], "concat_ws('/', auditor, condition, arm)", ["p0", "p1"]),
-    "ns AS (SELECT auditor, condition, count(CASE WHEN arm = 'incorrect' THEN p1 END) AS n_signal, count(CASE WHEN arm = 'clean' THEN p1 END) AS n_noise FROM it GROUP BY ALL)",
-    "al AS (SELECT auditor, condition, arm, -1 AS rep, sum(s_p0) / sum(n_p0) AS p0, sum(s_p1) / sum(n_p1) AS p1 FROM cl_s GROUP BY ALL UNION ALL SELECT auditor, condition, arm, rep, p0, p1 FROM rp_s)",
-    "wd AS (SELECT auditor, condition, rep, max(CASE WHEN arm = 'incorrect' THEN p1 END) AS h1, max(CASE WHEN arm = 'incorrect' THEN p0 END) AS h0, max(CASE WHEN arm = 'clean' THEN p1 END) AS f1, max(CASE WHEN arm = 'clean' THEN p0 END) AS f0 FROM al GROUP BY ALL)",
-    f"sm AS (SELECT *, {smoothed_rate_sql('h1', 'n_signal')} AS sh1, {smoothed_rate_sql('h0', 'n_signal')} AS sh0, {smoothed_rate_sql('f1', 'n_noise')} AS sf1, {smoothed_rate_sql('f0', 'n_noise')} AS sf0 FROM wd JOIN ns USING (auditor, condition))",
-    f"zz AS (SELECT *, {probit_sql('sh1')} AS zh1, {probit_sql('sh0')} AS zh0, {probit_sql('sf1')} AS zf1, {probit_sql('sf0')} AS zf0 FROM sm)",
-    "lg AS (SELECT auditor, condition, rep, 'd_prime' AS quantity, round((zh1 - zf1) - (zh0 - zf0), 12) AS m FROM zz UNION ALL SELECT auditor, condition, rep, 'criterion', round(-0.5 * (zh1 + zf1) + 0.5 * (zh0 + zf0), 12) FROM zz UNION ALL SELECT auditor, condition, rep, 'balanced_accuracy', round(0.5 * ((h1 - f1) - (h0 - f0)), 12) FROM zz)",
-    "le AS (SELECT auditor, condition, quantity, m AS effect FROM lg WHERE rep = -1 AND m IS NOT NULL), lr AS (SELECT * FROM lg WHERE rep >= 0 AND m IS NOT NULL)",
-    _interval("s", ["auditor", "condition", "quantity"], "m", "lr", "le"),
-))
+def sdt_sql(scope: tuple[str, ...] = ("auditor",)) -> str:
+    """CTEs of sdt_intervals; iv_s holds the results."""
+    k = ", ".join([*scope, "condition"])
+    same = " AND ".join(f"a.{c} = b.{c}" for c in (*scope, "item_id"))
+    own = ", ".join(f"a.{c}" for c in (*scope, "condition", "arm", "episode_id"))
+    keys = [*scope, "condition"]
+    return ", ".join((
+        f"qa AS (SELECT {k}, arm, item_id, episode_id, avg(CASE WHEN parsed THEN flag::DOUBLE END) AS p FROM {V} GROUP BY ALL)",
+        f"it AS (SELECT {own}, a.p AS p1, b.p AS p0 FROM qa a LEFT JOIN qa b ON {same} AND b.condition = 'R0' WHERE a.condition <> 'R0')",
+        _clusters("s", "it", [*keys, "arm"], "episode_id", ["p0", "p1"]),
+        _draws("s", [*keys, "arm"], f"concat_ws('/', {k}, arm)", ["p0", "p1"]),
+        f"ns AS (SELECT {k}, count(CASE WHEN arm = 'incorrect' THEN p1 END) AS n_signal, count(CASE WHEN arm = 'clean' THEN p1 END) AS n_noise FROM it GROUP BY ALL)",
+        f"al AS (SELECT {k}, arm, -1 AS rep, sum(s_p0) / nullif(sum(n_p0), 0) AS p0, sum(s_p1) / nullif(sum(n_p1), 0) AS p1 FROM cl_s GROUP BY ALL UNION ALL SELECT {k}, arm, rep, p0, p1 FROM rp_s)",
+        f"wd AS (SELECT {k}, rep, max(CASE WHEN arm = 'incorrect' THEN p1 END) AS h1, max(CASE WHEN arm = 'incorrect' THEN p0 END) AS h0, max(CASE WHEN arm = 'clean' THEN p1 END) AS f1, max(CASE WHEN arm = 'clean' THEN p0 END) AS f0 FROM al GROUP BY ALL)",
+        f"sm AS (SELECT *, {smoothed_rate_sql('h1', 'n_signal')} AS sh1, {smoothed_rate_sql('h0', 'n_signal')} AS sh0, {smoothed_rate_sql('f1', 'n_noise')} AS sf1, {smoothed_rate_sql('f0', 'n_noise')} AS sf0 FROM wd JOIN ns USING ({k}))",
+        f"zz AS (SELECT *, {probit_sql('sh1')} AS zh1, {probit_sql('sh0')} AS zh0, {probit_sql('sf1')} AS zf1, {probit_sql('sf0')} AS zf0 FROM sm)",
+        f"lg AS (SELECT {k}, rep, 'd_prime' AS quantity, round((zh1 - zf1) - (zh0 - zf0), 12) AS m FROM zz UNION ALL SELECT {k}, rep, 'criterion', round(-0.5 * (zh1 + zf1) + 0.5 * (zh0 + zf0), 12) FROM zz UNION ALL SELECT {k}, rep, 'balanced_accuracy', round(0.5 * ((h1 - f1) - (h0 - f0)), 12) FROM zz)",
+        f"le AS (SELECT {k}, quantity, m AS effect FROM lg WHERE rep = -1 AND m IS NOT NULL), lr AS (SELECT * FROM lg WHERE rep >= 0 AND m IS NOT NULL)",
+        _interval("s", [*keys, "quantity"], "m", "lr", "le"),
+    ))
+
+
+SDT = sdt_sql()
 
 
 def _holm(source: str, family: str, order: str) -> str:
@@ -377,7 +387,7 @@ CELLTEXT = lambda n: f"coalesce(max(CASE WHEN contrast = '{n}' THEN printf('%+.2
 ORACLES = {
     "rung_bootstrap": _with(f"{DIFF}, {boot('a', 'df', CELL, 'item_id', S2)} SELECT auditor, condition, {TOLD}, n, n_clusters FROM iv_a JOIN (SELECT auditor, condition, n, n_clusters FROM ef_a) USING (auditor, condition)", V),
     "cluster_bootstrap": _with(f"{DIFF}, {boot('a', 'df', CELL, 'episode_id', S2)} SELECT auditor, condition, {TOLD}, n, n_clusters FROM iv_a JOIN (SELECT auditor, condition, n, n_clusters FROM ef_a) USING (auditor, condition)", V),
-    "ladder_pairwise": _with(f"{ITEMS}, pw AS (SELECT a.auditor, concat(a.condition, '-', b.condition) AS contrast, a.episode_id, a.p - b.p AS d FROM q a JOIN q b ON a.auditor = b.auditor AND a.item_id = b.item_id WHERE (a.condition, b.condition) IN (('R1', 'R0p'), ('R2', 'R1'), ('R3', 'R2'))), {boot('a', 'pw', ['auditor', 'contrast'], 'episode_id', 'concat_ws(chr(47), auditor, contrast)')} SELECT auditor, contrast, {TOLD}, n FROM iv_a JOIN (SELECT auditor, contrast, n FROM ef_a) USING (auditor, contrast)", V),
+    "ladder_pairwise": _with(f"{ITEMS}, pw AS (SELECT a.auditor, concat(a.condition, '-', b.condition) AS contrast, a.episode_id, a.p - b.p AS d FROM q a JOIN q b ON a.auditor = b.auditor AND a.item_id = b.item_id WHERE (a.condition, b.condition) IN (('R1', 'R0p'), ('R2', 'R1'), ('R3', 'R2'), ('R3', 'R3u'))), {boot('a', 'pw', ['auditor', 'contrast'], 'episode_id', 'concat_ws(chr(47), auditor, contrast)')} SELECT auditor, contrast, {TOLD}, n FROM iv_a JOIN (SELECT auditor, contrast, n FROM ef_a) USING (auditor, contrast)", V),
     "detection_vs_r0": _with(f"{DIFF}, d1 AS (SELECT * FROM df WHERE item_id % 2 = 1), {boot('a', 'd1', CELL, 'episode_id', 'concat(' + S2 + ', chr(47), $$detection$$)')} SELECT auditor, condition, {TOLD}, n, n_clusters FROM iv_a JOIN (SELECT auditor, condition, n, n_clusters FROM ef_a) USING (auditor, condition)", V),
     "sdt_bootstrap": _with(f"{SDT} SELECT auditor, condition, quantity, {TOLD} FROM iv_s", V),
     "r4_bootstrap": _with(f"{R4BOOT} SELECT auditor, contrast, {TOLD}, n, n_clusters FROM iv_r JOIN (SELECT auditor, contrast, n, n_clusters FROM ef_r) USING (auditor, contrast)", "r4_verdicts"),
