@@ -15,8 +15,8 @@ def parse_audit(raw: Column, n_steps: Column) -> Column:
     The text must be one JSON object with a known verdict, a number from 0 to 1 as
     confidence and a string as evidence. A correct verdict has neither step nor type; of
     an incorrect one a step stays only if it is a whole number within the trace, a type
-    only if it is known. Other keys are ignored. Texts with repeated keys are refused
-    unless spark.sql.variant.allowDuplicateKeys is set.
+    only if it is known. Other keys are ignored. Of repeated keys the last counts, for
+    which spark.sql.variant.allowDuplicateKeys must be set; else such texts are refused.
     """
     whole = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
     one = F.try_variant_get(whole, "$[0]", "variant")

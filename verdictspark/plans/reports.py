@@ -22,3 +22,8 @@ def to_latex(frame: DataFrame, group: str, caption: str, label: str, most: int =
         body.append(" & ".join("---" if v is None else str(v).replace("*", "$^{*}$") for v in r) + r" \\")
     head = " & ".join(c.replace("_", r"\_") for c in frame.columns) + r" \\"
     return "\n".join([r"\begin{table}[t]", r"\centering", rf"\begin{{tabular}}{{{'l' * len(frame.columns)}}}", r"\toprule", head, r"\midrule", *body, r"\bottomrule", r"\end{tabular}", rf"\caption{{{caption}}}", rf"\label{{{label}}}", r"\end{table}"])
+
+
+def panel_letter(panels: tuple[str, ...], panel: str) -> str:
+    """A panel's letter by its place among those shown."""
+    return chr(ord("a") + panels.index(panel))

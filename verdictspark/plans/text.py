@@ -31,6 +31,7 @@ def raw_audits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parse_audit(spark: SparkSession, sf: str) -> DataFrame:
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", True)
     raw = raw_audits(spark, sf).withColumn("audit", audits.parse_audit(F.col("raw"), F.lit(N_STEPS)))
     a = F.col("audit")
     return raw.select("auditor", "condition", "item_id", "sample", a.isNotNull().alias("parsed"), a["verdict"].alias("verdict"), F.coalesce(a["first_error_step"], F.lit(0)).alias("first_error_step"), rounded(a["confidence"]).alias("confidence"), a["error_type"].alias("error_type"), F.coalesce(a["localization_usable"], F.lit(False)).alias("localization_usable"))

@@ -41,6 +41,36 @@ def cell_records(items: DataFrame) -> DataFrame:
     return out.select("auditor", "condition", "family", "far", field("item_id").alias("item_ids"), field("p").alias("per_item_probs"), field("episode_id").alias("episode_ids"))
 
 
+def write_records(cells: DataFrame, folder: str) -> None:
+    """Records as JSON, a folder for each auditor, family and condition; those present in cells are replaced."""
+    cells.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False).partitionBy("auditor", "family", "condition").json(folder)
+
+
+def write_evidence(verdicts: DataFrame, folder: str) -> None:
+    """Every sample's verdict beside the cells, unparsed ones too."""
+    write_partitioned(verdicts, folder)
+
+
+def read_wordings(spark: SparkSession, folder: str, stem: str, schema: str, wordings: tuple[str, ...] = ("F1", "F2", "F3", "F4", "F5")) -> DataFrame:
+    """Scored artefacts of all wordings: stem.json is F1's, stem_F2.json and so on the others'; absent ones have no rows."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = {s.getPath().getName() for s in system.listStatus(files)}
+    named = [(w, f"{stem}.json" if w == "F1" else f"{stem}_{w}.json") for w in wordings]
+    parts = [spark.read.schema(schema).option("multiLine", True).json(f"{folder}/{f}").withColumn("wording", F.lit(w)) for w, f in named if f in there]
+    out = spark.createDataFrame([], f"{schema}, wording string")
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def require_same_budget(cells: DataFrame) -> None:
+    """ValueError where cells of one auditor and family were generated with different reasoning flags or token limits."""
+    odd = cells.groupBy("auditor", "family").agg(F.count_distinct(F.struct(F.coalesce("thinking", F.lit(False)), F.coalesce("max_tokens", F.lit(-1)))).alias("_n")).where("_n > 1").limit(1).collect()
+    if odd:
+        raise ValueError(f"cells of {odd[0]['auditor']}/{odd[0]['family']} differ in thinking or max_tokens")
+
+
 def write_partitioned(rows: DataFrame, folder: str) -> None:
     """Partitions by auditor, family and condition; only those present in rows are replaced."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("auditor", "family", "condition").parquet(folder)

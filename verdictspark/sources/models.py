@@ -1,12 +1,14 @@
 """Connector to served models: prompts as a DataFrame in, long rows of samples out.
 
-The caller gives a function that answers one request, so that tests and offline runs
-replay recorded answers. Requests of a task run on a small pool; order is kept by key.
+The caller gives a function that answers one request: `chat` asks a server, tests and
+offline runs replay recorded answers. Requests of a task run on a small pool; order is kept by key.
 """
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -31,6 +33,39 @@ class Endpoint:
         return cls(label, model, url)
 
 
+def payload(endpoint: Endpoint, turns: list[dict], samples: int, temperature: float, max_tokens: int, schema: dict | None = None, seed: int | None = None, thinking: bool | None = None) -> dict:
+    """The body of a chat request; what isn't asked for isn't sent."""
+    body: dict = {"model": endpoint.model, "messages": turns, "n": samples, "temperature": temperature, "max_tokens": max_tokens}
+    if schema is not None:
+        body["response_format"] = {"type": "json_schema", "json_schema": {"name": "answer", "schema": schema}}
+    if seed is not None:
+        body["seed"] = seed
+    if thinking is not None:
+        body["chat_template_kwargs"] = {"enable_thinking": thinking}
+    return body
+
+
+def usage_of(reply: dict) -> dict:
+    """Token counts of a reply, its choices and why each ended."""
+    use, choices = reply.get("usage") or {}, reply.get("choices", [])
+    return {"prompt_tokens": use.get("prompt_tokens"), "completion_tokens": use.get("completion_tokens"), "n": len(choices), "finish_reasons": [c.get("finish_reason") for c in choices]}
+
+
+def chat(temperature: float, max_tokens: int, schema: dict | None = None, seed: int | None = None, thinking: bool | None = None, timeout: float = 600.0, usage: Callable[[dict], None] | None = None) -> Callable[[Endpoint, list[dict], int], list[str]]:
+    """An `answer` for generate that posts to the endpoint's chat route; `usage` gets each reply's counts."""
+
+    def answer(endpoint: Endpoint, turns: list[dict], samples: int) -> list[str]:
+        body = json.dumps(payload(endpoint, turns, samples, temperature, max_tokens, schema, seed, thinking)).encode()
+        request = urllib.request.Request(endpoint.base_url.rstrip("/") + "/chat/completions", body, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=timeout) as got:
+            reply = json.load(got)
+        if usage is not None:
+            usage(usage_of(reply))
+        return [c["message"]["content"] for c in reply["choices"]]
+
+    return answer
+
+
 def generate(prompts: DataFrame, answer: Callable[[Endpoint, list[dict], int], list[str]], endpoint: Endpoint, samples: int, key: str = "item_id", messages: str = "messages", attempts: int = 3, pause: float = 2.0, pool: int = 16) -> DataFrame:
     """(key, sample, raw): `samples` rows for each prompt, null where no answer came."""
 
