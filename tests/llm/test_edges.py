@@ -1,12 +1,16 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
 import hashlib
+import random
+import time
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
 from verdictspark.llm import queries
+from verdictspark.llm.secret_scan import scan, secret_spans
+from verdictspark.llm.sharding import shard
 
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
 COPY = " ".join(f"copy{i}" for i in range(50))
@@ -65,8 +69,8 @@ def test_secrets(spark, odd):
 
 def test_packing(spark, odd):
     rows = queries.QUERIES["op2_best_fit_packing"](spark, odd).collect()
-    ends = Counter(r["doc_id"] for r in rows if r["length"] < 2048 or r["piece"] > 0 or True)
-    assert ends[6] == 2 and ends[7] > 50 and {r["length"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}
+    pieces, firsts = Counter(r["doc_id"] for r in rows), Counter(r["doc_id"] for r in rows if r["piece"] == 0)
+    assert firsts == Counter(i for i, _ in DOCS) and pieces[6] == 2 and pieces[7] > 50 and {r["length"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}
 
 
 def test_join(spark, odd):
@@ -74,6 +78,39 @@ def test_join(spark, odd):
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 48, 5), (6, 48, 5), (8, 49, 5)} <= got
 
 
+def test_a_long_text_of_keys_takes_time_in_proportion():
+    rng = random.Random(5)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    text = "\n".join(f"token = {key()}" for _ in range(4_000))
+    began = time.perf_counter()
+    assert len(scan(text)) == 8_000
+    once = time.perf_counter() - began
+    began = time.perf_counter()
+    assert len(scan("\n".join([text] * 8))) == 64_000
+    assert time.perf_counter() - began < 24 * once
+
+
+def test_five_megabytes_of_keys(spark):
+    rng = random.Random(6)
+    text = "\n".join("secret: " + "".join(rng.choices("0123456789abcdef", k=64)) for _ in range(72_000))
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    found = {r["doc_id"]: len(r["found"]) for r in secret_spans(docs).collect()}
+    assert len(text) > 5_000_000 and found == {1: 144_000, 2: 0}
+
+
+def test_ten_thousand_equal_texts_share_a_shard(spark):
+    docs = spark.range(13_000).selectExpr("id AS doc_id", "CASE WHEN id < 5000 THEN NULL WHEN id < 10000 THEN '' ELSE concat('text ', id) END AS text")
+    rows = shard(docs, 4).collect()
+    assert len(rows) == 13_000 and len({r["shard"] for r in rows if r["doc_id"] < 10_000}) == 1
+    for s in range(4):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    # An item's place follows from join_hot: no task of the join gets more than a part of the group.
+    bytes_ = Counter()
+    for r in rows:
+        bytes_[r["shard"]] += r["size"]
+    assert max(bytes_.values()) - min(bytes_.values()) <= 20
+
+
 def test_pages(spark, odd):
     got = queries.QUERIES["op4_html_extraction"](spark, odd).collect()
     assert len(got) == 5 and all(r["n_chars"] == len(r["text"]) for r in got)

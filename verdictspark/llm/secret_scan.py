@@ -8,14 +8,16 @@ candidate is reported as `novel` where its surroundings, or those of a line of i
 block, name a credential and its cost a character is high. Pattern matches (assign, access, hex) are always
 reported, with their own marginal bytes beside them.
 
-Null and empty texts have no spans. Whole texts are scanned. Repeated rows give
-repeated results. Positions are code points, ends exclusive.
+Null and empty texts have no spans. Whole texts are scanned, very long ones in time that grows
+with their length. Spans of one start come in the order of KINDS. Repeated rows give repeated
+results, an empty table none. Positions are code points, ends exclusive. Only the id and text
+columns are read (redaction keeps all), so others may have any name.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -107,6 +109,24 @@ def _blocks(text: str) -> Iterator[list[tuple[int, int]]]:
         yield block
 
 
+def _merged(found: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Matches as disjoint intervals in order: their starts and ends."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(found, key=lambda f: f[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _overlaps(starts: list[int], ends: list[int], a: int, b: int) -> bool:
+    k = bisect_left(starts, b) - 1
+    return k >= 0 and ends[k] > a
+
+
 def scan(text: str, least: int = 16, ratio: float = 0.62, around: int = 96, reach: int = 48) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, marginal bytes) of a text's secrets, by start, then kind as listed.
 
@@ -119,12 +139,13 @@ def scan(text: str, least: int = 16, ratio: float = 0.62, around: int = 96, reac
     found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     spans = [(k, a, b, marginal_bytes(text, a, b, around)) for k, a, b in found]
+    starts, ends = _merged(found)
     for block in _blocks(text):
         if not any(_DIGIT.search(text, a, b) for a, b in block) or not any(_SENSITIVE.search(text, max(0, a - reach), min(len(text), b + reach)) for a, b in block):
             continue
         for a, b in block:
             whole = text[a:b]
-            if b - a < least or whole.isdigit() or any(x < b and a < y for _, x, y in found):
+            if b - a < least or whole.isdigit() or _overlaps(starts, ends, a, b):
                 continue
             if not _DIGIT.search(whole) and (whole.isupper() or whole.islower()):
                 continue
