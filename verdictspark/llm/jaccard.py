@@ -42,9 +42,8 @@ from verdictspark.llm.words import Words, mix, pieces, split, windows
 #: Places that a task gathers before it deals them out, and tokens of a block of sets.
 CHUNK_PLACES = 1 << 19
 BLOCK_TOKENS = 1 << 18
-#: Places of a bucket, and bytes of texts that a task takes at once: with two tasks an executor they bound the workers' memory.
+#: Places of a bucket: it bounds the memory of the worker that meets them.
 BUCKET_PLACES = 600_000
-TEXT_BYTES = 4 << 20
 #: Tokens of one part of a large group: the share of a task, between these two.
 PART_TOKENS = (1 << 14, 1 << 20)
 FILTER_BITS_MOST = 1 << 27
@@ -109,7 +108,7 @@ def _by_bucket(tokens: np.ndarray, limit: int, buckets: int) -> tuple[np.ndarray
 
 def _classes(id_type: str, n: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", TEXT_BYTES):
+        for batch in pieces(batches):
             sets = sets_of(batch.column("text"), n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("tid"), pa.array([class_id(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())],
@@ -140,7 +139,7 @@ def _sampled(n: int, limit: int, buckets: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cids: dict[bytes, None] = {}
         sizes, parts, places = [], [], 0
-        for batch in pieces(batches, "text", TEXT_BYTES):
+        for batch in pieces(batches):
             for own in sets_of(batch.column("text"), n):
                 if len(own) and (cid := class_id(own)) not in cids:
                     cids[cid] = None
@@ -253,7 +252,7 @@ def _sets(n: int, marks: np.ndarray, holders: dict[bytes, object]):  # noqa: ANN
     """Sets of the classes that pass the filter; of a frequent class, that of its holder's row alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", TEXT_BYTES):
+        for batch in pieces(batches):
             sets = sets_of(batch.column("text"), n)
             cids = [class_id(s) for s in sets]
             ids = np.frombuffer(b"".join(c[:8] for c in cids), dtype=_U)

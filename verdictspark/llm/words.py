@@ -102,7 +102,7 @@ def split(col: pa.Array, gaps: np.ndarray = SPACE) -> Words:
     return Words(data, at, start, end, np.searchsorted(start, at))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `most` text bytes (a longer text alone)."""
     for batch in batches:
         if not batch.num_rows:
