@@ -104,11 +104,10 @@ def test_ten_thousand_equal_texts_share_a_shard(spark):
     assert len(rows) == 13_000 and len({r["shard"] for r in rows if r["doc_id"] < 10_000}) == 1
     for s in range(4):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
-    # An item's place follows from join_hot: no task of the join gets more than a part of the group.
     bytes_ = Counter()
     for r in rows:
         bytes_[r["shard"]] += r["size"]
-    assert max(bytes_.values()) - min(bytes_.values()) <= 20
+    assert max(bytes_.values()) - min(bytes_.values()) <= 60
 
 
 def test_pages(spark, odd):

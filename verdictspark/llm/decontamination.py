@@ -378,7 +378,7 @@ def _leaking(docs: DataFrame, items: DataFrame, n: int, share: float) -> DataFra
     chosen = join_hot(keys, common, "key").withColumn("_rank", rank).where("_rank <= takes").select("item", "key", "short")
     chosen = keep(chosen, "leak-chosen")
     lengths = sorted(r["short"] for r in chosen.where("short > 0").select("short").distinct().collect())
-    marks = id_filter(chosen.select("key"), chosen.count())
+    marks = id_filter(chosen.select("key"), chosen.count(), 1024)
     held = keep(docs.mapInArrow(_held_keys(n, lengths, marks), "tid binary, key long").distinct(), "leak-held")
 
     lists = keep(_listed(chosen.select("item", "key"), "key", "item", F.col("item")), "leak-lists")

@@ -228,14 +228,14 @@ def _set_bits(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk").slice(0, 1), "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})
 
 
-def id_filter(ids: DataFrame, count: int) -> np.ndarray:
+def id_filter(ids: DataFrame, count: int, bits_each: int = 16) -> np.ndarray:
     """A table of bits that is set for every id; others may pass it too, and a join sorts them out.
 
     It is put together in chunks on the executors; the driver gets the bits alone, at most
     FILTER_BITS_MOST of them.
     """
     bits = BIT_CHUNK
-    while bits < 16 * count and bits < FILTER_BITS_MOST:
+    while bits < bits_each * count and bits < FILTER_BITS_MOST:
         bits *= 2
     marks = np.zeros(bits // 8, dtype=np.uint8)
     for r in ids.mapInArrow(_bits(bits), "chunk int, at binary").groupBy("chunk").applyInArrow(_set_bits, "chunk int, marks binary").collect():
