@@ -14,6 +14,7 @@ table gives an empty result. Only the id and text columns are read, so others ma
 
 from __future__ import annotations
 
+import itertools
 import sys
 import zlib
 from bisect import bisect_right
@@ -31,6 +32,11 @@ from verdictspark.llm.tables import keep, ranked, read
 from verdictspark.llm.tokens import tokenizer
 from verdictspark.llm.words import pieces as text_pieces
 
+#: Lengths of a filling that are enumerated; more are added greedily.
+DEPTH = 5
+#: Distinct lengths up to which the fillings of a state are kept for later passes of the search.
+REMEMBERED = 256
+
 Filling = tuple[int, ...]
 Pattern = tuple[int, Filling]
 
@@ -95,50 +101,73 @@ def dominates(a: Filling, b: Filling) -> bool:
     return fits(0)
 
 
+def _sums(usable: list[int], room: int) -> list[int]:
+    """Bit sets of the totals up to room of 0, 1, 2 ... lengths, at most DEPTH."""
+    levels, mask = [1], (1 << (room + 1)) - 1
+    for _ in range(min(DEPTH, room // usable[0])):
+        total = 0
+        for s in usable:
+            total |= levels[-1] << s
+        levels.append(total & mask)
+    return levels
+
+
+def _of_total(total: int, m: int, levels: list[int], left: dict[int, int], usable: list[int], most: int) -> Iterator[Filling]:
+    """Fillings of m lengths, greatest first, that add up to total; at most `most` partial ones are tried."""
+    tries = [most]
+
+    def extend(rest: int, k: int, at: int, chosen: list[int]) -> Iterator[Filling]:
+        if k == 0:
+            yield tuple(chosen)
+            return
+        for i in range(min(at, bisect_right(usable, rest) - 1), -1, -1):
+            s = usable[i]
+            if s * k < rest or tries[0] <= 0:
+                return
+            if levels[k - 1] >> (rest - s) & 1 and chosen.count(s) < left[s]:
+                tries[0] -= 1
+                yield from extend(rest - s, k - 1, i, [*chosen, s])
+
+    yield from extend(total, m, len(usable) - 1, [])
+
+
 def fillings(room: int, left: dict[int, int], sizes: list[int], waste: int, width: int) -> list[Filling]:
-    """Undominated fillings of `room` that waste at most `waste`, least waste first.
+    """Undominated fillings of `room` that waste at most `waste`, least waste first, at most `width`.
 
-    Fillings of one to three lengths are enumerated from the greatest down, then the
-    rest of the room is filled greedily; at most 8 * width are looked at.
+    Totals are taken from the room downwards, so that the waste bound alone ends the
+    enumeration before `width` does. Fillings of up to DEPTH lengths are enumerated, and
+    what room they leave is filled with the greatest lengths that fit.
     """
-    found: dict[Filling, int] = {}
-    looks = 8 * width
-
-    def add(start: list[int]) -> None:
-        filling, r = list(start), room - sum(start)
-        have = Counter(filling)
-        i = bisect_right(sizes, r) - 1
-        while i >= 0 and r > 0:
-            take = min(left[sizes[i]] - have[sizes[i]], r // sizes[i])
-            if take > 0:
-                filling += [sizes[i]] * take
-                have[sizes[i]] += take
-                r -= take * sizes[i]
-            i = min(i, bisect_right(sizes, r)) - 1
-        if r <= waste:
-            found.setdefault(tuple(sorted(filling, reverse=True)), r)
-
-    add([])
-    for x in reversed(sizes[: bisect_right(sizes, room)]):
-        add([x])
-        for y in reversed(sizes[: bisect_right(sizes, min(x, room - x))][-4:]):
-            if y != x or left[x] > 1:
-                add([x, y])
-        if len(found) >= looks:
-            break
-    kept: list[Filling] = []
-    for f in sorted(found, key=lambda f: (found[f], len(f), tuple(-s for s in f))):
-        if not any(len(f) <= 12 and dominates(k, f) for k in kept):
-            kept.append(f)
+    usable = sizes[: bisect_right(sizes, room)]
+    if not usable:
+        return [()] if room <= waste else []
+    levels, kept, seen = _sums(usable, room), [], set()
+    for total in range(room, max(room - waste, usable[0]) - 1, -1):
+        for m in range(1, len(levels)):
+            if not levels[m] >> total & 1:
+                continue
+            for found in itertools.islice(_of_total(total, m, levels, left, usable, 8 * width), 2):
+                filling, r, i = list(found), room - total, bisect_right(usable, room - total) - 1
+                while i >= 0 and r > 0:
+                    take = min(left[usable[i]] - filling.count(usable[i]), r // usable[i])
+                    filling += [usable[i]] * max(take, 0)
+                    r -= max(take, 0) * usable[i]
+                    i = min(i, bisect_right(usable, r)) - 1
+                done = tuple(sorted(filling, reverse=True))
+                if done not in seen and not any(len(done) <= 12 and dominates(k, done) for k in kept):
+                    kept.append(done)
+                seen.add(done)
         if len(kept) >= width:
             break
-    return kept
+    return sorted(kept, key=lambda f: (room - sum(f), len(f), tuple(-x for x in f)))[:width]
 
 
 def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2000, width: int = 6) -> list[Pattern]:
     """The best packing found within `nodes` steps of the search; optimal where it meets the bound.
 
-    The limits bound the search only: every length is packed whatever they are.
+    The search takes each bin's fillings in order of waste, first always the best, then with
+    one departure from that, then two and so on. The limits bound the search only: every
+    length is packed whatever they are.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
@@ -148,9 +177,10 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2000, wid
     total, bound = sum(s * n for s, n in counts.items()), lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     used = [sum(t for t, _ in best)]
-    budget = [nodes]
+    budget, cut = [nodes], [False]
+    known: dict[tuple, list[Filling]] = {}
 
-    def search(left: dict[int, int], sizes: list[int], bins: int, waste: int, path: list[Pattern]) -> None:
+    def search(left: dict[int, int], sizes: list[int], bins: int, waste: int, path: list[Pattern], departures: int) -> None:
         nonlocal best
         if used[0] <= bound:
             return
@@ -168,11 +198,17 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2000, wid
         if afford < 0 or bins + -(-sum(s * n for s, n in left.items()) // capacity) >= used[0]:
             return
         top = sizes[-1]
-        left[top] -= 1
-        others = [s for s in sizes if left[s]]
-        options = fillings(capacity - top, left, others, afford, width) if others else [()]
-        left[top] += 1
-        for option in options:
+        key = (tuple(left.items()), min(afford, capacity))
+        options = known.get(key)
+        if options is None:
+            left[top] -= 1
+            others = [s for s in sizes if left[s]]
+            options = fillings(capacity - top, left, others, min(afford, capacity), width) if others else [()]
+            left[top] += 1
+            if len(left) <= REMEMBERED:
+                known[key] = options
+        cut[0] |= len(options) > departures + 1
+        for skipped, option in enumerate(options[: departures + 1]):
             filling = (top, *option)
             lost = capacity - sum(filling)
             times = min(left[s] // k for s, k in Counter(filling).items())
@@ -182,13 +218,19 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2000, wid
                 continue
             after, after_sizes = dict(left), list(sizes)
             _use(after, after_sizes, filling, times)
-            search(after, after_sizes, bins + times, waste + lost * times, [*path, (times, filling)])
+            search(after, after_sizes, bins + times, waste + lost * times, [*path, (times, filling)], departures - skipped)
 
     if used[0] > bound:
         depth = sys.getrecursionlimit()
         sys.setrecursionlimit(max(depth, 4 * len(counts) + 4000))
         try:
-            search(dict(counts), sorted(counts), 0, 0, [])
+            departures = 0
+            while budget[0] > 0 and used[0] > bound:
+                cut[0] = False
+                search(dict(counts), sorted(counts), 0, 0, [], departures)
+                if not cut[0]:
+                    break
+                departures += 1
         finally:
             sys.setrecursionlimit(depth)
     return best
