@@ -15,10 +15,26 @@ def hashed_order(seed: str, item: str = "item_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string")).cast("binary"))
 
 
-def by_stratum(pool: DataFrame, split: str, seed: str, item: str = "item_id", name: str = "rn") -> DataFrame:
-    """Adds each item's place in its stratum's hashed order."""
-    own = Window.partitionBy(split).orderBy(hashed_order(seed, item), item)
-    return pool.withColumn(name, F.row_number().over(own))
+#: Leading hexadecimal digits of the hashed order that cut a stratum into parts of about equal size.
+PART_DIGITS = 3
+
+
+def by_stratum(pool: DataFrame, split: str, seed: str, item: str = "item_id", name: str = "rn", most: int | None = None) -> DataFrame:
+    """Adds each item's place in its stratum's hashed order, from 1; with `most` only items that can be among so many.
+
+    The hash cuts a stratum into parts that are ranked apart and add the counts of the
+    parts before them, so that no task orders a whole stratum.
+    """
+    h = hashed_order(seed, item)
+    parted = pool.withColumn("_part", F.substring(h, 1, PART_DIGITS))
+    counts = parted.groupBy(split, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    below = Window.partitionBy(split).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(split).alias("_split"), F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))
+    if most is not None:
+        counts = counts.where(F.col("_below") < most)
+    joined = parted.join(counts, parted[split].eqNullSafe(counts["_split"]) & (parted["_part"] == counts["_at"]))
+    own = F.row_number().over(Window.partitionBy(split, "_part").orderBy(h, item))
+    return joined.withColumn(name, (F.col("_below") + own).cast("int")).drop("_part", "_split", "_at", "_below")
 
 
 def round_robin(ranked: DataFrame, n: int, stratum_order: str) -> DataFrame:
@@ -44,7 +60,8 @@ def allocate(pool: DataFrame, arms: list[tuple[str, int, Column | None]], seed:
         left = pool if only is None else pool.where(only)
         if out is not None:
             left = left.join(out.select(item), item, "left_anti")
-        taken = round_robin(by_stratum(left, split, f"{seed}/{name}", item), n, split).select(F.lit(name).alias("arm"), item, split)
+        # Counted here and excluded from later arms: computed once.
+        taken = round_robin(by_stratum(left, split, f"{seed}/{name}", item, most=n), n, split).select(F.lit(name).alias("arm"), item, split).persist()
         if taken.count() < n:
             raise ValueError(f"arm {name} needs {n} items")
         out = taken if out is None else out.unionByName(taken)
