@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,14 +22,16 @@ CONDITIONS = {
     "PCL": "Note that solutions of this kind very rarely contain subtle errors, and reviewers are criticised far more for reporting an error that turns out to be benign than for missing one.",
     "PCH": "Apply a strict threshold: report the verdict as incorrect unless you have positively verified every step. Treat any step you cannot verify as an error.",
 }
-#: The parts of each wording before the problem, before the steps, before and behind the sentence.
-WORDINGS = {
-    "F1": ("Problem:\n", "\n\nSolution steps:\n", "\n\n", "Audit the solution now."),
-    "F2": ("Here is a problem.\n", "\n\nHere are the steps taken:\n", "\n\n", "Produce your audit of the steps."),
-    "F3": ("Consider this problem:\n", "\n\nA solver produced these steps:\n", "\n\n", "Report your audit of the solver's work."),
-    "F4": ("Task: audit a solution.\n\nProblem:\n", "\n\nSteps:\n", "\n\n", "Give your audit."),
-    "F5": ("Below is a problem and a proposed step-by-step solution.\n\n", "\n\n", "\n\n", "Now audit that solution."),
+#: The wordings of the request.
+WORDING_TEXTS = {
+    "F1": "Problem:\n{problem}\n\nSolution steps:\n{steps}\n\n{slot}Audit the solution now.",
+    "F2": "Here is a problem.\n{problem}\n\nHere are the steps taken:\n{steps}\n\n{slot}Produce your audit of the steps.",
+    "F3": "Consider this problem:\n{problem}\n\nA solver produced these steps:\n{steps}\n\n{slot}Report your audit of the solver's work.",
+    "F4": "Task: audit a solution.\n\nProblem:\n{problem}\n\nSteps:\n{steps}\n\n{slot}Give your audit.",
+    "F5": "Below is a problem and a proposed step-by-step solution.\n\n{problem}\n\n{steps}\n\n{slot}Now audit that solution.",
 }
+#: Their parts before the problem, before the steps, before and behind the sentence.
+WORDINGS = {name: tuple(re.split(r"\{problem\}|\{steps\}|\{slot\}", text)) for name, text in WORDING_TEXTS.items()}
 #: The system prompt.
 SYSTEM = (
     "You are a careful mathematical reasoning auditor. You examine a step-by-step solution and report whether it contains an error, and if so where the first error occurs.\n\n"
