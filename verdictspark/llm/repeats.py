@@ -27,6 +27,8 @@ from verdictspark.llm.words import Words, buffers, mix, pieces, split, windows
 
 #: Changes word hashes for the second half of a whole window's hash.
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Places that one bucket meets; small ones even out what tasks read.
+BUCKET_PLACES = 400_000
 #: Perfect difference sets, by period.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 
@@ -146,7 +148,7 @@ def without_repeats(docs: DataFrame, n: int = 35, text: str = "text", id_col: st
     copies = short.where(F.col("n_words") >= n).groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
 
     period, cover = cover_for(n)
-    anchors = rows.select("text").mapInArrow(_anchors(n, buckets_for(spark, n_words * len(cover) / period)), PACKED)
+    anchors = rows.select("text").mapInArrow(_anchors(n, buckets_for(spark, n_words * len(cover) / period, BUCKET_PLACES)), PACKED)
     near = meet(anchors).groupBy("key").agg(F.collect_list("at").alias("found"))
     near = near.join(copies, "key")
     keyed = rows.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
@@ -154,7 +156,7 @@ def without_repeats(docs: DataFrame, n: int = 35, text: str = "text", id_col: st
     held = keep(held.select(near["key"], "text", "found", "copies"), "repeat-texts")
 
     places = n_words // 4
-    whole = held.select("key", "text", "found").mapInArrow(_whole_windows(n, buckets_for(spark, places)), PACKED)
+    whole = held.select("key", "text", "found").mapInArrow(_whole_windows(n, buckets_for(spark, places, BUCKET_PLACES)), PACKED)
     starts = meet(whole).groupBy("key").agg(F.collect_list("at").alias("starts"))
     lost = held.where("copies = 1").select("key", "text").join(starts, "key")
     lost = lost.mapInArrow(_removed(n, with_text), "key binary, removed long, left_sha256 string, left_text string")
