@@ -133,6 +133,13 @@ def missing_items(spark: SparkSession, sf: str) -> DataFrame:
     return wanted.join(_pool(spark, sf).select("item_id"), "item_id", "left_anti")
 
 
+def arm_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Traces that qualify for the arms: right and long enough, wrong, or wrong and long enough."""
+    long, wrong = F.col("n_steps") >= 4, F.col("label") != -1
+    x = view(spark, sf, "traces").groupBy("split")
+    return x.agg(F.count(F.lit(1)).alias("traces"), F.count_if(~wrong & long).alias("clean"), F.count_if(wrong).alias("faulty"), F.count_if(wrong & long).alias("faulty_long"))
+
+
 def stratum_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _pool(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if("eligible").alias("eligible"), F.count_if(F.col("label") == -1).alias("clean"))
 
@@ -141,7 +148,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         allocate_arms, arm_disjointness, proportional_subset, proportional_arm, balanced_sample, audit_sample, natural_candidates, early_late_candidates,
-        episode_pairing, pairing_counts, pool_fingerprint, fingerprint_check, episode_coverage, length_summary, missing_items, stratum_counts,
+        episode_pairing, pairing_counts, pool_fingerprint, fingerprint_check, episode_coverage, length_summary, missing_items, arm_filters, stratum_counts,
     )
 }
 
@@ -190,5 +197,6 @@ ORACLES = {
     "episode_coverage": _with("SELECT item_id, CASE WHEN audit IS NULL THEN 'no audit' ELSE 'no repair' END AS reason FROM episodes WHERE audit IS NULL OR repair IS NULL", E),
     "length_summary": _with("x AS (SELECT list_sort(list(length(repair))) AS x FROM episodes WHERE repair IS NOT NULL) SELECT x[1] AS least, x[len(x) // 2 + 1] AS upper_median, x[-1] AS greatest FROM x", E),
     "missing_items": _with("SELECT item_id * 2 AS item_id FROM alloc_pool a WHERE item_id % 10 = 0 AND NOT EXISTS (SELECT 1 FROM alloc_pool b WHERE b.item_id = a.item_id * 2)", P),
+    "arm_filters": _with("SELECT split, count(*) AS traces, count(*) FILTER (label = -1 AND n_steps >= 4) AS clean, count(*) FILTER (label <> -1) AS faulty, count(*) FILTER (label <> -1 AND n_steps >= 4) AS faulty_long FROM traces GROUP BY split", "traces"),
     "stratum_counts": _with("SELECT split, count(*) AS n, count(*) FILTER (eligible) AS eligible, count(*) FILTER (label = -1) AS clean FROM alloc_pool GROUP BY split", P),
 }

@@ -144,6 +144,21 @@ def normalise_splice(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("item_id", F.size(done).cast("long").alias("n_steps"), F.md5(F.array_join(done, "|").cast("binary")).alias("digest"))
 
 
+def prompt_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Every trace under every condition and wording: prompts and their characters."""
+    grid = spark.createDataFrame([(c, w) for c in prompts.CONDITIONS for w in prompts.WORDINGS], "condition string, wording string")
+    x = step_arrays(spark, sf).crossJoin(F.broadcast(grid))
+    text = prompts.audit_request(F.concat(F.lit("Problem "), F.col("item_id").cast("string")), F.col("steps"), F.col("condition"), F.col("wording"))
+    return x.select("condition", "wording", F.length(text).alias("n")).groupBy("condition", "wording").agg(F.count(F.lit(1)).alias("prompts"), F.sum("n").cast("long").alias("chars"))
+
+
+def revalidation_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored faults under the present checks: kept, never accepted (variant 0), or dropped with the classes against them."""
+    x = validate_injection(spark, sf)
+    outcome = F.when(F.col("variant") == 0, "not accepted originally").when(F.col("ok"), "kept").otherwise(F.concat(F.lit("revalidate: "), "classes"))
+    return x.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("traces"))
+
+
 def word_targets(spark: SparkSession, sf: str) -> DataFrame:
     """Words that a filler of each episode's length should have."""
     e = view(spark, sf, "episodes")
@@ -155,7 +170,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         parse_audit, audit_records, audit_prompts, r4_prompts, arithmetic_claims, injectable_steps, final_answer, unpropagated_values, validate_injection, rejection_breakdown,
-        normalise_splice, word_targets,
+        normalise_splice, prompt_grid, revalidation_counts, word_targets,
     )
 }
 
@@ -228,3 +243,9 @@ ORACLES = {
     "normalise_splice": _with("g AS (SELECT item_id, count(*) AS n_steps, string_agg(step_text, '|' ORDER BY step_no) AS t FROM trace_text GROUP BY item_id) SELECT item_id, n_steps, md5(t) AS digest FROM g WHERE n_steps >= 2", TT),
     "word_targets": _with("SELECT item_id, greatest(30, round_even((length(coalesce(audit, '')) + length(coalesce(repair, ''))) / 5.5::DOUBLE, 0))::BIGINT AS words FROM episodes", "episodes"),
 }
+_parts = lambda k: _case("wording", {w: p[k] for w, p in prompts.WORDINGS.items()})
+_slot = _case("condition", {c: s + " " if s else "" for c, s in prompts.CONDITIONS.items()})
+ORACLES["prompt_grid"] = _with(
+    f"{STEPS}, gr AS (SELECT item_id, numbered, c.condition, w.wording FROM st, (VALUES {', '.join(f'({_text(c)})' for c in prompts.CONDITIONS)}) c(condition), (VALUES {', '.join(f'({_text(w)})' for w in prompts.WORDINGS)}) w(wording)) "
+    f"SELECT condition, wording, count(*) AS prompts, sum(length(concat({_parts(0)}, 'Problem ', item_id, {_parts(1)}, numbered, {_parts(2)}, {_slot}, {_parts(3)})))::BIGINT AS chars FROM gr GROUP BY ALL", TT)
+ORACLES["revalidation_counts"] = f"WITH v AS ({ORACLES['validate_injection']}) SELECT CASE WHEN variant = 0 THEN 'not accepted originally' WHEN ok THEN 'kept' ELSE concat('revalidate: ', classes) END AS outcome, count(*) AS traces FROM v GROUP BY ALL"
