@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from verdictspark import cli
 from verdictspark.functions import audits, prompts
 from verdictspark.operators import generation, simulation
 from verdictspark.plans import reports
@@ -140,6 +141,16 @@ def test_artefacts_by_wording_and_records(spark, tmp_path):
     checkpoints.require_same_budget(cells.where("condition = 'R0'"))
 
 
+def test_commands(spark, sf_dir, tmp_path, capsys):
+    from verdictspark import catalog
+
+    assert len(cli.COMMANDS) == 23 and all(set(names) <= set(catalog.QUERIES) for names in cli.COMMANDS.values())
+    assert cli.main(["nothing", sf_dir]) == 2 and cli.main(["allocate"]) == 2
+    assert cli.main(["determinism_probe", sf_dir, "--out", str(tmp_path)]) == 0 and "| auditor |" in capsys.readouterr().out
+    assert spark.read.parquet(f"{tmp_path}/determinism_probe").count() == 3
+    assert cli.main(["greedy_pass", sf_dir, "--format", "latex"]) == 0 and r"\begin{tabular}" in capsys.readouterr().out
+
+
 def test_panel_letters():
     assert [reports.panel_letter(("p", "q"), x) for x in ("p", "q")] == ["a", "b"]
 

@@ -1,49 +1,66 @@
-"""Commands: `python -m verdictspark.cli QUERY SF_DIR` prints a query's rows as markdown."""
+"""Commands: `python -m verdictspark.cli COMMAND|QUERY SF_DIR [--format markdown|latex] [--out FOLDER]`.
+
+A command prints the rows of its queries as small tables; with --out each result is also
+written as Parquet under FOLDER/QUERY.
+"""
 
 from __future__ import annotations
 
+import argparse
 import sys
 
 #: Commands and the queries that answer them.
 COMMANDS = {
-    "allocate": ["allocate_arms", "arm_disjointness"],
+    "allocate": ["allocate_arms", "arm_disjointness", "arm_filters"],
     "power-sweep": ["power_sim"],
     "kill-tests": ["kill_tests"],
-    "bakeoff": ["far_by_condition", "localisation_within_one", "greedy_disagreement"],
-    "screen": ["gate0_screen"],
+    "bakeoff": ["far_by_condition", "localisation_within_one", "greedy_disagreement", "determinism_probe"],
+    "screen": ["gate0_screen", "pooled_band"],
     "analyse-screen": ["gate0_screen"],
     "calibrate-gate2": ["localisation_within_one", "range_check"],
-    "run-ladder": ["audit_prompts", "item_report_prob"],
-    "run-r4": ["r4_prompts", "usage_summary"],
-    "run-episodes": ["episode_coverage", "word_targets", "length_summary"],
+    "run-ladder": ["audit_prompts", "measured_rates", "greedy_pass", "kept_promises"],
+    "run-r4": ["r4_prompts", "usage_summary", "run_guard"],
+    "run-episodes": ["episode_pool", "filler_requests", "episode_items", "length_summary"],
     "run-detection": ["proportional_arm", "modal_step", "mean_confidence"],
-    "inject-pilot": ["validate_injection", "rejection_breakdown"],
-    "inject": ["injectable_steps", "rejection_breakdown"],
+    "inject-pilot": ["fault_pairs", "yield_table", "rejection_breakdown"],
+    "inject": ["injection_prompts", "accepted_attempts", "position_pairs"],
     "inject-calibrate": ["position_gap"],
     "inject-detectability": ["position_gap"],
-    "analyse-ladder": ["rung_bootstrap", "ladder_pairwise", "gate3_verdict"],
-    "analyse-r4": ["r4_bootstrap", "widest_interval", "holm_r4_claims"],
-    "analyse-templates": ["template_robustness"],
-    "analyse-detection": ["sdt_metrics", "sdt_bootstrap", "detection_vs_r0", "sdt_reading"],
-    "figures": ["allcombos_report", "quadrant_points"],
-    "tables": ["allcombos_report", "prose_counts"],
-    "backfill-episode-ids": ["episode_pairing"],
-    "dump-audit-sample": ["audit_sample"],
+    "analyse-ladder": ["rung_bootstrap_by_ids", "ladder_pairwise", "gate3_verdict", "gate3_framing"],
+    "analyse-r4": ["r4_bootstrap", "widest_interval", "holm_r4_claims", "screened_families", "r4_readings"],
+    "analyse-templates": ["template_bootstrap", "template_robustness"],
+    "analyse-detection": ["sdt_metrics", "sdt_by_origin", "sdt_bootstrap", "sdt_families", "prior_context_guard", "detection_vs_r0", "sdt_reading"],
+    "figures": ["forest_rows", "wording_panels", "quadrant_points"],
+    "tables": ["allcombos_report", "prose_counts", "detection_by_wording", "directional_counts"],
+    "backfill-episode-ids": ["resampled_ids", "episode_pairing"],
+    "dump-audit-sample": ["revalidation_counts", "audit_sample"],
 }
+SHOWN = 50
 
 
 def main(args: list[str]) -> int:
     from pyspark.sql import SparkSession
 
     from verdictspark import catalog
-    from verdictspark.plans.reports import to_markdown
+    from verdictspark.plans.reports import to_latex, to_markdown
 
-    if len(args) != 2 or args[0] not in COMMANDS | catalog.QUERIES:
-        print(f"usage: python -m verdictspark.cli COMMAND|QUERY SF_DIR; commands: {', '.join(COMMANDS)}", file=sys.stderr)
-        return 2
+    parser = argparse.ArgumentParser(prog="python -m verdictspark.cli", description=f"Commands: {', '.join(COMMANDS)}; or the name of a query.")
+    parser.add_argument("command", choices=[*COMMANDS, *catalog.QUERIES], metavar="COMMAND")
+    parser.add_argument("sf_dir", help="folder of the tables")
+    parser.add_argument("--format", choices=("markdown", "latex"), default="markdown")
+    parser.add_argument("--out", help="folder for the whole results as Parquet")
+    try:
+        asked = parser.parse_args(args)
+    except SystemExit as stop:
+        return int(stop.code or 0)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    for name in COMMANDS.get(args[0], [args[0]]):
-        print(f"\n### {name}\n\n{to_markdown(catalog.QUERIES[name](spark, args[1]), 50)}")
+    for name in COMMANDS.get(asked.command, [asked.command]):
+        rows = catalog.QUERIES[name](spark, asked.sf_dir)
+        if asked.out:
+            rows.write.mode("overwrite").parquet(f"{asked.out}/{name}")
+            rows = spark.read.parquet(f"{asked.out}/{name}")
+        text = to_markdown(rows, SHOWN) if asked.format == "markdown" else to_latex(rows, rows.columns[0], name.replace("_", " "), f"tab:{name}", SHOWN)
+        print(f"\n### {name}\n\n{text}")
     return 0
 
 

@@ -179,10 +179,24 @@ def r4_item_only(spark: SparkSession, sf: str) -> DataFrame:
     return both
 
 
+def sdt_by_origin(spark: SparkSession, sf: str) -> DataFrame:
+    """Point differences against R0 of the directory that the condition's clean arm comes from; without one there is no score."""
+    v = _verdicts(spark, sf).withColumn("dir", F.when(F.col("family").isin("F1", "F2"), 0).otherwise(1))
+    clean = v.where("arm = 'clean' and not (auditor = 'm2' and condition = 'R0' and dir = 0) and (condition <> 'R3' or dir = 1)")
+    cells = rates.item_probabilities(clean, ["auditor", "condition", "dir"]).groupBy("auditor", "condition", "dir").agg(F.avg("p").alias("far"), F.count("p").alias("n"))
+    kept = cells.groupBy("auditor", "condition").agg(F.min("dir").alias("dir"), F.min_by("far", "dir").alias("f1"), F.min_by("n", "dir").alias("n_noise"))
+    base = cells.where("condition = 'R0'").select("auditor", "dir", F.col("far").alias("f0"))
+    hits = rates.item_probabilities(v.where("arm = 'incorrect'"), CELL).groupBy(*CELL).agg(F.avg("p").alias("h1"), F.count("p").alias("n_signal"))
+    h0 = hits.where("condition = 'R0'").select("auditor", F.col("h1").alias("h0"))
+    x = kept.where("condition <> 'R0'").join(base, ["auditor", "dir"], "left").join(hits, CELL).join(h0, "auditor")
+    out = inference._deltas(x)
+    return out.select(*CELL, "dir", F.col("f0").isNotNull().alias("scorable"), *[rounded(c).alias(c) for c in ("d_prime", "criterion", "balanced_accuracy")])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        r4_readings, detection_by_wording, directional_counts, forest_rows, template_bootstrap, wording_panels, pooled_band, gate3_framing, sdt_families, prior_context_guard,
+        sdt_by_origin, r4_readings, detection_by_wording, directional_counts, forest_rows, template_bootstrap, wording_panels, pooled_band, gate3_framing, sdt_families, prior_context_guard,
         screened_families, rung_bootstrap_by_ids, r4_item_only,
     )
 }
@@ -200,7 +214,17 @@ WP = f"t AS (SELECT auditor, family, condition, item_id, avg(CASE WHEN parsed TH
 PP = ", ".join(f"round({c} * 100, 6) + 0.0 AS {c}_pp" for c in ("effect", "lo", "hi"))
 _in_prior = f"condition IN ({_quoted(PRIOR)})"
 SFAM = f"{sdt_sql()}, sq AS (SELECT auditor, condition, quantity, round(p, 9) AS p, concat_ws('/', CASE WHEN {_in_prior} THEN 'prior-context' ELSE concat('ladder/', auditor) END, quantity) AS family FROM iv_s), " + _holm("sq", "family", "concat_ws('/', auditor, condition)")
+_s = inference.smoothed_rate_sql
+_z = inference.probit_sql
 ORACLES = {
+    "sdt_by_origin": _with(
+        f"c AS (SELECT auditor, condition, CASE WHEN family IN ('F1', 'F2') THEN 0 ELSE 1 END AS dir, item_id, avg(CASE WHEN parsed THEN flag::DOUBLE END) AS p FROM {V} WHERE arm = 'clean' GROUP BY ALL), "
+        "g AS (SELECT auditor, condition, dir, avg(p) AS far, count(p) AS n FROM c WHERE NOT (auditor = 'm2' AND condition = 'R0' AND dir = 0) AND (condition <> 'R3' OR dir = 1) GROUP BY ALL), "
+        "k AS (SELECT auditor, condition, dir, far AS f1, n AS n_noise FROM g QUALIFY row_number() OVER (PARTITION BY auditor, condition ORDER BY dir) = 1), "
+        f"hq AS (SELECT auditor, condition, item_id, avg(CASE WHEN parsed THEN flag::DOUBLE END) AS p FROM {V} WHERE arm = 'incorrect' GROUP BY ALL), hh AS (SELECT auditor, condition, avg(p) AS h1, count(p) AS n_signal FROM hq GROUP BY ALL), "
+        "x AS (SELECT k.auditor, k.condition, k.dir, f1, g.far AS f0, hh.h1, b.h1 AS h0, hh.n_signal, n_noise FROM k LEFT JOIN g ON g.auditor = k.auditor AND g.dir = k.dir AND g.condition = 'R0' JOIN hh ON hh.auditor = k.auditor AND hh.condition = k.condition JOIN hh b ON b.auditor = k.auditor AND b.condition = 'R0' WHERE k.condition <> 'R0'), "
+        f"sm AS (SELECT *, {_s('h1', 'n_signal')} AS sh1, {_s('h0', 'n_signal')} AS sh0, {_s('f1', 'n_noise')} AS sf1, {_s('f0', 'n_noise')} AS sf0 FROM x), zz AS (SELECT *, {_z('sh1')} AS zh1, {_z('sh0')} AS zh0, {_z('sf1')} AS zf1, {_z('sf0')} AS zf0 FROM sm) "
+        f"SELECT auditor, condition, dir, f0 IS NOT NULL AS scorable, {R('(zh1 - zf1) - (zh0 - zf0)')} AS d_prime, {R('-0.5 * (zh1 + zf1) + 0.5 * (zh0 + zf0)')} AS criterion, {R('0.5 * ((h1 - f1) - (h0 - f0))')} AS balanced_accuracy FROM zz", V),
     "r4_readings": _with(
         f"{READ}, ws AS (SELECT *, abs(fl) / nullif(abs(ep), 0) AS sh, abs(av) / nullif(abs(ep), 0) AS sa FROM wd), o AS ("
         "SELECT auditor, 'filler' AS topic, CASE WHEN fl_ok AND (fl > 0) = (ep > 0) AND coalesce(sh, 1e9) > 0.5 THEN 'confounded' WHEN fl_ok AND (fl > 0) = (ep > 0) THEN 'partly confounded' ELSE 'content' END AS reading, sh AS size FROM ws UNION ALL "
