@@ -17,7 +17,7 @@ from __future__ import annotations
 import itertools
 import sys
 import zlib
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -112,41 +112,51 @@ def _sums(usable: list[int], room: int) -> list[int]:
     return levels
 
 
-def _of_total(total: int, m: int, levels: list[int], left: dict[int, int], usable: list[int], most: int) -> Iterator[Filling]:
+def _mirrored(bits: int, room: int) -> int:
+    """The bit set with bit i at room - i."""
+    return int(f"{bits:0{room + 1}b}"[::-1], 2)
+
+
+def _of_total(total: int, m: int, single: int, mirrored: list[int], left: dict[int, int], room: int, most: int) -> Iterator[Filling]:
     """Fillings of m lengths, greatest first, that add up to total; at most `most` partial ones are tried."""
     tries = [most]
 
-    def extend(rest: int, k: int, at: int, chosen: list[int]) -> Iterator[Filling]:
+    def extend(rest: int, k: int, cap: int, chosen: list[int]) -> Iterator[Filling]:
         if k == 0:
             yield tuple(chosen)
             return
-        for i in range(min(at, bisect_right(usable, rest) - 1), -1, -1):
-            s = usable[i]
-            if s * k < rest or tries[0] <= 0:
+        # Lengths s of which k - 1 lengths make up the rest: bit rest - s of the level below is bit room - rest + s of its mirror.
+        fit = single & (mirrored[k - 1] >> (room - rest)) & ((1 << (min(cap, rest) + 1)) - 1)
+        while fit and tries[0] > 0:
+            s = fit.bit_length() - 1
+            if s * k < rest:
                 return
-            if levels[k - 1] >> (rest - s) & 1 and chosen.count(s) < left[s]:
+            fit ^= 1 << s
+            if chosen.count(s) < left[s]:
                 tries[0] -= 1
-                yield from extend(rest - s, k - 1, i, [*chosen, s])
+                yield from extend(rest - s, k - 1, s, [*chosen, s])
 
-    yield from extend(total, m, len(usable) - 1, [])
+    yield from extend(total, m, room, [])
 
 
 def fillings(room: int, left: dict[int, int], sizes: list[int], waste: int, width: int) -> list[Filling]:
     """Undominated fillings of `room` that waste at most `waste`, least waste first, at most `width`.
 
-    Totals are taken from the room downwards, so that the waste bound alone ends the
-    enumeration before `width` does. Fillings of up to DEPTH lengths are enumerated, and
-    what room they leave is filled with the greatest lengths that fit.
+    Totals are taken from the room downwards to what the waste bound allows, or until
+    `width` undominated or 16 times as many fillings were found: those not looked at waste
+    more. Fillings of up to DEPTH lengths are enumerated, and what room they leave is filled
+    with the greatest lengths that fit.
     """
     usable = sizes[: bisect_right(sizes, room)]
     if not usable:
         return [()] if room <= waste else []
     levels, kept, seen = _sums(usable, room), [], set()
+    mirrored = [_mirrored(level, room) for level in levels]
     for total in range(room, max(room - waste, usable[0]) - 1, -1):
         for m in range(1, len(levels)):
             if not levels[m] >> total & 1:
                 continue
-            for found in itertools.islice(_of_total(total, m, levels, left, usable, 8 * width), 2):
+            for found in itertools.islice(_of_total(total, m, levels[1], mirrored, left, room, 8 * width), 2):
                 filling, r, i = list(found), room - total, bisect_right(usable, room - total) - 1
                 while i >= 0 and r > 0:
                     take = min(left[usable[i]] - filling.count(usable[i]), r // usable[i])
@@ -157,7 +167,7 @@ def fillings(room: int, left: dict[int, int], sizes: list[int], waste: int, widt
                 if done not in seen and not any(len(done) <= 12 and dominates(k, done) for k in kept):
                     kept.append(done)
                 seen.add(done)
-        if len(kept) >= width:
+        if len(kept) >= width or len(seen) >= 16 * width:
             break
     return sorted(kept, key=lambda f: (room - sum(f), len(f), tuple(-x for x in f)))[:width]
 
@@ -179,8 +189,22 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2000, wid
     used = [sum(t for t, _ in best)]
     budget, cut = [nodes], [False]
     known: dict[tuple, list[Filling]] = {}
-
-    def search(left: dict[int, int], sizes: list[int], bins: int, waste: int, path: list[Pattern], departures: int) -> None:
+    left, sizes, path = dict(counts), sorted(counts), []
+    volume = [total]
+
+    def put(filling: Filling, times: int) -> None:
+        """Takes a filling so many times, or gives it back if times is negative."""
+        for s, k in Counter(filling).items():
+            before = left.get(s, 0)
+            left[s] = before - k * times
+            if not left[s]:
+                del left[s]
+                sizes.pop(bisect_right(sizes, s) - 1)
+            elif not before:
+                insort(sizes, s)
+        volume[0] -= sum(filling) * times
+
+    def search(bins: int, waste: int, departures: int) -> None:
         nonlocal best
         if used[0] <= bound:
             return
@@ -191,21 +215,20 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2000, wid
         if budget[0] <= 0:
             return
         budget[0] -= 1
-        rest = best_fit(left, capacity) if budget[0] % 16 == 0 else None
+        rest = best_fit(left, capacity) if budget[0] % 64 == 0 else None
         if rest is not None and bins + (n := sum(t for t, _ in rest)) < used[0]:
             used[0], best = bins + n, path + rest
         afford = (used[0] - 1) * capacity - total - waste
-        if afford < 0 or bins + -(-sum(s * n for s, n in left.items()) // capacity) >= used[0]:
+        if afford < 0 or bins + -(-volume[0] // capacity) >= used[0]:
             return
         top = sizes[-1]
-        key = (tuple(left.items()), min(afford, capacity))
-        options = known.get(key)
+        key = (tuple(left.items()), min(afford, capacity)) if len(left) <= REMEMBERED else None
+        options = known.get(key) if key else None
         if options is None:
-            left[top] -= 1
-            others = [s for s in sizes if left[s]]
-            options = fillings(capacity - top, left, others, min(afford, capacity), width) if others else [()]
-            left[top] += 1
-            if len(left) <= REMEMBERED:
+            put((top,), 1)
+            options = fillings(capacity - top, left, sizes, min(afford, capacity), width) if sizes else [()]
+            put((top,), -1)
+            if key:
                 known[key] = options
         cut[0] |= len(options) > departures + 1
         for skipped, option in enumerate(options[: departures + 1]):
@@ -216,9 +239,11 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2000, wid
                 times = min(times, max(1, afford // lost))
             if lost * times > afford:
                 continue
-            after, after_sizes = dict(left), list(sizes)
-            _use(after, after_sizes, filling, times)
-            search(after, after_sizes, bins + times, waste + lost * times, [*path, (times, filling)], departures - skipped)
+            put(filling, times)
+            path.append((times, filling))
+            search(bins + times, waste + lost * times, departures - skipped)
+            path.pop()
+            put(filling, -times)
 
     if used[0] > bound:
         depth = sys.getrecursionlimit()
@@ -227,7 +252,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2000, wid
             departures = 0
             while budget[0] > 0 and used[0] > bound:
                 cut[0] = False
-                search(dict(counts), sorted(counts), 0, 0, [], departures)
+                search(0, 0, departures)
                 if not cut[0]:
                     break
                 departures += 1

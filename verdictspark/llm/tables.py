@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20
 #: A join's side of at most so many short rows is broadcast.
 BROADCAST_ROWS = 200_000
 #: Fewer keys than this are spread by join_hot, each held by more rows than the second number.
@@ -39,11 +40,22 @@ def _path(spark: SparkSession, at: str) -> tuple:
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Rows travel to Python in batches of BATCH_BYTES at most, where the session has Spark's own bound (64 MB).
+
+    Texts differ in length by orders of magnitude, so a count of rows bounds no worker's memory.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("64m", "67108864b", "67108864"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def keep(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read back: later steps
     reread files instead of recomputing, also when executors are lost. discard() removes
     the table; else it goes when the driver's file system closes."""
     spark = df.sparkSession
+    bound_batches(spark)
     at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     path, files = _path(spark, at)
