@@ -63,10 +63,10 @@ def _by_wording(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def detection_by_wording(spark: SparkSession, sf: str) -> DataFrame:
-    """Change of d_prime at each wording, marked where it survives, with means and the number that do."""
+    """Change of d_prime at each wording, marked where it survives, with means and the number that do; six digits, which round alike everywhere."""
     x = _by_wording(spark, sf)
     dp = F.col("quantity") == "d_prime"
-    signed = lambda v: F.format_string("%+.3f", F.round(v, 6))
+    signed = lambda v: F.format_string("%+.6f", F.round(v, 6))
     cell = lambda w: F.coalesce(F.max(F.when(dp & (F.col("family") == w), F.concat(signed(F.col("effect")), F.when(F.col("reject"), "+").otherwise("")))), F.lit("---")).alias(w)
     mean = lambda q: F.coalesce(signed(F.round(F.avg(F.when(F.col("quantity") == q, F.col("effect"))), 9)), F.lit("---"))
     survived = F.concat(F.count_if(dp & F.col("reject")).cast("string"), F.lit("/"), F.count_if(dp).cast("string"))
@@ -208,8 +208,8 @@ READ = f"""{SCORED}, wd AS (SELECT auditor, {_get('episode_presence_vs_r0', 'eff
 {_get('verdict_composition_ax_minus_as', 'effect')} AS vc, bool_or(ok) FILTER (contrast = 'verdict_composition_ax_minus_as') AS vc_ok, {_get('genuine_repair_ax_minus_axn', 'effect')} AS gr, bool_or(ok) FILTER (contrast = 'genuine_repair_ax_minus_axn') AS gr_ok,
 {_get('placement_assistant_minus_user', 'effect')} AS pl, {_get('placement_assistant_minus_user', 'p')} AS pl_p, {_get('attribution_self_minus_peer', 'effect')} AS tt, {_get('attribution_self_minus_peer', 'p')} AS tt_p FROM sc GROUP BY auditor)"""
 BYW = f"{sdt_sql(('auditor', 'family'))}, sq AS (SELECT auditor, family, condition, quantity, round(effect, 9) AS effect, round(p, 9) AS p FROM iv_s), " + _holm("sq", "family, quantity, auditor", "condition")
-_cell = lambda w: f"coalesce(max(CASE WHEN quantity = 'd_prime' AND family = '{w}' THEN printf('%+.3f', round(effect, 6)) || CASE WHEN reject THEN '+' ELSE '' END END), '---') AS {w}"
-_mean = lambda q: f"coalesce(printf('%+.3f', round(round(avg(CASE WHEN quantity = '{q}' THEN effect END), 9), 6)), '---')"
+_cell = lambda w: f"coalesce(max(CASE WHEN quantity = 'd_prime' AND family = '{w}' THEN printf('%+.6f', round(effect, 6)) || CASE WHEN reject THEN '+' ELSE '' END END), '---') AS {w}"
+_mean = lambda q: f"coalesce(printf('%+.6f', round(round(avg(CASE WHEN quantity = '{q}' THEN effect END), 9), 6)), '---')"
 WP = f"t AS (SELECT auditor, family, condition, item_id, avg(CASE WHEN parsed THEN flag::DOUBLE END) AS p FROM {V} GROUP BY ALL)"
 PP = ", ".join(f"round({c} * 100, 6) + 0.0 AS {c}_pp" for c in ("effect", "lo", "hi"))
 _in_prior = f"condition IN ({_quoted(PRIOR)})"
