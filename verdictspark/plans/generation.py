@@ -214,7 +214,7 @@ ORACLES = {
     "determinism_probe": _with(f"g AS (SELECT auditor, item_id, max(CASE WHEN sample = 0 AND parsed THEN flag END) AS a, max(CASE WHEN sample = 1 AND parsed THEN flag END) AS b FROM ladder_verdicts WHERE condition = 'R0' GROUP BY ALL) SELECT auditor, count(*) AS compared, {R('avg((a <> b)::INT)')} AS disagreement_rate FROM g WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY auditor", LV),
     "run_guard": _with(
         f"g AS (SELECT auditor, condition, family, avg(parsed::INT) AS ok, count(*) FILTER (confidence > 0.9) AS tr, count(*) AS n FROM ladder_verdicts GROUP BY ALL) SELECT auditor, condition, family, {R('ok')} AS parse_ok_rate, "
-        "CASE WHEN ok < 0.93 THEN concat('only ', printf('%.1f', ok * 100), '% of generations parsed', CASE WHEN tr > 0 THEN concat(', and ', tr, ' of ', n, ' choices hit the token limit: raise the budget') ELSE ': inspect the raw output before trusting any later cell' END) END AS refusal FROM g", LV),
+        "CASE WHEN ok < 0.93 THEN concat('only ', printf('%.1f', round(ok * 100, 1)), '% of generations parsed', CASE WHEN tr > 0 THEN concat(', and ', tr, ' of ', n, ' choices hit the token limit: raise the budget') ELSE ': inspect the raw output before trusting any later cell' END) END AS refusal FROM g", LV),
     "resampled_ids": _with(
         "c AS (SELECT auditor, condition, count(DISTINCT item_id) AS n_items FROM r4_verdicts GROUP BY ALL), p AS (SELECT * FROM (VALUES ('AS', 10), ('AO', 10), ('US', 10), ('UO', 10), ('AF', 10), ('AV', 100000), ('AX', 7), ('R0', 0)) t(condition, pool)), "
         "o AS (SELECT *, CASE WHEN condition = 'R0' THEN 'skipped' WHEN pool IS NULL THEN 'unknown cell' WHEN pool > n_items THEN 'pool larger than the cell' ELSE 'rebuilt' END AS outcome FROM c LEFT JOIN p USING (condition)) "
