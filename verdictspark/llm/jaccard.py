@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from verdictspark.llm.graph import components
 from verdictspark.llm.meeting import buckets_for, planes, unplanes
 from verdictspark.llm.tables import discard, join_hot, keep, partitions, read, share_of
-from verdictspark.llm.words import Words, mix, pieces, split, windows
+from verdictspark.llm.words import Words, mix, pieces, split, trim, windows
 
 #: Places that a task gathers before it deals them out, and tokens of a block of sets.
 CHUNK_PLACES = 1 << 19
@@ -160,6 +160,7 @@ _SINGLE = "chunk binary, cids binary, sizes binary, sets binary"
 
 def _singles(table: pa.Table) -> pa.Table:
     """One bucket: for each chunk, the sets of the tokens that occur once; rows of sets as they are."""
+    trim()
     rows, found = [], []
     for r in table.to_pylist():
         if r["cids"] is not None:
@@ -292,6 +293,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 nodes, sets, size = [], [], 0
     if nodes:
         yield _batch(_BLOCK, [row()])
+        nodes, sets = [], []
+    trim()
 
 
 def _spread(buckets: int):  # noqa: ANN202
@@ -308,6 +311,7 @@ def _spread(buckets: int):  # noqa: ANN202
 
 def _frequencies(table: pa.Table) -> pa.Table:
     """One bucket: for each token the class of its count: 0 for single ones, then four a doubling."""
+    trim()
     rows = table.to_pylist()
     tokens = [np.frombuffer(r["tokens"], dtype="<u4") for r in rows]
     _, back, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
@@ -320,6 +324,7 @@ def _prefixes(num: int, den: int, buckets: int):  # noqa: ANN202
     """One block: the prefix tokens of its sets under both orders, but for single ones."""
 
     def run(table: pa.Table) -> pa.Table:
+        trim()
         rows = table.to_pylist()
         head = next(r for r in rows if r["nodes"] is not None)
         tokens = np.frombuffer(head["tokens"], dtype=_U)
@@ -452,6 +457,7 @@ def _by_group(table: pa.Table) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
 
 def _compare(num: int, den: int):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
+        trim()
         node, out = table.column("node").to_numpy(), []
         for own, sets in _by_group(table):
             out.append((node[own], node[own][linked(sets, num, den)]))

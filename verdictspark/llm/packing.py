@@ -281,7 +281,7 @@ def token_pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)
-        for batch in text_pieces(batches, "text", 4 << 20):
+        for batch in text_pieces(batches):
             ids, at = tok.encode(batch.column("text"), end_id)
             each = -(-np.diff(at) // capacity)
             row = np.repeat(np.arange(len(each)), each)

@@ -8,6 +8,7 @@ more than LONG_WORD bytes is hashed by its digest; hashes are the same in every
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,6 +18,10 @@ import pyarrow as pa
 
 #: Words of more bytes are told apart by a cryptographic digest.
 LONG_WORD = 32
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:
+    _LIBC = None
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -102,6 +107,13 @@ def split(col: pa.Array, gaps: np.ndarray = SPACE) -> Words:
     return Words(data, at, start, end, np.searchsorted(start, at))
 
 
+def trim() -> None:
+    """Gives memory that this worker no longer uses back to the system: workers wait for their next task with what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `most` text bytes (a longer text alone)."""
     for batch in batches:
@@ -113,6 +125,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2
             b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, side="right")))
             yield batch.slice(a, b - a)
             a = b
+    batch = None
+    trim()
 
 
 def windows(words: np.ndarray, n: int) -> np.ndarray:
