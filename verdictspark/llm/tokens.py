@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from verdictspark.llm.words import Words, split
 
-MOST_WORDS = 400_000
+MOST_WORDS = 1_000_000
 JOINED = 1000
 
 
