@@ -27,8 +27,8 @@ from verdictspark.llm.words import Words, buffers, mix, pieces, split, windows
 
 #: Changes word hashes for the second half of a whole window's hash.
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
-#: Places that one bucket meets; small ones even out what tasks read.
-BUCKET_PLACES = 400_000
+#: Places that one bucket meets. A text's places come back in a row for each bucket, so small buckets multiply rows.
+BUCKET_PLACES = 1_500_000
 #: Perfect difference sets, by period.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 
