@@ -16,17 +16,20 @@ LONG = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
 COPY = " ".join(f"copy{i}" for i in range(50))
 DOCS = [(1, None), (2, ""), (3, " \n\t "), (4, "a"), (5, COPY), (6, COPY), (6, COPY), (None, "a row without an id"), (7, LONG), (8, COPY + " tail"), (9, "é ß 漢字 \x0b end"), (10, "api_key = 'abcdefgh12345678'")]
 EXTRA = ("id", "key", "tid", "class", "component", "root", "rank", "size", "label", "score", "item_id", "slot", "shard", "found", "bucket", "copies")
+TALKS = [(1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", None), (None, None, None, None), (None, 3, "tool", "[/TURN]"), (2, 5, "assistant", LONG), (3, 1, "assistant", "b"), (3, 1, "assistant", "a")]
 TABLES = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", {c} string" for c in EXTRA),
     "labels": "doc_id long, quality int, toxic int, text string, score string, source string",
     "pages": "page_id long, url string, html string, text string, n_chars string, main_text string",
     "benchmark": "item_id string, text string, doc_id string",
+    "conversations": "conv_id long, turn long, role string, text string, id string, parent string, root string, rank string, depth string",
 }
 ROWS = {
     "documents": [(i, t, None, "s", None if t is None else len(t), *EXTRA) for i, t in DOCS],
     "labels": [(1, 1, None, "x", "y", "z"), (2, None, 1, "x", "y", "z"), (None, 1, 1, "x", "y", "z"), (99, 0, 0, None, None, None), (5, 1, 0, "", "", ""), (5, 0, 1, "", "", ""), (7, 0, 0, "", "", "")],
     "pages": [(1, None, None, "t", "n", "m"), (2, "u", "", "t", "n", "m"), (None, "u", "<p>" + LONG, "t", "n", "m"), (3, "u", "no markup at all <", "t", "n", "m"), (3, "u", "<a <b>&amp;&#x;<", "t", "n", "m")],
     "benchmark": [(None, None, "d"), ("i1", None, "d"), ("i2", "", "d"), ("i3", " ".join(COPY.split()[:20]), "d"), ("i3", " ".join(COPY.split()[20:45]), "d")],
+    "conversations": [(*r, "x", "y", "z", "u", "v") for r in TALKS],
 }
 
 
@@ -48,14 +51,15 @@ def nothing(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_empty_tables_give_no_rows(spark, nothing, name):
-    assert queries.QUERIES[name](spark, nothing).collect() == []
+    rows = queries.QUERIES[name](spark, nothing).collect()
+    assert [r["conv_id"] for r in rows] == [-1] if name.startswith("op12_") else rows == []
 
 
 def test_pipeline_on_empty_tables(spark, nothing):
     assert corpus_pipeline.run(spark, nothing).collect() == []
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if not n.startswith(("op2_", "op4_", "op7_"))])
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if not n.startswith(("op2_", "op4_", "op7_", "op12_"))])
 def test_a_row_for_each_document(spark, odd, name):
     rows = queries.QUERIES[name](spark, odd).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _ in DOCS)

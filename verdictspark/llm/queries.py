@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictspark.llm import decontamination, html_blocks, jaccard, media, packing, quality, repeats, secret_scan, sharding, toxicity
+from verdictspark.llm import decontamination, html_blocks, jaccard, media, merkle, packing, quality, repeats, reply_trees, runs, secret_scan, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": media.op8_media_columns,
     "op9_sharding": sharding.op9_sharding,
     "op10_substring_dedup": repeats.op10_substring_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_chat_formatting": reply_trees.op12_chat_formatting,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": merkle.OP11_SQL, "op12_chat_formatting": reply_trees.OP12_SQL}
