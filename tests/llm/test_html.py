@@ -1,6 +1,7 @@
 """The block rules on all pages of the smallest tables, against a walk over the page's tags."""
 
 import re
+import time
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -90,3 +91,33 @@ def test_blocks_without_tags_to_tell_them():
     assert html_blocks.main_text("<p>Only this.") == "Only this."
     linked = f'<article><p>{long}</p><p><a href="/x">All of it is a link</a></p><ul><li><a href="/y">Other</a></li></ul></article>'
     assert html_blocks.main_text(linked) == f"{long}\nAll of it is a link"
+
+
+LINE = "This is a paragraph of the text that has enough of the words by which the first pass knows it."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<html><head><title>T</title><style>p</style><body><article><p>{LINE}</p></article>", LINE),
+        (f"<html><head><title>T</title><article><p>{LINE}</p></article>", LINE),
+        (f"<article><p>{LINE}</p><head-line>Short head</head-line><p>{LINE}</p></article>", f"{LINE}\nShort head\n{LINE}"),
+        (f"<article><p>{LINE}</p><select-box>Any</select-box><p>{LINE}</p><script-note>x</script-note></article>", f"{LINE}\nAny\n{LINE}\nx"),
+        (f"<article><p>{LINE}</p><div class='by-side'>{LINE} 1</div><p class='search-results'>{LINE} 2</p></article>", f"{LINE}\n{LINE} 1\n{LINE} 2"),
+        (f"<article><p>{LINE}</p><div class='notice'>{LINE}</div><p class='share-links'>{LINE}</p><div class='ad'>{LINE}</div></article>", LINE),
+        (f'<article><p>{LINE} <a href="foo>bar</a> and more.</p><p>{LINE} said "quoted" now</p></article>', f'{LINE} bar and more.\n{LINE} said "quoted" now'),
+        (f"<article><div><p>{LINE}</p><select><option>one</div><p>{LINE}</p></article>", f"{LINE}\n{LINE}"),
+        (f"<article><p>a {LINE} <svg><title>no</title><text>no</text></svg> b</p></article>", f"a {LINE} b"),
+        (f"<article><div><template><p>{LINE}</div><p>{LINE} 2</p></article>", f"{LINE} 2"),
+        (f"<article><p title='a > b' data-x='<i>'>{LINE}</p><p>1 &lt; 2 < 3</p><p>{LINE}<scr", f"{LINE}\n1 < 2 < 3\n{LINE}"),
+    ],
+)
+def test_pages_that_are_not_well_formed(page, text):
+    assert html_blocks.main_text(page) == text
+
+
+def test_broken_tags_take_time_in_proportion():
+    for page in ("<svg>" * 20_000, "<div a='" * 30_000 + ">", "<p>" + "<" * 100_000, '<a b="x' * 20_000 + ">", "<template><div>" * 20_000):
+        began = time.perf_counter()
+        html_blocks.main_text(page)
+        assert time.perf_counter() - began < 5

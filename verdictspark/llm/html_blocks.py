@@ -7,8 +7,10 @@ ones, long ones without stop words, links within an article) the label of their
 decided neighbours; blocks that are set aside have no say. Where nothing is decided,
 blocks that are not links are content.
 
-Null and empty html give an empty text. Unclosed and truncated tags are tolerated; a tag
-that the end of the page cuts off is dropped. Very long pages are read whole. Repeated rows
+Null and empty html give an empty text. A head may be left open: only its title, scripts and
+styles go. A tag's name ends at a blank, `/` or `>`, so <head-line> and the like are elements
+of no meaning whose text stays. Unclosed and truncated tags are tolerated; a tag that the end
+of the page or another tag cuts off is dropped, and one whose quotes don't close ends at its first `>`. Very long pages are read whole. Repeated rows
 give repeated results, an empty table none. A column named main_text gives way to the result.
 """
 
@@ -26,21 +28,28 @@ from pyspark.sql import functions as F
 from verdictspark.llm.tables import read
 from verdictspark.llm.words import pieces
 
+#: A quoted value that runs over markup counts only where something fit to follow a value follows it.
+_VALUE = r"""=\s*(?:"[^"<>]*"|'[^'<>]*'|"[^"]{0,2000}"(?=[\s/>])|'[^']{0,2000}'(?=[\s/>])|(?!["']))"""
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[/a-zA-Z!?][^>]*\Z",
+    r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|iframe)(?=[\s>/])[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s<>/]*)((?:[^>\"'=<]|{_VALUE})*)>|<(/?)([a-zA-Z][^\s<>/]*)([^<>]*)(?:>|(?=<)|\Z)|<[!?][^>]*(?:>|\Z)|</(?:[^<>a-zA-Z][^<>]*)?(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements whose content isn't text of the page; left open, they end with the element around them.
+_MUTE = frozenset("noscript template svg select object canvas".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _NESTED = frozenset("address article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
 _ASIDE = frozenset("aside footer form menu nav dialog fieldset button".split())
-_NAMES = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|cookies?|consent|gdpr|notices?|"
-    r"alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|widget|comments?|respond|replies|disqus|pagination|pager|toolbar|copyright)(?:$|[\s_-])"
+_PARTS = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|cookies?|consent|gdpr|notices?|"
+    r"alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|widget|comments?|respond|replies|disqus|pagination|pager|toolbar|copyright)"
 )
+#: Around an article any part of a class name tells; within it a class must be such a word, or one and a word for a container.
+_NAMES = re.compile(rf"(?i)(?:^|[\s_-]){_PARTS}(?:$|[\s_-])")
+_WHOLE = re.compile(rf"(?i)(?:^|\s){_PARTS}(?:[_-](?:box|container|wrapper|wrap|block|slot|unit|bar|links?|list|inner|area|section|panel))?(?:$|\s)")
 _ATTR = re.compile(r"(?i)\b(class|id|role|aria-label|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
@@ -94,44 +103,59 @@ def _set_aside(tag: str, attrs: str, inside: bool) -> bool:
     if attrs and tag not in ("body", "html", "article", "main"):
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name == "hidden" or name == "role" and value.lower() in _ROLES or name != "role" and value and _NAMES.search(value):
+            if name == "hidden" or name == "role" and value.lower() in _ROLES or name != "role" and value and (_WHOLE if inside else _NAMES).search(value):
                 return True
     return False
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of visible text in order, with their regions."""
-    reader, stack, at, anchors = _Reader(), [_Open("", False, False)], 0, 0
+    reader, stack, at, anchors, mute = _Reader(), [_Open("", False, False)], 0, 0, 0
     for m in _TAG.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not mute:
             piece = page[at : m.start()]
             reader.parts.append(piece)
             if anchors:
                 reader.linked += len(piece)
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag, ends, attrs = (m[3] or m[6] or "").lower(), m[2] or m[5], m[4] or m[7] or ""
         if not tag:
             continue
-        if tag == "a":
-            anchors = 0 if m[2] else 1
+        if tag in _MUTE or mute:
+            # mute: the place on the stack of the outermost such element.
+            if ends:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        del stack[k:]
+                        break
+            elif tag in _MUTE or tag in _NESTED:
+                if not attrs.rstrip().endswith("/"):
+                    mute = mute or len(stack)
+                    stack.append(_Open(tag, stack[-1].inside, stack[-1].aside))
+            still = mute if mute < len(stack) else 0
+            if mute and not still and tag not in _MUTE:
+                reader.close(stack[-1], "")
+            mute = still
+        elif tag == "a":
+            anchors = 0 if ends else 1
         elif tag == "br":
             reader.parts.append(" ")
         elif tag in _BLOCK:
             top = stack[-1]
-            reader.close(top, "" if m[2] else tag)
-            if tag in _NESTED or not m[2] and _set_aside(tag, m[4], top.inside):
-                if m[2]:
+            reader.close(top, "" if ends else tag)
+            if tag in _NESTED or not ends and _set_aside(tag, attrs, top.inside):
+                if ends:
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k].tag == tag:
                             del stack[k:]
                             break
-                elif not m[4].rstrip().endswith("/"):
+                elif not attrs.rstrip().endswith("/"):
                     main = tag in ("article", "main")
                     inside = top.inside or main
-                    stack.append(_Open(tag, inside, (top.aside and not (main and not top.inside)) or _set_aside(tag, m[4], top.inside)))
+                    stack.append(_Open(tag, inside, (top.aside and not (main and not top.inside)) or _set_aside(tag, attrs, top.inside)))
             elif len(stack) > 1 and stack[-1].tag == tag and tag not in _NESTED:
                 stack.pop()
-    if at < len(page):
+    if at < len(page) and not mute:
         reader.parts.append(page[at:])
     reader.close(stack[-1], "")
     return reader.blocks
