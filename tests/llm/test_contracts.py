@@ -6,13 +6,16 @@ import zlib
 from fractions import Fraction
 
 import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from verdictspark.llm import merkle, queries, reply_trees, runs
+from verdictspark.llm import jaccard, merkle, queries, repeats, reply_trees, runs
+from verdictspark.llm.words import split
+from tests.llm.test_brute_force import components_of, shingles
 from tests.llm.test_edges import DOCS, LONG, TALKS, nothing, odd  # noqa: F401
 
 
@@ -224,7 +227,7 @@ def test_runs_of_texts_in_a_table(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in runs.periodic_runs(docs).collect()}
     assert [[tuple(r) for r in got[i]["runs"]] for i in range(5)] == [[(0, 30, 1)], [(0, 27, 3)], [(0, 24, 2), (0, 75, 25), (25, 24, 2), (50, 24, 2)], [], []]
-    assert got[0]["collapsed"] == "a" and got[1]["collapsed"] == "x y z tail" and got[2]["collapsed"] == "a b" and got[4]["collapsed"] == LONG
+    assert got[0]["collapsed"] == "a" and got[1]["collapsed"] == "x y z tail" and got[2]["collapsed"] == "a b c" and got[4]["collapsed"] == LONG
 
 
 def test_long_runs_take_time_in_proportion():
@@ -232,3 +235,43 @@ def test_long_runs_take_time_in_proportion():
     while len(b) < 100_000:
         a, b = b, b + a
     assert len(runs.runs_of(b)) > 5_000 and runs.runs_of([7] * 300_000) == [(0, 300_000, 1)]
+
+
+#: Words that one chain over their bytes can't tell apart, and words of other lengths.
+ALIKE = ["abcdefghijklmnop", "o2zbyr6z%>4':}{h", "abcdefgh", "abcdefg", "abcdefghi", "a", "aa", "aaaaaaaa", "aaaaaaaaaaaaaaaa", "x" * 32, "x" * 33, "é" * 16]
+
+
+def test_words_keep_their_own_hashes():
+    words = split(pa.array([" ".join(ALIKE)]))
+    for seed in (0, 1, 2):
+        assert len(set(words.hashes(seed=seed).tolist())) == len(ALIKE)
+    assert not set(words.hashes(seed=0).tolist()) & set(words.hashes(seed=1).tolist())
+
+
+def test_alike_words_neither_link_nor_repeat(spark):
+    side = [f"w{k}" for k in range(40)]
+    texts = [" ".join([*side[:20], w, *side[20:]]) for w in ALIKE[:3]]
+    docs = spark.createDataFrame(list(enumerate([f"x {w} y z" for w in ALIKE])), "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.with_component_ids(jaccard.near_duplicates(docs, 3, 90, 100)).collect()} == {(i, i) for i in range(len(ALIKE))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["n_removed"]) for r in repeats.without_repeats(docs, 35).collect()} == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_a_shingle_in_a_tenth_of_all_texts(spark):
+    """Buckets get a frequent token once a chunk or block, and links stay what they are."""
+    rng = random.Random(8)
+    texts = []
+    for i in range(600):
+        own = [f"v{rng.randrange(9000)}" for _ in range(rng.randint(4, 40))]
+        texts.append(" ".join((["hot", "line", "here"] if i % 10 == 0 else []) + own))
+        if i % 50 == 0:
+            texts.append(texts[-1] + " more" if i % 100 else texts[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.with_component_ids(jaccard.near_duplicates(docs, 3, 90, 100)).collect()}
+    sets = {i: shingles(t, 3) for i, t in enumerate(texts)}
+    assert got == components_of(sets, 90, 100)
+    run = jaccard._sampled(3, (1 << 64) - 1, 4)
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    rows = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    places = sum(len(r["tokens"]) // 4 for r in rows if r["tokens"] is not None)
+    assert places <= len(set().union(*sets.values()))

@@ -122,18 +122,22 @@ _PLACES = "bucket int, chunk binary, cids binary, sizes binary, sets binary, tok
 
 
 def _sampled(n: int, limit: int, buckets: int):  # noqa: ANN202
-    """Tokens below limit by bucket, with the sets of the chunk that hold them; the chunk's sets in a row of their own."""
+    """Tokens below limit by bucket, each once a chunk, with the set that holds it or, if several do, with none; the chunk's sets in a row of their own."""
 
     def rows_of(cids: list[bytes], sizes: list[int], parts: list[np.ndarray]) -> list[tuple]:
         ids = b"".join(cids)
         chunk = hashlib.blake2b(ids, digest_size=16).digest()
-        tokens = np.concatenate(parts)
         owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        order, met, edge = _by_bucket(tokens, limit, buckets)
+        tokens, first, count = np.unique(np.concatenate(parts), return_index=True, return_counts=True)
+        # In order of sets, so that their steps stay small.
+        once = np.sort(first[count == 1])
         rows = [(int.from_bytes(chunk[:4], "little") % buckets, chunk, ids, np.array(sizes, dtype="<u4").tobytes(), None, None)]
-        for k, b in enumerate(met.tolist()):
-            own = order[edge[k] : edge[k + 1]]
-            rows.append((b, chunk, None, None, _steps(owner[own]), tokens[own].astype("<u4").tobytes()))
+        every = np.concatenate(parts)
+        for goes, owners in ((every[once], owner[once]), (tokens[count > 1], None)):
+            order, met, edge = _by_bucket(goes, limit, buckets)
+            for k, b in enumerate(met.tolist()):
+                own = order[edge[k] : edge[k + 1]]
+                rows.append((b, chunk, None, None, None if owners is None else _steps(owners[own]), goes[own].astype("<u4").tobytes()))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +165,17 @@ _SINGLE = "chunk binary, cids binary, sizes binary, sets binary"
 def _singles(table: pa.Table) -> pa.Table:
     """One bucket: for each chunk, the sets of the tokens that occur once; rows of sets as they are."""
     trim()
-    rows, found = [], []
+    rows, found, several = [], [], []
     for r in table.to_pylist():
         if r["cids"] is not None:
             rows.append((r["chunk"], r["cids"], r["sizes"], None))
+        elif r["sets"] is None:
+            several.append(np.frombuffer(r["tokens"], dtype="<u4"))
         else:
             found.append((r["chunk"], _unsteps(r["sets"]), np.frombuffer(r["tokens"], dtype="<u4")))
     if found:
-        tokens = np.concatenate([f[2] for f in found])
+        # What several sets of a chunk hold counts twice.
+        tokens = np.concatenate([f[2] for f in found] + several * 2)
         order = np.argsort(tokens, kind="stable")
         s = tokens[order]
         same = s[1:] == s[:-1]
@@ -298,12 +305,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spread(buckets: int):  # noqa: ANN202
+    """Each block's distinct tokens by bucket, with the number of its sets that hold them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                tokens = np.frombuffer(raw, dtype=_U)
+                tokens, count = np.unique(np.frombuffer(raw, dtype=_U), return_counts=True)
                 order, met, edge = _by_bucket(tokens, (1 << 64) - 1, buckets)
-                rows = [(block, b, None, None, tokens[order[edge[k] : edge[k + 1]]].astype("<u4").tobytes()) for k, b in enumerate(met.tolist())]
+                rows = []
+                for k, b in enumerate(met.tolist()):
+                    own = order[edge[k] : edge[k + 1]]
+                    rows.append((block, b, None, count[own].astype("<u4").tobytes(), tokens[own].astype("<u4").tobytes()))
                 yield _batch(_BLOCK, rows)
 
     return run
@@ -314,7 +326,8 @@ def _frequencies(table: pa.Table) -> pa.Table:
     trim()
     rows = table.to_pylist()
     tokens = [np.frombuffer(r["tokens"], dtype="<u4") for r in rows]
-    _, back, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    _, back = np.unique(np.concatenate(tokens), return_inverse=True)
+    count = np.bincount(back, np.concatenate([np.frombuffer(r["sizes"], dtype="<u4") for r in rows]))
     cls = np.floor(4 * np.log2(count)).astype(np.uint8)[back]
     at = np.cumsum([0, *map(len, tokens)])
     return pa.Table.from_batches([_batch(_BLOCK, [(r["block"], r["bucket"], None, None, cls[a:b].tobytes()) for r, a, b in zip(rows, at[:-1], at[1:], strict=True)])])
@@ -328,13 +341,15 @@ def _prefixes(num: int, den: int, buckets: int):  # noqa: ANN202
         rows = table.to_pylist()
         head = next(r for r in rows if r["nodes"] is not None)
         tokens = np.frombuffer(head["tokens"], dtype=_U)
-        order, met, edge = _by_bucket(tokens, (1 << 64) - 1, buckets)
-        cls = np.zeros(len(tokens), dtype=np.uint8)
+        distinct, back = np.unique(tokens, return_inverse=True)
+        order, met, edge = _by_bucket(distinct, (1 << 64) - 1, buckets)
+        cls = np.zeros(len(distinct), dtype=np.uint8)
         place = {b: k for k, b in enumerate(met.tolist())}
         for r in rows:
             if r["nodes"] is None:
                 k = place[r["bucket"]]
                 cls[order[edge[k] : edge[k + 1]]] = np.frombuffer(r["tokens"], dtype=np.uint8)
+        cls = cls[back]
         size = np.frombuffer(head["sizes"], dtype="<u4").astype(np.int64)
         first = np.concatenate([[0], np.cumsum(size)])
         out: list[tuple[int, int, np.ndarray]] = []

@@ -4,11 +4,15 @@ Positions whose remainder modulo a period lies in a difference cover are anchors
 two positions have a common shift below the period that takes both to anchors. So two
 equal windows of n words share an equal short window at an anchor of each. Only those
 are hashed and shuffled at first; around anchors that repeat, the whole windows follow
-and are compared themselves, by 128-bit hashes of their words.
+and are compared themselves, by two 64-bit hashes made from their words' bytes with two
+seeds.
 
 Null and empty texts have no words; texts of fewer than n words lose none. All windows of
 a text that occurs twice as a whole repeat, so it loses every word. Repeated rows count
-as copies. Positions count words of the input, not of what is left.
+as copies. Positions count words of the input, not of what is left. Windows are equal or
+not, so there are no ties. Very long texts are read whole, piece by piece of a batch; their
+places go to buckets like those of others. An empty table gives no rows. Only the id and text
+columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -23,10 +27,8 @@ from pyspark.sql import functions as F
 
 from verdictspark.llm.meeting import PACKED, buckets_for, deal, meet, positions
 from verdictspark.llm.tables import join_hot, keep, read
-from verdictspark.llm.words import Words, buffers, mix, pieces, split, windows
+from verdictspark.llm.words import Words, buffers, pieces, split, windows
 
-#: Changes word hashes for the second half of a whole window's hash.
-SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Places that one bucket meets. A text's places come back in a row for each bucket, so small buckets multiply rows.
 BUCKET_PLACES = 1_500_000
 #: Perfect difference sets, by period.
@@ -98,7 +100,7 @@ def _whole_windows(n: int, buckets: int):  # noqa: ANN202
             keys, once = np.unique(keys, return_index=True)
             batch = batch.take(pa.array(once))
             words = split(batch.column("text"))
-            hashes, counts = words.hashes(), words.counts()
+            hashes, second, counts = words.hashes(), words.hashes(seed=1), words.counts()
             texts, ats = [], []
             for i, parts in enumerate(batch.column("found").to_pylist()):
                 last = counts[i] - n
@@ -111,7 +113,7 @@ def _whole_windows(n: int, buckets: int):  # noqa: ANN202
                 ats.append(at)
             text, at = np.concatenate(texts), np.concatenate(ats)
             own = words.first[text] + at
-            yield deal(keys, text, at, windows(hashes, n)[own], buckets, windows(mix(hashes ^ SECOND), n)[own])
+            yield deal(keys, text, at, windows(hashes, n)[own], buckets, windows(second, n)[own])
 
     return run
 

@@ -2,8 +2,10 @@
 
 A word is a maximal run of bytes other than space and TAB..CR. UTF-8 never uses
 those bytes inside a longer character, so byte words and code-point words agree.
-Null texts count as empty. A word's hash mixes its bytes eight at a time, and a word of
-more than LONG_WORD bytes is hashed by its digest; hashes are the same in every task and run.
+Null texts count as empty. Words of up to seven bytes have hashes of their own, one each. A
+longer word's hash joins two chains over its bytes, eight at a time, with other factors, so
+that neither can be run backwards alone; beyond LONG_WORD bytes it is a digest's. Every seed
+changes how each eight bytes enter. Hashes are the same in every task and run.
 """
 
 from __future__ import annotations
@@ -66,13 +68,21 @@ class Words:
         size = size if chars is None else np.minimum(size, chars)
         data = np.concatenate([_LOWER[self.data] if fold else self.data, np.zeros(LONG_WORD + 8, dtype=np.uint8)])
         eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data.data, strides=(1,))
-        out = mix((eight[self.start] & _KEPT[np.minimum(size, 8)]) + mix(size.astype(np.uint64) + _U(seed * 0x2545F491 + 1)))
-        for k in range(8, LONG_WORD, 8):
-            more = np.flatnonzero(size > k)
-            if not len(more):
-                break
-            part = eight[self.start[more] + k] & _KEPT[np.minimum(size[more] - k, 8)]
-            out[more] = mix(out[more] * _U(0xD6E8FEB86659FD93) + mix(part + _U(k)))
+        key, other = (mix(np.array([4 * seed + k], dtype=np.uint64) * _U(_BASE)) for k in (1, 2))
+        head = eight[self.start] & _KEPT[np.minimum(size, 8)]
+        out = mix((head | size.astype(np.uint64) << _U(56)) ^ key)
+        long = np.flatnonzero(size > 7)
+        if len(long):
+            start, left = self.start[long], size[long]
+            a, b = mix(head[long] ^ other) + left.astype(np.uint64) * key, mix(head[long] * _U(0xA0761D6478BD642F) + other)
+            for k in range(8, LONG_WORD, 8):
+                more = np.flatnonzero(left > k)
+                if not len(more):
+                    break
+                part = eight[start[more] + k] & _KEPT[np.minimum(left[more] - k, 8)]
+                a[more] = mix(a[more] * _U(0xD6E8FEB86659FD93) + mix(part + key))
+                b[more] = mix(b[more] ^ mix(part * _U(0xE7037ED1A0B428DB) ^ other)) * _U(0x8EBC6AF09C88C6E3)
+            out[long] = mix(a ^ mix(b + key))
         for i in np.flatnonzero(size > LONG_WORD):
             a = int(self.start[i])
             digest = hashlib.blake2b(data[a : a + int(size[i])].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
