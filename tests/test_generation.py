@@ -71,14 +71,15 @@ def test_pools_and_refusals(spark):
     assert {r["pos"]: (r["steps"], r["source"]) for r in behind.collect()} == {0: (["s"], "lookup"), 1: (["i"], "inline"), 2: (None, "refused")}
     with pytest.raises(ValueError, match="without steps"):
         generation.require_items(behind)
-    assert generation.select_cells(" AN ,R0", ("R0", "AS", "AN")) == ("R0", "AN") and generation.select_cells(" ", ("R0",)) == ("R0",)
-    for asked, said in (("XX", "unknown"), ("AF", "unavailable")):
+    assert generation.cells_to_run(" AN ,R0", ("R0", "AS", "AN")) == ("R0", "AN") and generation.cells_to_run(" ", ("R0",)) == ("R0",)
+    for asked, said in (("XX", "no such cell"), ("AF", "inputs not given")):
         with pytest.raises(ValueError, match=said):
-            generation.select_cells(asked, ("R0", "AS"))
+            generation.cells_to_run(asked, ("R0", "AS"))
     with pytest.raises(ValueError, match="unknown conditions"):
         generation.require_conditions(["R0", "R9"], tuple(prompts.CONDITIONS))
     cells = spark.createDataFrame([(0.4, 3, 10), (0.4, 0, 10), (0.6, 3, 10)], "ok double, cut long, n long").select("ok", "cut", generation.guard(F.col("ok"), F.col("cut"), F.col("n")).alias("why")).collect()
-    assert cells[0]["why"] == "only 40.0% of generations parsed, and 3 of 10 choices hit the token limit: raise the budget" and "inspect" in cells[1]["why"] and cells[2]["why"] is None
+    assert [r["why"] for r in cells] == [generation.refusal(0.4, 3, 10), generation.refusal(0.4, 0, 10), None]
+    assert cells[0]["why"].startswith("too few answers parsed (40.0%): 3 of 10") and "none was cut off" in cells[1]["why"]
 
 
 def test_the_last_of_repeated_keys_counts(spark):
@@ -115,14 +116,14 @@ def test_chat_requests(spark):
         asked = spark.createDataFrame([(1, [("user", "x")]), (2, [("user", "y")])], "item_id int, messages array<struct<role: string, content: string>>")
         got = models.generate(asked, models.chat(0.7, 64, {"type": "object"}, 5, False), endpoint, 3).collect()
         assert sorted((r["item_id"], r["sample"], r["raw"]) for r in got if r["raw"]) == [(1, 0, "x0"), (1, 1, "x1"), (2, 0, "y0"), (2, 1, "y1")]
-        assert sum(r["raw"] is None for r in got) == 2
-        used: list[dict] = []
-        models.chat(0.0, 8, usage=used.append)(endpoint, [{"role": "user", "content": "z"}], 2)
+        assert sum(r["kind"] == "sample" and r["raw"] is None for r in got) == 2
+        assert {(r["item_id"], r["completion_tokens"], r["n"], tuple(r["finish_reasons"])) for r in got if r["kind"] == "usage"} == {(1, 8, 3, ("stop", "stop")), (2, 8, 3, ("stop", "stop"))}
+        used = models.chat(0.0, 8)(models.Endpoint("a", "m", f"http://127.0.0.1:{server.server_port}"), [{"role": "user", "content": "z"}], 2).usage
     finally:
         server.shutdown()
-    assert used == [{"prompt_tokens": 3, "completion_tokens": 8, "n": 1, "finish_reasons": ["stop"]}]
+    assert used == {"prompt_tokens": 3, "completion_tokens": 8, "n": 2, "finish_reasons": ["stop"]}
     full = models.payload(endpoint, [], 2, 0.5, 9, {"a": 1}, 0, True)
-    assert full["seed"] == 0 and full["chat_template_kwargs"] == {"enable_thinking": True} and full["response_format"]["json_schema"]["schema"] == {"a": 1}
+    assert full["seed"] == 0 and full["chat_template_kwargs"] == {"enable_thinking": True} and full["response_format"]["json_schema"] == {"name": "audit", "schema": {"a": 1}, "strict": True}
     assert set(models.payload(endpoint, [], 1, 0.0, 9)) == {"model", "messages", "n", "temperature", "max_tokens"}
 
 

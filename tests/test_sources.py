@@ -48,17 +48,19 @@ def test_endpoints():
             models.Endpoint.parse(bad)
 
 
-def test_generation_pads_short_replies(spark):
-    prompts = spark.createDataFrame([(1, [{"role": "user", "content": "q"}]), (2, [{"role": "user", "content": "down"}])], "item_id long, messages array<struct<role: string, content: string>>")
+def test_generation_pads_short_replies_and_fails_without_answer(spark):
+    kind = "item_id long, messages array<struct<role: string, content: string>>"
 
     def answer(endpoint, turns, n):
         if turns[0]["content"] == "down":
             raise OSError("no route")
         return [f"{endpoint.label}:{turns[0]['content']}"]
 
-    got = models.generate(prompts, answer, models.Endpoint("m", "x", "u"), 2, pause=0.0).collect()
-    assert sorted((r["item_id"], r["sample"], r["raw"]) for r in got if r["raw"]) == [(1, 0, "m:q")]
-    assert len(got) == 4
+    endpoint = models.Endpoint("m", "x", "u")
+    got = models.generate(spark.createDataFrame([(1, [("user", "q")])], kind), answer, endpoint, 2, pause=0.0).collect()
+    assert [(r["item_id"], r["sample"], r["raw"]) for r in got] == [(1, 0, "m:q"), (1, 1, None)]
+    with pytest.raises(Exception, match="m gave no answer in 3 attempts; the last failed with OSError: no route"):
+        models.generate(spark.createDataFrame([(2, [("user", "down")])], kind), answer, endpoint, 2, pause=0.0).collect()
 
 
 def test_streaming_rates(spark, tmp_path):

@@ -75,6 +75,15 @@ def usage_summary(usage: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def usage_by_request(usage: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of requests with several choices each: tokens a choice, truncated and all choices, requests."""
+    each = F.when(F.col("n") > 0, F.col("completion_tokens") / F.col("n"))
+    return usage.groupBy(*keys).agg(
+        F.avg(each).alias("mean_tokens"), F.percentile(each, F.lit(0.5)).alias("p50_tokens"), F.percentile(each, F.lit(0.95)).alias("p95_tokens"), F.max(each).alias("max_tokens"),
+        F.coalesce(F.sum("truncated"), F.lit(0)).alias("truncated"), F.coalesce(F.sum("choices"), F.lit(0)).alias("choices"), F.count(F.lit(1)).alias("requests"),
+    )
+
+
 def signal_detection(rates: DataFrame, hit: str = "hit", far: str = "far", n_signal: str = "n_signal", n_noise: str = "n_noise") -> DataFrame:
     """Adds d_prime, criterion and balanced_accuracy from hit and false-alarm rates."""
     z = rates.withColumn("_h", F.expr(smoothed_rate_sql(hit, n_signal))).withColumn("_f", F.expr(smoothed_rate_sql(far, n_noise)))

@@ -112,11 +112,16 @@ def episode_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kept_promises(spark: SparkSession, sf: str) -> DataFrame:
-    """For the first sample of each item, whether the repair that its condition announced could follow; R1's is another's job."""
+    """For the first sample of each item, whether the repair that its condition announced came; R1's is another's job.
+
+    Recorded repairs are the later answers of the conversations, by id: an item may have none.
+    """
     first = raw_audits(spark, sf).where("sample = 0").join(F.broadcast(spark.createDataFrame(list(PROMISED.items()), "condition string, mode string")), "condition")
-    # Every ninth answer and every seventh repair were not recorded.
-    performed = (F.col("mode") != "delegated") & (F.col("item_id") % 9 != 0) & (F.col("item_id") % 7 != 0)
-    return first.groupBy("auditor", "condition", "mode").agg(F.count(F.lit(1)).alias("items"), F.count_if(performed).alias("n_performed"))
+    repairs = view(spark, sf, "episodes").select(F.col("pos").alias("item_id"), generation.stripped(F.col("repair")).alias("repair"))
+    keys = ["auditor", "condition", "item_id"]
+    due = first.where("mode <> 'delegated'").select(*keys, F.col("raw").alias("audit"))
+    due = generation.promises(due, due.select(*keys).join(repairs, "item_id"), keys)
+    return first.join(due, keys, "left").groupBy("auditor", "condition", "mode").agg(F.count(F.lit(1)).alias("items"), F.count_if("performed").alias("n_performed"))
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,13 +213,13 @@ ORACLES = {
     "episode_items": _with("st AS (SELECT item_id, count(*) AS n FROM trace_text GROUP BY item_id) SELECT pos, CASE WHEN pos % 4 = 0 THEN 2 ELSE coalesce(n, 0) END AS n_steps, CASE WHEN pos % 4 = 0 THEN 'inline' WHEN n IS NULL THEN 'refused' ELSE 'lookup' END AS source FROM episodes LEFT JOIN st ON st.item_id = pos * 3 + 1", TT, "episodes"),
     "kept_promises": _with(
         f"m AS (SELECT * FROM (VALUES {', '.join(f'({_text(c)}, {_text(m)})' for c, m in PROMISED.items())}) t(condition, mode)) "
-        "SELECT auditor, condition, mode, count(*) AS items, count(*) FILTER (mode <> 'delegated' AND item_id % 9 <> 0 AND item_id % 7 <> 0) AS n_performed FROM ladder_verdicts JOIN m USING (condition) WHERE sample = 0 GROUP BY ALL", LV),
+        "SELECT auditor, condition, mode, count(*) AS items, count(*) FILTER (mode <> 'delegated' AND length(trim(repair)) > 0) AS n_performed FROM ladder_verdicts v JOIN m USING (condition) LEFT JOIN episodes e ON e.pos = v.item_id WHERE sample = 0 GROUP BY ALL", LV, "episodes"),
     "measured_rates": _with(f"{PARTS.format('true')} SELECT auditor, condition, {R('avg(p)')} AS far, {R('avg(2 * CASE WHEN p > 1 - p THEN 1 - p ELSE p END)')} AS n1, {R('sum(np) / sum(ns)')} AS parse_ok_rate, count(*) FILTER (p IS NULL) AS unparsed_items, count(*) AS n_items FROM item_p GROUP BY ALL", LV),
     "greedy_pass": _with(f"{PARTS.format('sample = 0')} SELECT auditor, condition, 'greedy' AS pass, {R('avg(p)')} AS far, {R('sum(np) / sum(ns)')} AS parse_ok_rate, count(*) AS n_items FROM item_p GROUP BY ALL", LV),
     "determinism_probe": _with(f"g AS (SELECT auditor, item_id, max(CASE WHEN sample = 0 AND parsed THEN flag END) AS a, max(CASE WHEN sample = 1 AND parsed THEN flag END) AS b FROM ladder_verdicts WHERE condition = 'R0' GROUP BY ALL) SELECT auditor, count(*) AS compared, {R('avg((a <> b)::INT)')} AS disagreement_rate FROM g WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY auditor", LV),
     "run_guard": _with(
         f"g AS (SELECT auditor, condition, family, avg(parsed::INT) AS ok, count(*) FILTER (confidence > 0.9) AS tr, count(*) AS n FROM ladder_verdicts GROUP BY ALL) SELECT auditor, condition, family, {R('ok')} AS parse_ok_rate, "
-        "CASE WHEN ok < 0.93 THEN concat('only ', printf('%.1f', round(ok * 100, 1)), '% of generations parsed', CASE WHEN tr > 0 THEN concat(', and ', tr, ' of ', n, ' choices hit the token limit: raise the budget') ELSE ': inspect the raw output before trusting any later cell' END) END AS refusal FROM g", LV),
+        "CASE WHEN ok < 0.93 THEN concat('too few answers parsed (', printf('%.1f', round(ok * 100, 1)), '%): ', CASE WHEN tr > 0 THEN concat(tr, ' of ', n, ' answers were cut off, so their limit is too low') ELSE 'none was cut off, so look at what they say' END) END AS refusal FROM g", LV),
     "resampled_ids": _with(
         "c AS (SELECT auditor, condition, count(DISTINCT item_id) AS n_items FROM r4_verdicts GROUP BY ALL), p AS (SELECT * FROM (VALUES ('AS', 10), ('AO', 10), ('US', 10), ('UO', 10), ('AF', 10), ('AV', 100000), ('AX', 7), ('R0', 0)) t(condition, pool)), "
         "o AS (SELECT *, CASE WHEN condition = 'R0' THEN 'skipped' WHEN pool IS NULL THEN 'unknown cell' WHEN pool > n_items THEN 'pool larger than the cell' ELSE 'rebuilt' END AS outcome FROM c LEFT JOIN p USING (condition)) "

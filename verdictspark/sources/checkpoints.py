@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdictspark.sources.runs import outstanding  # noqa: F401
+
 CELL_SCHEMA = (
     "auditor string, condition string, family string, samples int, thinking boolean, max_tokens int, far double, item_ids array<string>, per_item_probs array<double>, "
     "per_item_flags array<array<int>>, per_item_steps array<int>, per_item_confidence array<double>, gold_labels array<int>, episode_ids array<string>, episode_fingerprint string"
@@ -76,11 +78,6 @@ def write_partitioned(rows: DataFrame, folder: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("auditor", "family", "condition").parquet(folder)
 
 
-def outstanding(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """What of a work list has no committed result yet."""
-    return work.join(done.select(*keys).distinct(), keys, "left_anti")
-
-
 def require_all(wanted: DataFrame, found: DataFrame, key: str) -> None:
     """ValueError with examples where wanted keys are missing."""
     missing = [r[0] for r in wanted.join(found, key, "left_anti").select(key).limit(3).collect()]
@@ -96,3 +93,25 @@ def require_same_items(cells: DataFrame, base: str) -> None:
     odd = others.join(b, keys, "left_anti").limit(1).count() or b.join(others.select(*keys).distinct(), keys, "left_anti").limit(1).count()
     if odd:
         raise ValueError(f"items differ from those of {base}")
+
+
+def write_pool(rows: DataFrame, folder: str, auditor: str, model: str, family: str) -> None:
+    """A pool or a set made from one, as rows that carry whose they are."""
+    told = rows.select(F.lit(auditor).alias("auditor"), F.lit(model).alias("model"), F.lit(family).alias("family"), "*")
+    told.write.mode("errorifexists").option("ignoreNullFields", False).json(folder)
+
+
+def read_pool(spark: SparkSession, folder: str, auditor: str, schema: str) -> DataFrame:
+    """A stored pool's rows; ValueError where it is another auditor's."""
+    rows = spark.read.schema(f"auditor string, {schema}").json(folder)
+    other = rows.where(~F.col("auditor").eqNullSafe(F.lit(auditor))).select("auditor").first()
+    if other is not None:
+        raise ValueError(f"{folder} belongs to {other['auditor']}, not to {auditor}")
+    return rows.drop("auditor")
+
+
+def require_cover(pool: DataFrame, made: DataFrame, cell: str, key: str = "item_id") -> None:
+    """ValueError where an episode has no counterpart in a set made from its pool: the cell would pair others."""
+    left = pool.join(made.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least")).first()
+    if left["n"]:
+        raise ValueError(f"{cell}: {left['n']} episodes have no counterpart, as {left['least']}")
