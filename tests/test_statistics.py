@@ -137,3 +137,62 @@ def test_fingerprints_read_members_row_by_row(spark):
     plain = lambda c: "".join(i + (t or "") for k, _, i, t in sorted((r for r in rows if r[0] == c), key=lambda r: r[1]))
     assert got == {c: (300 if c == "a" else 40, hashlib.sha256(plain(c).encode()).hexdigest()[:16]) for c in ("a", "b", None)}
     assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
+def _rates(n, seed=5, lift=0.04):
+    """Differences of rates of eight samples."""
+    rng = np.random.default_rng(seed)
+    base = rng.beta(2, 6, n)
+    return (rng.binomial(8, np.clip(base + lift, 0, 1)) - rng.binomial(8, base)) / 8
+
+
+def test_histogram_draws_have_the_law_of_item_draws(spark, monkeypatch):
+    d = _rates(1200)
+    x = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(d)], "name string, item int, d double")
+    table = resampling.clusters(x, ["name"], "item", ["d"])
+    one = np.array([r["d"] for r in resampling.replicates(table, ["name"], ["d"], 6000, F.col("name")).collect()])
+    monkeypatch.setattr(resampling, "MOST_DRAWN", 1000)
+    many = resampling.replicates(table, ["name"], ["d"], 6000, F.col("name"))
+    rows = many.collect()
+    assert sorted(r["rep"] for r in rows) == list(range(6000))
+    assert {(r["rep"], r["d"]) for r in rows} == {(r["rep"], r["d"]) for r in resampling.replicates(table.repartition(7), ["name"], ["d"], 6000, F.col("name")).collect()}
+    two = np.array([r["d"] for r in rows])
+    error = d.std() / np.sqrt(len(d))
+    for drawn in (one, two):
+        assert abs(drawn.mean() - d.mean()) < 5 * error / np.sqrt(6000) and drawn.std() == pytest.approx(error, rel=0.04)
+    assert np.quantile(two, [0.025, 0.5, 0.975]) == pytest.approx(np.quantile(one, [0.025, 0.5, 0.975]), abs=0.12 * error)
+    # Items are neither drawn one by one nor numbered.
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and "MapInArrow" in plan
+
+
+def test_histogram_draws_cover_the_true_mean():
+    rng = np.random.default_rng(11)
+    inside = 0
+    for study in range(400):
+        values, counts = np.unique(_rates(300, seed=rng.integers(1 << 31), lift=0.0), return_counts=True)
+        means = resampling.multinomial_means(np.stack([values, np.ones(len(values))], 1), counts, 500, study, 0)[:, 0]
+        lo, hi = np.quantile(means, [0.025, 0.975])
+        inside += lo <= 0 <= hi
+    assert 0.92 <= inside / 400 <= 0.975
+
+
+def test_keys_of_both_kinds_and_values_without_rows(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "MOST_DRAWN", 50)
+    rows = [("small", i, 0.5, None) for i in range(20)] + [("large", i, float(i % 2), 1.0 if i == 0 else None) for i in range(80)] + [("one", 0, 1.0, 1.0)]
+    table = resampling.clusters(spark.createDataFrame(rows, "name string, item int, d double, e double"), ["name"], "item", ["d", "e"])
+    got = resampling.replicates(table, ["name"], ["d", "e"], 700, F.col("name")).collect()
+    of = lambda name, v: [r[v] for r in got if r["name"] == name]
+    assert {name: len(of(name, "d")) for name in ("small", "large", "one")} == {"small": 700, "large": 700, "one": 700}
+    assert set(of("small", "d")) == {0.5} and set(of("small", "e")) == {None} and set(of("one", "e")) == {1.0}
+    # The one row of e is missing from a replicate with probability (1 - 1/80)^80.
+    assert sum(e is None for e in of("large", "e")) / 700 == pytest.approx(0.366, abs=0.07)
+
+
+def test_two_hundred_thousand_items(spark):
+    d = _rates(200_000)
+    values, counts = np.unique(d, return_counts=True)
+    x = spark.createDataFrame([(float(v), int(c)) for v, c in zip(values, counts)], "d double, c int").selectExpr("'a' AS name", "d", "explode(sequence(1, c)) AS one").withColumn("item", F.monotonically_increasing_id())
+    got = resampling.bootstrap(x, ["name"], "item", "d", 20_000, F.col("name")).first()
+    assert got["n"] == got["n_clusters"] == 200_000 and got["effect"] == pytest.approx(d.mean())
+    assert (got["hi"] - got["lo"]) / 2 == pytest.approx(1.96 * d.std() / np.sqrt(200_000), rel=0.03)
