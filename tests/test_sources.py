@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from verdictspark.operators import origins
 from verdictspark.plans import reports
 from verdictspark.sources import checkpoints, models
 from verdictspark.streaming.verdicts import windowed_rates
@@ -41,6 +42,23 @@ def test_unequal_arrays_are_refused(spark, tmp_path):
         checkpoints.item_rows(checkpoints.read_cells(spark, str(tmp_path))).collect()
 
 
+def test_conditions_from_three_folders(spark, tmp_path):
+    """The first listing of a condition counts, and its baseline is its own folder's."""
+    for folder, cells in (("ladder", {"R0": [0.5, 0.25], "R1": [1.0, 0.5]}), ("r4", {"R0": [0.0, 1.0], "R1": [0.1, 0.2], "AS": [0.75, None]}), ("more", {"AX": [1.0, 1.0], "AS": [0.0, 0.0]})):
+        (tmp_path / folder).mkdir()
+        for c, p in cells.items():
+            (tmp_path / folder / f"m__{c}__F1.json").write_text(json.dumps(_record(c, [float("nan") if x is None else x for x in p])))
+    folders = [f"{tmp_path}/{f}" for f in ("ladder", "r4", "more")]
+    rows = checkpoints.item_rows(checkpoints.read_origins(spark, folders))
+    got = {(r["condition"], r["item_id"]): (r["place"], r["p"], r["p0"]) for r in origins.against_own_baseline(rows, ["auditor"]).collect()}
+    assert got == {("R1", "a"): (0, 1.0, 0.5), ("R1", "b"): (0, 0.5, 0.25), ("AS", "a"): (1, 0.75, 0.0), ("AS", "b"): (1, None, 1.0)}
+    again = {(r["condition"], r["place"]) for r in origins.first_listed(checkpoints.item_rows(checkpoints.read_origins(spark, folders[::-1])), ["auditor"]).collect()}
+    assert again == {("AX", 0), ("AS", 0), ("R0", 1), ("R1", 1)}
+    assert origins.require_same_items(rows, ["auditor"]).count() == 14
+    with pytest.raises(Exception, match="m/R1 has 1 items, its baseline 2"):
+        origins.require_same_items(rows.where("not (condition = 'R1' and place = 0 and item_id = 'a')"), ["auditor"]).count()
+
+
 def test_endpoints():
     assert models.Endpoint.parse("a=b@http://h:1/v1") == models.Endpoint("a", "b", "http://h:1/v1")
     for bad in ("a", "a=b", "=b@u", "a=@u"):

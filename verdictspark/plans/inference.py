@@ -80,12 +80,20 @@ def _deltas(frame: DataFrame) -> DataFrame:
     )
 
 
-def sdt_intervals(spark: SparkSession, sf: str, scope: tuple[str, ...] = ("auditor",)) -> DataFrame:
-    """Intervals of the three differences; arms are drawn independently, conditions paired within them."""
+def sdt_items(spark: SparkSession, sf: str, scope: tuple[str, ...]) -> DataFrame:
+    """p1 of every item, condition and arm but R0's, with p0, that of R0."""
     cell = [*scope, "condition"]
     p = rates.item_probabilities(_verdicts(spark, sf), [*cell, "arm", "episode_id"])
     r0 = p.where("condition = 'R0'").select(*scope, "item_id", F.col("p").alias("p0"))
-    items = p.where("condition <> 'R0'").join(r0, [*scope, "item_id"], "left").withColumnRenamed("p", "p1")
+    return p.where("condition <> 'R0'").join(r0, [*scope, "item_id"], "left").withColumnRenamed("p", "p1")
+
+
+def sdt_intervals(spark: SparkSession, sf: str, scope: tuple[str, ...] = ("auditor",)) -> DataFrame:
+    return sdt_intervals_of(sdt_items(spark, sf, scope), [*scope, "condition"])
+
+
+def sdt_intervals_of(items: DataFrame, cell: list[str]) -> DataFrame:
+    """Intervals of the three differences; arms are drawn independently, conditions paired within them."""
     keys = [*cell, "arm"]
     table = resampling.clusters(items, keys, "episode_id", ["p0", "p1"])
     arm = lambda a, c: F.max(F.when(F.col("arm") == a, F.col(c)))
@@ -331,14 +339,14 @@ TOLD = ", ".join(f"{R(c)} AS {c}" for c in STATS)
 ITEMS = f"q AS (SELECT auditor, condition, item_id, episode_id, avg(CASE WHEN parsed THEN flag::DOUBLE END) AS p FROM {V} GROUP BY ALL)"
 DIFF = f"{ITEMS}, df AS (SELECT a.auditor, a.condition, a.item_id, a.episode_id, a.p - b.p AS d FROM q a JOIN q b ON a.auditor = b.auditor AND a.item_id = b.item_id AND b.condition = 'R0' WHERE a.condition <> 'R0')"
 S2 = "concat_ws('/', auditor, condition)"
-def sdt_sql(scope: tuple[str, ...] = ("auditor",)) -> str:
-    """CTEs of sdt_intervals; iv_s holds the results."""
+def sdt_sql(scope: tuple[str, ...] = ("auditor",), items: str | None = None) -> str:
+    """CTEs of sdt_intervals; iv_s holds the results. items gives other CTEs that end in `it`."""
     k = ", ".join([*scope, "condition"])
     same = " AND ".join(f"a.{c} = b.{c}" for c in (*scope, "item_id"))
     own = ", ".join(f"a.{c}" for c in (*scope, "condition", "arm", "episode_id"))
     keys = [*scope, "condition"]
     return ", ".join((
-        f"qa AS (SELECT {k}, arm, item_id, episode_id, avg(CASE WHEN parsed THEN flag::DOUBLE END) AS p FROM {V} GROUP BY ALL)",
+        items or f"qa AS (SELECT {k}, arm, item_id, episode_id, avg(CASE WHEN parsed THEN flag::DOUBLE END) AS p FROM {V} GROUP BY ALL), "
         f"it AS (SELECT {own}, a.p AS p1, b.p AS p0 FROM qa a LEFT JOIN qa b ON {same} AND b.condition = 'R0' WHERE a.condition <> 'R0')",
         _clusters("s", "it", [*keys, "arm"], "episode_id", ["p0", "p1"]),
         _draws("s", [*keys, "arm"], f"concat_ws('/', {k}, arm)", ["p0", "p1"]),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdictspark.functions.stats import probit_sql, rounded, smoothed_rate_sql
-from verdictspark.operators import rates
+from verdictspark.operators import origins, rates
 from verdictspark.sources.fixtures import oracle_views, table, view
 
 CELL = ["auditor", "condition"]
@@ -107,7 +107,7 @@ def baseline_by_origin(spark: SparkSession, sf: str) -> DataFrame:
     v = v.withColumn("dir", F.when(F.col("family").isin("F1", "F2"), 0).otherwise(1)).where("not (auditor = 'm2' and condition = 'R0' and dir = 0)")
     v = v.where("condition <> 'R3' or dir = 1")
     cells = rates.item_probabilities(v, ["auditor", "condition", "dir"]).groupBy("auditor", "condition", "dir").agg(F.avg("p").alias("far"))
-    kept = cells.groupBy("auditor", "condition").agg(F.min_by("far", "dir").alias("far"), F.min("dir").alias("dir"))
+    kept = origins.first_listed(cells, ["auditor"], "dir").select("auditor", "condition", "far", "dir")
     base = cells.where("condition = 'R0'").select("auditor", "dir", F.col("far").alias("base"))
     out = kept.where("condition <> 'R0'").join(base, ["auditor", "dir"], "left")
     return out.select("auditor", "condition", "dir", rounded("far").alias("far"), rounded("base").alias("baseline_far"), F.col("base").isNotNull().alias("scorable"))

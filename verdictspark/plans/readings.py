@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictspark.functions.stats import rounded
-from verdictspark.operators import multiplicity, rates, resampling
+from verdictspark.operators import multiplicity, origins, rates, resampling
 from verdictspark.plans import inference
 from verdictspark.plans.inference import CLAIMS, FACTORIAL, FAMILIES, PASSES, R4BOOT, REPS, TOLD, V, _holm, _passes, _quoted, _stream, _told, _verdicts, boot, r4_families, r4_intervals, rung_differences, sdt_intervals, sdt_sql
 from verdictspark.plans.rates import CELL, R4_ITEM, R4_LONG, R, _with, contrast_items, r4_pivot
@@ -179,24 +179,41 @@ def r4_item_only(spark: SparkSession, sf: str) -> DataFrame:
     return both
 
 
+def _placed_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts with the place of the directory that lists them: F1 and F2 stand for the first; it lacks m2's R0 and everyone's R3."""
+    v = _verdicts(spark, sf).withColumn("place", F.when(F.col("family").isin("F1", "F2"), 0).otherwise(1))
+    return v.where("arm <> 'clean' or not (auditor = 'm2' and condition = 'R0' and place = 0) and (condition <> 'R3' or place = 1)")
+
+
 def sdt_by_origin(spark: SparkSession, sf: str) -> DataFrame:
     """Point differences against R0 of the directory that the condition's clean arm comes from; without one there is no score."""
-    v = _verdicts(spark, sf).withColumn("dir", F.when(F.col("family").isin("F1", "F2"), 0).otherwise(1))
-    clean = v.where("arm = 'clean' and not (auditor = 'm2' and condition = 'R0' and dir = 0) and (condition <> 'R3' or dir = 1)")
-    cells = rates.item_probabilities(clean, ["auditor", "condition", "dir"]).groupBy("auditor", "condition", "dir").agg(F.avg("p").alias("far"), F.count("p").alias("n"))
-    kept = cells.groupBy("auditor", "condition").agg(F.min("dir").alias("dir"), F.min_by("far", "dir").alias("f1"), F.min_by("n", "dir").alias("n_noise"))
-    base = cells.where("condition = 'R0'").select("auditor", "dir", F.col("far").alias("f0"))
+    v = _placed_verdicts(spark, sf)
+    cells = rates.item_probabilities(v.where("arm = 'clean'"), ["auditor", "condition", "place"]).groupBy("auditor", "condition", "place").agg(F.avg("p").alias("far"), F.count("p").alias("n"))
+    kept = origins.first_listed(cells, ["auditor"]).select(*CELL, "place", F.col("far").alias("f1"), F.col("n").alias("n_noise"))
+    base = cells.where("condition = 'R0'").select("auditor", "place", F.col("far").alias("f0"))
     hits = rates.item_probabilities(v.where("arm = 'incorrect'"), CELL).groupBy(*CELL).agg(F.avg("p").alias("h1"), F.count("p").alias("n_signal"))
     h0 = hits.where("condition = 'R0'").select("auditor", F.col("h1").alias("h0"))
-    x = kept.where("condition <> 'R0'").join(base, ["auditor", "dir"], "left").join(hits, CELL).join(h0, "auditor")
+    x = kept.where("condition <> 'R0'").join(base, ["auditor", "place"], "left").join(hits, CELL).join(h0, "auditor")
     out = inference._deltas(x)
-    return out.select(*CELL, "dir", F.col("f0").isNotNull().alias("scorable"), *[rounded(c).alias(c) for c in ("d_prime", "criterion", "balanced_accuracy")])
+    return out.select(*CELL, F.col("place").alias("dir"), F.col("f0").isNotNull().alias("scorable"), *[rounded(c).alias(c) for c in ("d_prime", "criterion", "balanced_accuracy")])
+
+
+def sdt_bootstrap_by_origin(spark: SparkSession, sf: str) -> DataFrame:
+    """The differences with intervals, each replicate's noise baseline drawn from the condition's own directory. Conditions of directories without R0 have none."""
+    v = _placed_verdicts(spark, sf)
+    clean = origins.against_own_baseline(rates.item_probabilities(v.where("arm = 'clean'"), [*CELL, "place", "episode_id"]), ["auditor"])
+    signal = rates.item_probabilities(v.where("arm = 'incorrect'"), [*CELL, "episode_id"])
+    r0 = signal.where("condition = 'R0'").select("auditor", "item_id", F.col("p").alias("p0"))
+    signal = signal.where("condition <> 'R0'").join(clean.select(*CELL).distinct(), CELL, "left_semi").join(r0, ["auditor", "item_id"], "left")
+    columns = [*CELL, "arm", "episode_id", F.col("p").alias("p1"), "p0"]
+    items = clean.withColumn("arm", F.lit("clean")).select(*columns).unionByName(signal.withColumn("arm", F.lit("incorrect")).select(*columns))
+    return _told(inference.sdt_intervals_of(items, CELL), [*CELL, "quantity"])
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        sdt_by_origin, r4_readings, detection_by_wording, directional_counts, forest_rows, template_bootstrap, wording_panels, pooled_band, gate3_framing, sdt_families, prior_context_guard,
+        sdt_by_origin, sdt_bootstrap_by_origin, r4_readings, detection_by_wording, directional_counts, forest_rows, template_bootstrap, wording_panels, pooled_band, gate3_framing, sdt_families, prior_context_guard,
         screened_families, rung_bootstrap_by_ids, r4_item_only,
     )
 }
@@ -207,6 +224,15 @@ READ = f"""{SCORED}, wd AS (SELECT auditor, {_get('episode_presence_vs_r0', 'eff
 {_get('repair_contribution_as_minus_av', 'effect')} AS rep, bool_or(ok) FILTER (contrast = 'repair_contribution_as_minus_av') AS rep_ok, {_get('repair_contribution_as_minus_an', 'effect')} AS an, bool_or(ok) FILTER (contrast = 'repair_contribution_as_minus_an') AS an_ok,
 {_get('verdict_composition_ax_minus_as', 'effect')} AS vc, bool_or(ok) FILTER (contrast = 'verdict_composition_ax_minus_as') AS vc_ok, {_get('genuine_repair_ax_minus_axn', 'effect')} AS gr, bool_or(ok) FILTER (contrast = 'genuine_repair_ax_minus_axn') AS gr_ok,
 {_get('placement_assistant_minus_user', 'effect')} AS pl, {_get('placement_assistant_minus_user', 'p')} AS pl_p, {_get('attribution_self_minus_peer', 'effect')} AS tt, {_get('attribution_self_minus_peer', 'p')} AS tt_p FROM sc GROUP BY auditor)"""
+_P = "avg(CASE WHEN parsed THEN flag::DOUBLE END) AS p"
+ORIGIN_SDT = sdt_sql(items=(
+    f"vp AS (SELECT *, CASE WHEN family IN ('F1', 'F2') THEN 0 ELSE 1 END AS place FROM {V}), "
+    f"qc AS (SELECT auditor, condition, place, item_id, episode_id, {_P} FROM vp WHERE arm = 'clean' AND NOT (auditor = 'm2' AND condition = 'R0' AND place = 0) AND (condition <> 'R3' OR place = 1) GROUP BY ALL), "
+    f"qi AS (SELECT auditor, condition, item_id, episode_id, {_P} FROM {V} WHERE arm = 'incorrect' GROUP BY ALL), "
+    "f0 AS (SELECT auditor, condition, min(place) AS place FROM qc GROUP BY ALL), fp AS (SELECT * FROM f0 WHERE (auditor, place) IN (SELECT (auditor, place) FROM qc WHERE condition = 'R0')), "
+    "it AS (SELECT a.auditor, a.condition, 'clean' AS arm, a.episode_id, a.p AS p1, b.p AS p0 FROM qc a JOIN fp USING (auditor, condition, place) LEFT JOIN qc b ON b.auditor = a.auditor AND b.place = a.place AND b.item_id = a.item_id AND b.condition = 'R0' WHERE a.condition <> 'R0' "
+    "UNION ALL SELECT a.auditor, a.condition, 'incorrect', a.episode_id, a.p, b.p FROM qi a JOIN fp USING (auditor, condition) LEFT JOIN qi b ON b.auditor = a.auditor AND b.item_id = a.item_id AND b.condition = 'R0' WHERE a.condition <> 'R0')"
+))
 BYW = f"{sdt_sql(('auditor', 'family'))}, sq AS (SELECT auditor, family, condition, quantity, round(effect, 9) AS effect, round(p, 9) AS p FROM iv_s), " + _holm("sq", "family, quantity, auditor", "condition")
 _cell = lambda w: f"coalesce(max(CASE WHEN quantity = 'd_prime' AND family = '{w}' THEN printf('%+.6f', round(effect, 6)) || CASE WHEN reject THEN '+' ELSE '' END END), '---') AS {w}"
 _mean = lambda q: f"coalesce(printf('%+.6f', round(round(avg(CASE WHEN quantity = '{q}' THEN effect END), 9), 6)), '---')"
@@ -217,6 +243,7 @@ SFAM = f"{sdt_sql()}, sq AS (SELECT auditor, condition, quantity, round(p, 9) AS
 _s = inference.smoothed_rate_sql
 _z = inference.probit_sql
 ORACLES = {
+    "sdt_bootstrap_by_origin": _with(f"{ORIGIN_SDT} SELECT auditor, condition, quantity, {TOLD} FROM iv_s", V),
     "sdt_by_origin": _with(
         f"c AS (SELECT auditor, condition, CASE WHEN family IN ('F1', 'F2') THEN 0 ELSE 1 END AS dir, item_id, avg(CASE WHEN parsed THEN flag::DOUBLE END) AS p FROM {V} WHERE arm = 'clean' GROUP BY ALL), "
         "g AS (SELECT auditor, condition, dir, avg(p) AS far, count(p) AS n FROM c WHERE NOT (auditor = 'm2' AND condition = 'R0' AND dir = 0) AND (condition <> 'R3' OR dir = 1) GROUP BY ALL), "

@@ -21,16 +21,31 @@ def read_cells(spark: SparkSession, folder: str) -> DataFrame:
     return named.join(last, ["auditor", "family", "condition", "_file"]).drop("_file")
 
 
+def read_origins(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """The records of several folders with `place`, the number of their folder in the list, taken from each file's path.
+
+    Of equal (auditor, family, condition) of one folder the last file name counts, as in read_cells.
+    """
+    places = spark.createDataFrame([(f.rstrip("/").split(":", 1)[-1].rstrip("/"), i) for i, f in reversed(list(enumerate(folders)))], "_folder string, place int").dropDuplicates(["_folder"])
+    raw = spark.read.schema(CELL_SCHEMA).option("multiLine", True).option("allowNonNumericNumbers", True).json(folders)
+    named = raw.withColumn("_file", F.col("_metadata.file_path"))
+    named = named.withColumn("_folder", F.regexp_replace(F.regexp_replace("_file", r"^[a-z0-9]+:(//)?", ""), r"/[^/]*$", ""))
+    keys = ["auditor", "family", "condition", "_folder"]
+    last = named.groupBy(*keys).agg(F.max("_file").alias("_file"))
+    return named.join(last, [*keys, "_file"]).join(F.broadcast(places), "_folder").drop("_file", "_folder")
+
+
 def item_rows(cells: DataFrame) -> DataFrame:
     """A row for each item of each cell; NaN becomes null. Arrays of unequal length are refused."""
     n = F.size("item_ids")
     ok = cells.withColumn("_ok", F.when(F.size("per_item_probs") != n, F.raise_error(F.concat(F.lit("lengths differ in "), F.col("auditor"), F.lit("/"), F.col("condition")))).otherwise(F.lit(True))).where("_ok")
     either = lambda c, t: F.when(F.col(c).isNull(), F.transform("item_ids", lambda _: F.lit(None).cast(t))).otherwise(F.col(c)).alias(c)
     zipped = F.arrays_zip(F.col("item_ids"), F.col("per_item_probs"), either("per_item_steps", "int"), either("per_item_confidence", "double"), either("gold_labels", "int"), either("episode_ids", "string"))
-    rows = ok.select("auditor", "condition", "family", F.posexplode(zipped).alias("ord", "r"))
+    more = ["place"] if "place" in cells.columns else []
+    rows = ok.select("auditor", "condition", "family", *more, F.posexplode(zipped).alias("ord", "r"))
     number = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
     return rows.select(
-        "auditor", "condition", "family", "ord", F.col("r.item_ids").alias("item_id"), number("r.per_item_probs").alias("p"), F.col("r.per_item_steps").alias("step"),
+        "auditor", "condition", "family", *more, "ord", F.col("r.item_ids").alias("item_id"), number("r.per_item_probs").alias("p"), F.col("r.per_item_steps").alias("step"),
         number("r.per_item_confidence").alias("confidence"), F.col("r.gold_labels").alias("gold_label"), F.col("r.episode_ids").alias("episode_id"),
     )
 
