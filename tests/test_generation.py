@@ -62,15 +62,15 @@ def test_pools_and_refusals(spark):
     pool = generation.episodes(spark.createDataFrame(rows, "pos long, item_id string, audit_raw string, repair_raw string"), F.lit(4))
     got = pool.orderBy("pos").collect()
     assert [(r["pos"], r["item_id"], r["reported_error"], r["repair"]) for r in got] == [(0, "a", False, "fixed"), (1, "c", True, "r")]
-    generation.require_all_incorrect(pool.where("reported_error"))
-    with pytest.raises(ValueError, match="report no error"):
-        generation.require_all_incorrect(pool)
+    assert generation.require_all_incorrect(pool.where("reported_error")).count() == 1
+    with pytest.raises(Exception, match="an audit reports no error: a"):
+        generation.require_all_incorrect(pool).collect()
     behind = generation.items_behind(
         spark.createDataFrame([(0, "t", None), (1, "u", ["i"]), (2, "v", None)], "pos int, trace string, inline array<string>"), spark.createDataFrame([("t", ["s"]), ("u", ["no"])], "trace string, steps array<string>"), "trace"
     )
     assert {r["pos"]: (r["steps"], r["source"]) for r in behind.collect()} == {0: (["s"], "lookup"), 1: (["i"], "inline"), 2: (None, "refused")}
-    with pytest.raises(ValueError, match="without steps"):
-        generation.require_items(behind)
+    with pytest.raises(Exception, match="episode without steps: 2"):
+        generation.require_items(behind).collect()
     assert generation.cells_to_run(" AN ,R0", ("R0", "AS", "AN")) == ("R0", "AN") and generation.cells_to_run(" ", ("R0",)) == ("R0",)
     for asked, said in (("XX", "no such cell"), ("AF", "inputs not given")):
         with pytest.raises(ValueError, match=said):

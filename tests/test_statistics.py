@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verdictspark.functions.stats import paired_p, probit
 from verdictspark import catalog
-from verdictspark.operators import multiplicity, rates, resampling, sampling, simulation
+from verdictspark.operators import multiplicity, rates, refusals, resampling, sampling, simulation, streams
 from verdictspark.plans import inference, simulated
 
 
@@ -196,3 +196,48 @@ def test_two_hundred_thousand_items(spark):
     got = resampling.bootstrap(x, ["name"], "item", "d", 20_000, F.col("name")).first()
     assert got["n"] == got["n_clusters"] == 200_000 and got["effect"] == pytest.approx(d.mean())
     assert (got["hi"] - got["lo"]) / 2 == pytest.approx(1.96 * d.std() / np.sqrt(200_000), rel=0.03)
+
+
+def test_streams_give_numpys_values_in_the_records_order(spark):
+    rng = np.random.default_rng(2)
+    rows = [(name, i, int(i % 7), float(rng.normal(0.02, 0.1)) if i != 5 else None) for name in ("a", "b") for i in range(40)]
+    x = spark.createDataFrame(rows, "name string, item int, cluster int, d double").repartition(5)
+    found = streams.Streams(9)
+    got = {(r["name"], r["unit"]): r for r in found.intervals(x, ["name"], "d", "item", "cluster", 3000).collect()}
+    for name in ("a", "b"):
+        own = [r for r in rows if r[0] == name and r[3] is not None]
+        d, c = np.array([r[3] for r in own]), np.array([r[2] for r in own])
+        draw = np.random.default_rng([9, ord(name)])
+        items = d[draw.integers(0, len(d), size=(3000, len(d)))].mean(axis=1)
+        members = [np.flatnonzero(c == k) for k in range(7)]
+        episodes = np.array([d[np.concatenate([members[k] for k in draw.integers(0, 7, size=7)])].mean() for _ in range(3000)])
+        for unit, means in (("item", items), ("cluster", episodes)):
+            r = got[name, unit]
+            assert (r["lo"], r["hi"]) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-12)
+            assert r["p"] == pytest.approx(max(2 * min((means <= 0).mean(), 1 - (means <= 0).mean()), 1 / 3000)) and r["n"] == 39
+    with pytest.raises(ValueError, match=r"second time: \['a', 'b'\]"):
+        found.intervals(x, ["name"], "d", "item")
+    assert streams.Streams(9).intervals(x, ["name"], "d", "item", None, 10).count() == 2
+
+
+def test_streams_do_not_depend_on_how_draws_are_cut(monkeypatch):
+    d = np.random.default_rng(1).normal(size=33)
+    whole = streams.item_means(d, streams.generator(1, "x"), 100)
+    monkeypatch.setattr(streams, "HELD_DRAWS", 99)
+    assert (streams.item_means(d, streams.generator(1, "x"), 100) == whole).all()
+
+
+def test_refusals_cost_no_job(spark):
+    rows = spark.createDataFrame([(i, f"i{i}") for i in range(6)], "k int, item_id string")
+    seen, watch = refusals.watched(rows, F.col("k") > 3, F.col("item_id"), "too large")
+    assert seen.count() == 6
+    with pytest.raises(ValueError, match="too large: 2 of 6 rows, as i4, i5"):
+        watch.settle()
+    seen, watch = refusals.watched(rows, F.col("k") > 9, F.col("item_id"), "too large")
+    seen.collect()
+    watch.settle()
+    assert refusals.refuse_unmatched(rows, rows, "item_id", "x").count() == 6
+    assert refusals.refuse_matched(rows, rows.where("k > 8"), "item_id", "x").count() == 6
+    for bad, said in ((refusals.refuse_unmatched(rows, rows.where("k <> 2"), "item_id", "steps"), "steps: none for i2"), (refusals.refuse_matched(rows, rows.where("k = 3"), "item_id", "seen before"), "seen before: i3")):
+        with pytest.raises(Exception, match=said):
+            bad.count()

@@ -92,7 +92,7 @@ def episode_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 def incorrect_pool(spark: SparkSession, sf: str) -> DataFrame:
     """The first 20 episodes that report an error, and whether every audit of the pool says so."""
-    pool = generation.episodes(recorded_episodes(spark, sf), F.lit(N_STEPS)).where("reported_error").orderBy("pos").limit(20)
+    pool = generation.require_all_incorrect(generation.episodes(recorded_episodes(spark, sf), F.lit(N_STEPS)).where("reported_error").orderBy("pos").limit(20))
     return pool.agg(F.count(F.lit(1)).alias("episodes"), F.count_if(~F.col("audit").contains('"incorrect"')).alias("violations"), F.coalesce(F.max("pos"), F.lit(-1)).cast("long").alias("last_pos"))
 
 

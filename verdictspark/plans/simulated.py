@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verdictspark.functions.stats import rounded
-from verdictspark.operators import simulation
+from verdictspark.operators import simulation, streams
 from verdictspark.plans.rates import CELL
 
 #: The reference's sweep: the fewest items for two effects, three baselines, two mechanisms and three numbers of samples.
@@ -32,5 +32,14 @@ def exact_rng_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*CELL, *[rounded(c).alias(c) for c in STATS], "n", "n_clusters")
 
 
-QUERIES = {f.__name__: f for f in (power_sim, family_false_pass, exact_rng_bootstrap)}
+def exact_rng_r4(spark: SparkSession, sf: str) -> DataFrame:
+    """The factorial's contrasts: each one's generator serves the items' interval, then that of the episodes."""
+    from verdictspark.plans.rates import contrast_items, r4_pivot
+
+    d = contrast_items(r4_pivot(spark, sf))
+    out = streams.Streams().intervals(d, ["auditor", "contrast"], "d", "item_id", "episode_id")
+    return out.select("auditor", "contrast", "unit", *[rounded(c).alias(c) for c in ("effect", "lo", "hi", "p", "p_centred")], "n", "n_clusters")
+
+
+QUERIES = {f.__name__: f for f in (power_sim, family_false_pass, exact_rng_bootstrap, exact_rng_r4)}
 ORACLES: dict[str, str] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdictspark.operators.refusals import refuse_unmatched
 from verdictspark.sources.runs import outstanding  # noqa: F401
 
 CELL_SCHEMA = (
@@ -125,8 +126,6 @@ def read_pool(spark: SparkSession, folder: str, auditor: str, schema: str) -> Da
     return rows.drop("auditor")
 
 
-def require_cover(pool: DataFrame, made: DataFrame, cell: str, key: str = "item_id") -> None:
-    """ValueError where an episode has no counterpart in a set made from its pool: the cell would pair others."""
-    left = pool.join(made.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least")).first()
-    if left["n"]:
-        raise ValueError(f"{cell}: {left['n']} episodes have no counterpart, as {left['least']}")
+def require_cover(pool: DataFrame, made: DataFrame, cell: str, key: str = "item_id") -> DataFrame:
+    """The pool as it is; the query fails on an episode without a counterpart in a set made from the pool: the cell would pair others."""
+    return refuse_unmatched(pool, made, key, f"counterparts for {cell}")
