@@ -81,8 +81,9 @@ def test_round_robin_and_allocation(spark):
     left = {c: n - y.count(c) for c, n in (("a", 24), ("b", 3), ("c", 3))}
     assert y == ["a", "b", "c"] and min(left.values()) >= 2
     assert sorted(r["split"] for r in arms if r["arm"] == "x") == ["a", "a", "b", "b", "c", "c"]
-    with pytest.raises(ValueError, match="needs"):
-        sampling.allocate(pool, [("z", 31, None)], "s")
+    for short in (sampling.allocate(pool, [("z", 31, None)], "s"), sampling.allocate(pool.limit(0), [("z", 1, None)], "s"), sampling.allocate(pool, [("x", 25, None), ("y", 6, None)], "s")):
+        with pytest.raises(Exception, match="arm . needs"):
+            short.collect()
 
 
 def test_global_rank(spark):

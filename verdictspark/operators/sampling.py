@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,24 +49,46 @@ def round_robin(ranked: DataFrame, n: int, stratum_order: str) -> DataFrame:
 
 
 def allocate(pool: DataFrame, arms: list[tuple[str, int, Column | None]], seed: str, split: str = "split", item: str = "item_id") -> DataFrame:
-    """Disjoint arms (name, size, restriction): restricted ones first, smaller pools first.
+    """Disjoint arms (name, size, restriction): restricted ones first, smaller pools first. The query fails where an arm's pool is short.
 
-    Raises ValueError where an arm's pool is short.
+    Every arm has a hashed order of its own. An item that it takes has at most as many items
+    before it in its stratum as this arm and those before it take, so one pass over the pool
+    leaves for each arm and stratum that many candidates at most; their number depends on the
+    arms' sizes alone, and one task settles who takes what.
     """
-    sized = [(a, pool.where(a[2]).count() if a[2] is not None else None) for a in arms]
-    order = sorted(range(len(arms)), key=lambda i: (arms[i][2] is None, sized[i][1] or 0, i))
-    out = None
-    for i in order:
+    sizes = pool.agg(*[F.count_if(only) if only is not None else F.lit(0) for _, _, only in arms]).first()
+    order = sorted(range(len(arms)), key=lambda i: (arms[i][2] is None, sizes[i], i))
+    offers, reach = [], 0
+    for place, i in enumerate(order):
         name, n, only = arms[i]
-        left = pool if only is None else pool.where(only)
-        if out is not None:
-            left = left.join(out.select(item), item, "left_anti")
-        # Counted here and excluded from later arms: computed once.
-        taken = round_robin(by_stratum(left, split, f"{seed}/{name}", item, most=n), n, split).select(F.lit(name).alias("arm"), item, split).persist()
-        if taken.count() < n:
-            raise ValueError(f"arm {name} needs {n} items")
-        out = taken if out is None else out.unionByName(taken)
-    return out
+        reach += n
+        offers.append(F.struct(F.lit(place).alias("place"), F.lit(name).alias("arm"), F.lit(reach).alias("reach"), (F.lit(True) if only is None else F.coalesce(only, F.lit(False))).alias("open")))
+    rows = pool.withColumn("_o", F.explode(F.filter(F.array(*offers), lambda o: o["open"]))).select(F.col("_o.place").alias("place"), F.col("_o.arm").alias("arm"), F.col("_o.reach").alias("reach"), item, split)
+    rows = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}/"), "arm", F.lit(":"), F.col(item).cast("string")).cast("binary"))).withColumn("_part", F.substring("_h", 1, PART_DIGITS))
+    counts = rows.groupBy("place", "reach", F.col(split).alias("_split"), "_part").agg(F.count(F.lit(1)).alias("_n"))
+    below = Window.partitionBy("place", "_split").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    near = counts.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0))).where("_below < reach").select(F.col("place").alias("_place"), "_split", F.col("_part").alias("_at"), "_below")
+    rows = rows.join(near, (F.col("place") == F.col("_place")) & F.col(split).eqNullSafe(F.col("_split")) & (F.col("_part") == F.col("_at")))
+    own = F.row_number().over(Window.partitionBy("place", split, "_part").orderBy("_h", item))
+    offered = rows.withColumn("_rank", F.col("_below") + own).where("_rank <= reach").select("place", item, split, "_rank")
+    wanted = [(arms[i][0], arms[i][1]) for i in order]
+    schema = T.StructType([T.StructField("arm", T.StringType()), T.StructField(item, pool.schema[item].dataType), T.StructField(split, pool.schema[split].dataType)])
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        taken: set = set()
+        out = []
+        for place, (name, n) in enumerate(wanted):
+            left = frame[(frame["place"] == place) & ~frame[item].isin(taken)].sort_values("_rank")
+            left = left.assign(turn=left.groupby(split, dropna=False).cumcount()).sort_values(["turn", split]).head(n)
+            if len(left) < n:
+                raise ValueError(f"arm {name} needs {n} items")
+            taken.update(left[item])
+            out.append(left.assign(arm=name)[["arm", item, split]])
+        return pd.concat(out)
+
+    # A row of no arm, so that arms of an empty pool are settled too, and found short.
+    none = pool.sparkSession.range(1).select(F.lit(-1).alias("place"), F.lit(None).cast(pool.schema[item].dataType).alias(item), F.lit(None).cast(pool.schema[split].dataType).alias(split), F.lit(0).cast("long").alias("_rank"))
+    return offered.unionByName(none).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(settle, schema)
 
 
 def proportional(pool: DataFrame, fraction: float, seed: str, split: str = "split", item: str = "item_id", least: int = 0) -> DataFrame:
