@@ -7,6 +7,7 @@ import pytest
 from verdictspark.operators import origins
 from verdictspark.plans import reports
 from verdictspark.sources import checkpoints, models
+from verdictspark.streaming import cells
 from verdictspark.streaming.verdicts import windowed_rates
 
 
@@ -104,3 +105,37 @@ def test_commands(capsys):
 
     assert cli.main(["nothing"]) == 2
     assert all(q in catalog.QUERIES for qs in cli.COMMANDS.values() for q in qs)
+
+
+def test_cells_that_arrive_late(spark, tmp_path):
+    """A stream over a folder ends in what a scan of it gives, in whatever order files come."""
+    folder, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
+    folder.mkdir()
+
+    def put(name, condition, probs):
+        (folder / name).write_text(json.dumps(_record(condition, probs)))
+
+    def caught_up():
+        cells.follow(cells.cell_stream(spark, str(folder)), out, check).awaitTermination()
+        got = {(r["condition"], r["item_id"], r["p"]) for r in spark.read.parquet(out).collect()}
+        assert got == {(r["condition"], r["item_id"], r["p"]) for r in checkpoints.item_rows(checkpoints.read_cells(spark, str(folder))).collect()}
+        return got
+
+    put("m__R0__F1_b.json", "R0", [0.5, 0.25])
+    put("m__R1__F1.json", "R1", [1.0, float("nan")])
+    assert len(caught_up()) == 4
+    put("m__R0__F1_a.json", "R0", [0.0, 0.0])
+    assert ("R0", "a", 0.5) in caught_up()
+    put("m__R0__F1_c.json", "R0", [0.75, 0.125])
+    put("m__AS__F1.json", "AS", [0.2, 0.3])
+    assert {("R0", "a", 0.75), ("AS", "b", 0.3), ("R1", "a", 1.0)} <= caught_up()
+
+
+def test_every_samples_evidence_is_kept(spark, tmp_path):
+    rows = [("m", "F1", c, "i", s, raw) for c in ("R0", "R1") for s, raw in enumerate(('{"verdict": "correct"}', None))]
+    seen = spark.createDataFrame(rows, "auditor string, family string, condition string, item_id string, sample int, raw string")
+    out = str(tmp_path / "evidence")
+    checkpoints.write_evidence(seen, out)
+    checkpoints.write_evidence(seen.where("condition = 'R1' and sample = 1"), out)
+    got = spark.read.parquet(out)
+    assert sorted((r["condition"], r["sample"]) for r in got.collect()) == [("R0", 0), ("R0", 1), ("R1", 1)] and got.where("raw is null").count() == 2

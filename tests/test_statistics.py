@@ -242,3 +242,13 @@ def test_refusals_cost_no_job(spark):
     for bad, said in ((refusals.refuse_unmatched(rows, rows.where("k <> 2"), "item_id", "steps"), "steps: none for i2"), (refusals.refuse_matched(rows, rows.where("k = 3"), "item_id", "seen before"), "seen before: i3")):
         with pytest.raises(Exception, match=said):
             bad.count()
+
+
+def test_rungs_cluster_where_the_data_has_ids(spark):
+    rows = [("R1", i, None) for i in range(4)] + [("R2", i, i % 2) for i in range(4)]
+    x = spark.createDataFrame(rows, "condition string, item_id int, episode_id int")
+    got = {(r["condition"], r["clustered"], r["unit"]) for r in resampling.unit_by_ids(x, ["condition"]).collect()}
+    assert got == {("R1", False, f"i{i}") for i in range(4)} | {("R2", True, "e0"), ("R2", True, "e1")}
+    mixed = x.withColumn("episode_id", F.when(F.col("item_id") > 0, F.col("episode_id")))
+    with pytest.raises(Exception, match="only some items have an episode: R2"):
+        resampling.unit_by_ids(mixed, ["condition"]).collect()

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdictspark.operators.refusals import refuse
+
 SEED = 20260805
 
 
@@ -121,6 +123,19 @@ def _by_values(table: DataFrame, keys: list[str], values: list[str], reps: int,
     return todo.mapInArrow(run, schema)
 
 
+def unit_by_ids(items: DataFrame, keys: list[str], episode: str = "episode_id", item: str = "item_id") -> DataFrame:
+    """Adds clustered and unit: the episode in keys whose items have episode ids, the item in those without any.
+
+    The query fails on a key of which only some items have one.
+    """
+    ids = items.groupBy(*keys).agg((F.count(episode) > 0).alias("clustered"), F.count(episode).alias("_with"), F.count(F.lit(1)).alias("_all"))
+    joined = items.join(F.broadcast(ids), keys)
+    some = F.col("clustered") & (F.col("_with") < F.col("_all"))
+    joined = refuse(joined, some, F.concat(F.lit("only some items have an episode: "), F.concat_ws("/", *keys)))
+    unit = F.when(F.col("clustered"), F.concat(F.lit("e"), F.col(episode).cast("string"))).otherwise(F.concat(F.lit("i"), F.col(item).cast("string")))
+    return joined.withColumn("unit", unit).drop("_with", "_all")
+
+
 def intervals(reps: DataFrame, effects: DataFrame, keys: list[str], value: str, n_reps: int) -> DataFrame:
     """lo, hi, p and p_centred of each key's effect from its replicates.
 

@@ -161,11 +161,11 @@ def screened_families(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rung_bootstrap_by_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Rungs against R0, clustered by episode where the condition has episode ids (R2 and R3), by item elsewhere."""
-    clustered = F.col("condition").isin("R2", "R3")
-    d = rung_differences(spark, sf).withColumn("unit", F.when(clustered, F.concat(F.lit("e"), "episode_id")).otherwise(F.concat(F.lit("i"), "item_id")))
-    found = resampling.bootstrap(d, CELL, "unit", "d", REPS, F.concat(_stream(*CELL), F.lit("/ids")))
-    return _told(found, CELL, "n", "n_clusters", clustered.alias("clustered"))
+    """Rungs against R0, clustered by episode where the rung's items have episode ids, by item elsewhere. Only R2 and R3 were recorded with ids."""
+    d = rung_differences(spark, sf).withColumn("episode_id", F.when(F.col("condition").isin("R2", "R3"), F.col("episode_id")))
+    units = resampling.unit_by_ids(d, CELL)
+    found = resampling.bootstrap(units, CELL, "unit", "d", REPS, F.concat(_stream(*CELL), F.lit("/ids")))
+    return _told(found.join(F.broadcast(units.select(*CELL, "clustered").distinct()), CELL), CELL, "n", "n_clusters", "clustered")
 
 
 def r4_item_only(spark: SparkSession, sf: str) -> DataFrame:
