@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from verdictspark.operators import postings
 from verdictspark.functions import audits, claims, faults, prompts
 
 GOOD = {"verdict": "incorrect", "first_error_step": 2, "confidence": 0.5, "error_type": "logical", "evidence": "x"}
@@ -58,8 +59,8 @@ def test_final_answers(spark, text, answer):
 
 
 def _validate(spark, original, injected, k):
-    x = spark.createDataFrame([(original, injected, k)], "o array<string>, i array<string>, k int")
-    return x.select(F.transform(faults.validate(F.col("o"), F.col("i"), F.col("k"), F.element_at("o", -1)), faults.reason_class)).first()[0]
+    x = spark.createDataFrame([(1, original, injected, k)], "id int, steps array<string>, injected array<string>, k int").withColumn("answer", F.element_at("steps", -1))
+    return postings.checked(x, ["id"]).select(F.transform("reasons", faults.reason_class)).first()[0]
 
 
 ORIGINAL = ["Start.", "2 + 3 = 5", "5 + 1 = 6", "The answer is 6"]
@@ -78,6 +79,21 @@ def test_validation(spark):
     assert "echoed step prefix" in _validate(spark, ORIGINAL, ["Start.", "Step 2: 2 + 3 = 7", "7 + 1 = 8", "The answer is 8"], 2)
     assert "shorter" in _validate(spark, ORIGINAL, ["Start.", "7", "7 + 1 = 8", "The answer is 8"], 2)
     assert _validate(spark, ORIGINAL, ["Start.", "2 + 3 = 7", "7 - 1 = 6", "The answer is 6"], 2) == ["final answer"]
+    with pytest.raises(Exception, match="outside the trace"):
+        _validate(spark, ORIGINAL, ORIGINAL, 5)
+
+
+def test_reasons_of_many_traces_at_once(spark):
+    """Every stale value of every step, in order; traces keep to themselves."""
+    rows = [
+        (1, ["a", "2 + 3 = 5", "5 + 2 = 7", "so 5 and 3 is 7"], ["a", "4 + 4 = 8", "5 + 2 = 7", "so 5 and 3 is 9"], 2),
+        (2, ["a", "2 + 3 = 5", "5 + 1 = 6"], ["a", "2 + 4 = 6", "6 + 1 = 7"], 2),
+        (3, ["a", "b"], ["a"], 1),
+    ]
+    x = spark.createDataFrame(rows, "id int, steps array<string>, injected array<string>, k int").withColumn("answer", F.element_at("steps", -1)).repartition(3)
+    got = {r["id"]: r["reasons"] for r in postings.checked(x, ["id"]).collect()}
+    stale = lambda step, value: f"step {step} still uses {value}: the fault was not propagated"
+    assert got == {1: [stale(3, 2.0), stale(3, 5.0), stale(4, 3.0), stale(4, 5.0)], 2: [], 3: ["step count 1 != 2"]}
 
 
 @pytest.mark.parametrize(

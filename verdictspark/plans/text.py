@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdictspark.functions import audits, claims, faults, prompts
 from verdictspark.functions.stats import rounded
+from verdictspark.operators import postings
 from verdictspark.plans.rates import _with
 from verdictspark.plans.design import usable_episodes
 from verdictspark.sources.fixtures import view
@@ -119,8 +120,7 @@ def unpropagated_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _validated(spark: SparkSession, sf: str) -> DataFrame:
-    x = injections(spark, sf)
-    return x.withColumn("reasons", faults.validate(F.col("steps"), F.col("injected"), F.col("k"), F.element_at("steps", -1)))
+    return postings.checked(injections(spark, sf).withColumn("answer", F.element_at("steps", -1)), ["item_id", "variant"])
 
 
 def validate_injection(spark: SparkSession, sf: str) -> DataFrame:
