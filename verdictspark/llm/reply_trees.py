@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdictspark.llm.tables import discard, keep, read
+from verdictspark.llm.tables import keep, read
 
 #: Opening and closing control strings by role; any other role is written between the last pair, before the text.
 TURNS = {"system": ("[SYS]", "[/SYS]"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -43,25 +43,35 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, _MARKED, "$1$2$3")
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _rounds(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Messages with root, depth and path score, and for each round the table (id, up) of its jumps."""
+    """Messages with root, depth and path score, and for each round the table (id, up) of its jumps.
+
+    Messages that have reached their root rest: a round's rows are those of longer paths.
+    """
     ids = nodes.select(F.col("id").alias("known"))
     step = nodes.join(ids, nodes["parent"] == ids["known"], "left")
-    step = step.select("id", F.col("known").alias("up"), F.col("id").alias("top"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
-    step = step.withColumn("top", F.coalesce("up", "top"))
-    step, jumps, most = keep(step, "replies"), [], None
+    step = step.select("id", F.col("known").alias("up"), F.coalesce("known", "id").alias("top"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
+    step, jumps, rested = keep(step, "replies"), [], []
+    most = step.count().bit_length() + 1
     while True:
-        open_, rows = step.agg(F.count("up"), F.count(F.lit(1))).first()
-        most = most or rows.bit_length() + 1
-        if not open_:
-            return step, jumps
+        rested.append(step.where("up IS NULL"))
+        going = step.where("up IS NOT NULL")
+        if not going.limit(1).count():
+            return _union(rested), jumps
         if len(jumps) > most:
-            raise ValueError(f"replies form a ring, as above message {step.where('up IS NOT NULL').first()['id']}")
-        jumps.append(step)
-        above = step.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        joined = step.join(above, step["up"] == above["_id"], "left")
-        added = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("depth", "total")]
-        step = keep(joined.select("id", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top"), *added), "replies")
+            raise ValueError(f"replies form a ring, as above message {going.first()['id']}")
+        jumps.append(going.select("id", "up"))
+        above = _union([*rested, going]).select(*[F.col(c).alias(f"_{c}") for c in ("id", "up", "top", "depth", "total")])
+        joined = going.join(above, going["up"] == above["_id"])
+        added = [(F.col(c) + F.col(f"_{c}")).alias(c) for c in ("depth", "total")]
+        step = keep(joined.select("id", F.col("_up").alias("up"), F.col("_top").alias("top"), *added), "replies")
 
 
 def paths(messages: DataFrame, branches: int = 1, id_col: str = "id", parent: str = "parent", score: str | None = "score") -> DataFrame:
@@ -77,13 +87,12 @@ def paths(messages: DataFrame, branches: int = 1, id_col: str = "id", parent: st
     parts = Window.partitionBy("top", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(F.desc("total"), "id")
     leaves = leaves.withColumn("_own", F.row_number().over(parts)).where(F.col("_own") <= branches)
     chosen = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
-    chosen = chosen.select(F.col("top").alias("root"), F.col("id").alias("leaf"), "rank", F.col("total").alias("score"), "id")
+    found = [keep(chosen.select(F.col("top").alias("root"), F.col("id").alias("leaf"), "rank", F.col("total").alias("score"), "id"), "reply-paths")]
     for jump in reversed(jumps):
-        up = jump.where("up IS NOT NULL").select(F.col("id").alias("_id"), "up")
-        reached = chosen.join(up, chosen["id"] == up["_id"]).select("root", "leaf", "rank", "score", F.col("up").alias("id"))
-        chosen = keep(chosen.unionByName(reached), "reply-paths")
-    out = chosen.join(known.select("id", "depth"), "id")
-    return out.select("root", "leaf", "rank", "score", "id", "depth")
+        below, up = _union(found), jump.select(F.col("id").alias("_id"), "up")
+        reached = below.join(up, below["id"] == up["_id"]).select("root", "leaf", "rank", "score", F.col("up").alias("id"))
+        found.append(keep(reached, "reply-paths"))
+    return _union(found).join(known.select("id", "depth"), "id").select("root", "leaf", "rank", "score", "id", "depth")
 
 
 def formatted(turns: DataFrame, by: list[str], order: str = "depth") -> DataFrame:
