@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import public_tokenizers
@@ -125,3 +126,83 @@ def test_re_parameterised_items_are_found_and_mixed_ones_refused(spark):
     assert len(planted & got) >= 0.9 * len(planted)
     assert not {d for d, _ in got} & mixed and not {d for d, _ in got} & {i for i, _ in clean}
     assert all((d, i) in planted or holds(dict(docs)[d], dict(items)[i]) for d, i in got)
+
+
+NUMBERS = "two three four five six seven eight nine ten eleven twelve fifteen nineteen thirty forty-two seventy-seven ninety".split()
+KINDS = {
+    # Few of the windows are free of names.
+    "openers": (
+        "{n} owns {a} goats. {m} sells {b} goats. {n} buys {c} hens. {m} feeds the hens. {n} counts them all. {m} closes the gate. {n} goes home. {m} stays.",
+        "{m} bakes {a} loaves. {n} carries {b} loaves. {m} eats {c} loaves. {n} drinks the milk. {m} sweeps the floor. {n} rests. {m} sings.",
+    ),
+    "words": (
+        "a farmer keeps {x} cows and {y} hens in the yard while {z} sheep graze on the hill above the barn all summer",
+        "the class has {x} rows of desks and each row seats {y} pupils but only {z} pupils came on that rainy day",
+    ),
+    "units": (
+        "the barrel holds {a} {u} when the pump starts and loses {b} {u} before the keeper closes the last valve of the line",
+        "a rope of {a} {u} is cut so that {b} {u} stay on the drum and the rest goes to the boat at the pier",
+    ),
+    "lists": (
+        "the dice show {a} {b} {c} in the first throw of the game and the clerk writes {a} {b} {c} into the green book",
+        "sort the keys {a} {b} {c} into a heap and print {c} {b} {a} after the last step of the loop has ended",
+    ),
+}
+
+
+def test_recall_by_kind_of_slot(spark):
+    rng = random.Random(23)
+    measures = "gallons pounds inches feet yards ounces cups tonnes litres pints".split()
+
+    def values():
+        n, m = rng.sample(NAMES, 2)
+        x, y, z = rng.sample(NUMBERS, 3)
+        a, b, c = rng.sample(range(2, 400), 3)
+        return {"n": n, "m": m, "x": x, "y": y, "z": z, "a": a, "b": b, "c": c, "u": rng.choice(measures)}
+
+    items, docs, planted, mixed = [], [], {k: set() for k in KINDS}, set()
+    # Of letters alone: a digit in a filler word would be a number slot that another value may meet.
+    filler = ["".join(rng.choices("bdfglmnprst", k=3)) + "".join(rng.choices("aeiou", k=2)) + x for x in "klmnprstvz" for _ in range(20)]
+    around = lambda: " ".join(rng.choices(filler, k=rng.randint(0, 40)))
+    for kind, shapes in KINDS.items():
+        for k in range(10):
+            shape = shapes[k % 2] if kind == "openers" else f"{shapes[k % 2]} the {filler[k]} and the {filler[k + 50]} stay by the {filler[k + 90]}"
+            items.append((f"{kind}{k}", shape.format(**values())))
+            for _ in range(4):
+                docs.append((len(docs), f"{around()}. {shape.format(**values())} {around()}"))
+                planted[kind].add((docs[-1][0], f"{kind}{k}"))
+            if kind == "lists":
+                docs.append((len(docs), f"{around()}. {shape.replace('{c}', '{a}', 1).format(**values())} {around()}"))
+                mixed.add(docs[-1][0])
+            if kind == "openers" and k % 2 == 0:
+                # Both people become one.
+                docs.append((len(docs), f"{around()}. {shape.replace('{m}', '{n}').format(**values())} {around()}"))
+                mixed.add(docs[-1][0])
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(frame, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    recall = {kind: len(own & got) / len(own) for kind, own in planted.items()}
+    print(recall)
+    assert min(recall.values()) >= 0.9, recall
+    assert not {d for d, _ in got} & mixed
+
+
+def test_repeated_windows_against_a_long_text_of_numbers_stay_small():
+    rng = random.Random(5)
+    text = " ".join(str(rng.randint(1, 10**6)) for _ in range(400_000))
+    bench = decontamination.benchmark_of([0], pa.array([" ".join(str(rng.randint(1, 10**6)) for _ in range(100))]), 5)
+    template = decontamination.templates(pa.array([text]))
+    assert len(bench.hashes) == 1 and int((bench.begins == 0).sum()) == 96
+    tracemalloc.start()
+    found = list(decontamination.leaks(template, bench, 5, 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1 and peak < 100 * len(text)
+
+
+def test_item_blocks_change_nothing(tables, monkeypatch):
+    docs, items = tables
+    column, texts = pa.array([d["text"] or "" for d in docs]), [b["text"] or "" for b in items]
+    found = lambda: set(map(str, decontamination.leaks(decontamination.templates(column), decontamination.benchmark_of(list(range(len(texts))), pa.array(texts), 5), 5, 0.5)))
+    before = found()
+    monkeypatch.setattr(decontamination, "BLOCK", 7)
+    assert found() == before and before
