@@ -56,6 +56,34 @@ def test_a_key_given_twice_is_found_twice():
         assert key not in secret_scan.redact(text, secret_scan.scan(text))
 
 
+def test_planted_secrets_are_redacted_and_look_alikes_stay():
+    rng = np.random.default_rng(17)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    made = lambda n, more="": "".join(rng.choice(letters + list(more), n))
+    kinds = {
+        "the token {} was sent": lambda: ".".join(["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIi" + made(60, "-_"), made(43, "-_")]),
+        "see postgres://admin:{}@db.host:5432/main for it": lambda: made(12),
+        "Authorization: Bearer {} then": lambda: made(32),
+        "the session cookie is {} today": lambda: made(24, "-_"),
+    }
+    for shape, value in kinds.items():
+        gone = 0
+        for _ in range(200):
+            v = value()
+            text = f"Some words stand here. {shape.format(v)} and more words follow."
+            left = secret_scan.redact(text, secret_scan.scan(text))
+            gone += not any(part in left for part in v.split("."))
+        assert gone >= 190, (shape, gone)
+    names = "user order config session token request handler count value limit index buffer parser stream record".split()
+    clean = [
+        "certificate of deposit ABC-2024-000123-XY", "author https://example.com/blog/2024/03/15/some-title-of-a-post-7", "secret = ${MY_SECRET_NAME_FROM_ENV_2}",
+        "salt lake city route I-15/US-89/UT-201/exit-305", "the passage in chapter-12/section-3b/page-204 is long", "postgres://admin:${DB_PASSWORD_1}@host", "postgres://admin:password@host",
+        *(f"auth token for {'_'.join(rng.choice(names, 4))}_{k} is read" for k in range(100)), *(f"the session of {''.join(x.title() for x in rng.choice(names, 3))}Service{k} ends" for k in range(100)),
+    ]
+    false = [c for c in clean if secret_scan.scan(c)]
+    assert len(false) <= 2, false
+
+
 def test_extraction_of_a_page():
     page = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=/>Home</a></nav>
     <div class="cookie-notice">We use cookies</div><article><header><h1>A title &amp; more</h1></header>

@@ -34,15 +34,20 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGIT = re.compile(r"[0-9]")
-_WORDLIKE = re.compile(r"[A-Z]?[a-z]{3,}")
+_WORDLIKE = re.compile(r"[A-Z]?[a-z]{3,}|(?<![A-Za-z0-9])[A-Z]{2,}(?![A-Za-z0-9])")
+#: The password of an address, user:password@host, which names itself a credential.
+_USERINFO = re.compile(r"://[^\s:/@]+:([^\s/@]{8,})@")
 _SENSITIVE = re.compile(
-    r"(?ai)pass(?:word|wd|phrase)?|pwd|secret|token|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|credential|auth|bearer|signature|session|cookie|cert|hmac|salt"
+    r"(?ai)pass(?:word|wd|phrase)|\bpass\b|pwd|secret|token|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|credential"
+    r"|auth(?!or(?:s|ed|ing|ial|ship|itative|ity|ities)?\b)|bearer|signature|session(?!s\b)|cookie|cert(?:s|ificates?)?(?![a-z])(?!\x20of\b)|hmac|\bsalt\b(?!\x20[a-z])"
 )
 
-#: What stands between two lines of a block: one line break (or an escaped one), quotes and signs of continuation.
-_ADJOINS = re.compile(r"""[ \t"',;>*#|]*(?:\r?\n|\r|\\)[ \t"',;>*#|]*\\?""")
+#: What stands between two parts of a block: a dot (as in signed tokens), or one line break (or an escaped one), quotes and signs of continuation.
+_ADJOINS = re.compile(r"""\.|[ \t"',;>*#|]*(?:\r?\n|\r|\\)[ \t"',;>*#|]*\\?""")
 #: The short last line of an encoded block, before its closing line.
 _LAST = re.compile(r"""((?:[ \t"',;>*#|]*(?:\r?\n|\r|\\(?:r\\)?n))[ \t"',;>*#|]*[A-Za-z0-9+/=]{1,15})(?=[ \t"',;>*#|]*(?:\r?\n|\r|\\(?:r\\)?n)[ \t"',;>*#|]*-----END)""")
+#: A name that stands for a value, as ${NAME} does.
+_PLACEHOLDER = re.compile(r"\$?[{<(\[%]+[A-Za-z0-9_.-]+[}>)\]%]+")
 
 #: Text that primes the compressor: what code and configuration commonly repeat.
 IDENTIFIERS = """
@@ -133,13 +138,22 @@ def scan(text: str, least: int = 16, ratio: float = 0.62, around: int = 96, reac
     A novel candidate has `least` characters or more, letters and digits in its block, a
     sensitive word within `reach` characters of a line of its block, a marginal cost of
     `ratio` bytes a character or more, isn't mostly made of words (an identifier) or of
-    letters of one case, and doesn't overlap a pattern's match.
+    letters of one case, and doesn't overlap a pattern's match. Parts joined by a dot are a block.
+    The password of an address (user:password@host) needs eight characters, a digit or letters of both cases, and that cost.
     """
     found = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 12]
     found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     spans = [(k, a, b, marginal_bytes(text, a, b, around)) for k, a, b in found]
     starts, ends = _merged(found)
+    for m in _USERINFO.finditer(text):
+        a, b = m.span(1)
+        if not _overlaps(starts, ends, a, b) and (_DIGIT.search(text, a, b) or text[a:b] not in (text[a:b].lower(), text[a:b].upper())) and not _PLACEHOLDER.fullmatch(text, a, b):
+            cost = marginal_bytes(text, a, b, around)
+            if cost >= ratio * (b - a):
+                spans.append(("novel", a, b, cost))
+                found.append(("novel", a, b))
+    starts, ends = _merged(found)
     for block in _blocks(text):
         if not any(_DIGIT.search(text, a, b) for a, b in block) or not any(_SENSITIVE.search(text, max(0, a - reach), min(len(text), b + reach)) for a, b in block):
             continue
